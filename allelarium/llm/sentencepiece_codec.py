@@ -68,15 +68,16 @@ class ChunkCodec:
         self.sp = sentencepiece.SentencePieceProcessor(model_proto=model)
         self.chunked = chunks_are_independent(self.sp)
         self.most = table_chunks
-        self.table: dict[str, tuple[int, str, str]] = {}
+        self.ids: dict[str, str] = {}  # chunk -> its ids in decimal, joined by commas
+        self.odd: dict[str, str] = {}  # chunk -> what its ids decode to, where that isn't the chunk itself
 
     def _add(self, chunks: Iterable[str]) -> None:
         new = [c for c in chunks if c]
-        for chunk, ids in zip(new, self.sp.encode(new, num_threads=1), strict=True):
-            self.table[chunk] = len(ids), ",".join(map(str, ids)), self.sp.decode(ids)
-        if "" not in self.table:  # one marker with nothing behind it
-            ids = self.sp.encode("a ")[len(self.sp.encode("a")) :]
-            self.table[""] = len(ids), ",".join(map(str, ids)), ""
+        ids = self.sp.encode(new, num_threads=1)
+        self.ids.update(zip(new, (str(x)[1:-1].replace(" ", "") for x in ids), strict=True))
+        self.odd.update((c, d) for c, d in zip(new, self.sp.decode(ids, num_threads=1) if ids else [], strict=True) if c != d)
+        if "" not in self.ids:  # one marker with nothing behind it
+            self.ids[""] = ",".join(map(str, self.sp.encode("a ")[len(self.sp.encode("a")) :]))
 
     def encode(self, text: str | None) -> tuple[int, str, str]:
         """Number of ids, the ids in decimal joined by commas, and what they decode to."""
@@ -86,12 +87,14 @@ class ChunkCodec:
             ids = self.sp.encode(text)
             return len(ids), ",".join(map(str, ids)), self.sp.decode(ids)
         chunks = split_chunks(text)
-        if len(self.table) > self.most:
-            self.table.clear()
-        if missing := set(chunks).difference(self.table):
+        if len(self.ids) > self.most:
+            self.ids.clear()
+            self.odd.clear()
+        if missing := set(chunks).difference(self.ids):
             self._add(missing)
-        n, ids, decoded = zip(*map(self.table.__getitem__, chunks), strict=True)
-        return sum(n), ",".join(ids), " ".join(decoded)
+        ids = ",".join(map(self.ids.__getitem__, chunks))
+        surfaces = [self.odd.get(c, c) for c in chunks] if self.odd else chunks
+        return ids.count(",") + 1, ids, " ".join(surfaces)
 
 
 def _worker(model: bytes, outputs: tuple[str, ...], chunks: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
