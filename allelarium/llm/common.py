@@ -6,16 +6,14 @@ import atexit
 import contextlib
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 import numpy as np
-import xxhash
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Distinct words whose hash a task keeps; the table starts anew beyond it.
-WORD_TABLE = 1 << 20
-
-
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """The table `name` of the folder `sf_dir`, read by Spark alone (any file system)."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -77,19 +75,6 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-class WordHashes(dict):
-    """Distinct word -> 64-bit hash; each distinct word is hashed once while the table holds it."""
-
-    def __missing__(self, word: bytes) -> int:
-        self[word] = h = xxhash.xxh3_64_intdigest(word)
-        return h
-
-    def of(self, words: list[bytes]) -> np.ndarray:
-        if len(self) > WORD_TABLE:
-            self.clear()
-        return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
-
-
 def shingle_hashes(words: np.ndarray, n: int) -> np.ndarray:
     """Hash of every run of n word hashes; of the whole sequence where there are fewer; of nothing: empty."""
     if not len(words):
@@ -102,7 +87,72 @@ def shingle_hashes(words: np.ndarray, n: int) -> np.ndarray:
     return out
 
 
-def split_words(text: str | None, lower: bool = True) -> list[bytes]:
-    """Words `[^\\x20\\x09-\\x0D]+` as UTF-8, with A-Z lower-cased on demand. Null has none."""
-    raw = (text or "").encode("utf-8", "surrogatepass")
-    return (raw.lower() if lower else raw).split()
+BLANK = np.zeros(256, bool)
+BLANK[[0x20, *range(0x09, 0x0E)]] = True
+LOWER = np.arange(256, dtype=np.uint8)
+LOWER[65:91] += 32
+_BYTE = mix64(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+_BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
+
+
+class Words:
+    """The words `[^\\x20\\x09-\\x0D]+` of a column of texts, found and hashed by array operations alone.
+
+    `hashes` has a 64-bit hash for each word (a polynomial over random byte
+    codes, then scrambled with the length), `starts` and `ends` its place in
+    `data`, the UTF-8 of all texts; text i has the words bounds[i]:bounds[i+1]
+    and the bytes offsets[i]:offsets[i+1]. A null counts as an empty text.
+    """
+
+    def __init__(self, column: pa.Array, lower: bool = True):
+        column = pc.fill_null(column, "").cast(pa.large_string())
+        _, offsets, data = column.buffers()
+        self.offsets = np.frombuffer(offsets, np.int64)[column.offset : column.offset + len(column) + 1]
+        base, end = (self.offsets[0], self.offsets[-1]) if len(column) else (0, 0)
+        self.data = np.frombuffer(data, np.uint8)[base:end] if data is not None and end > base else np.zeros(0, np.uint8)
+        self.offsets = self.offsets - base if len(column) else np.zeros(1, np.int64)
+        codes = LOWER[self.data] if lower else self.data
+        word = ~BLANK[codes]
+        first, last = word.copy(), word.copy()
+        if len(word):
+            cut = self.offsets[1:-1]
+            cut = cut[(cut > 0) & (cut < len(word))]
+            first[1:] &= ~word[:-1]
+            first[cut] = word[cut]
+            last[:-1] &= ~word[1:]
+            last[cut - 1] = word[cut - 1]
+        self.starts, self.ends = np.flatnonzero(first), np.flatnonzero(last) + 1
+        self.lengths = self.ends - self.starts
+        self.bounds = np.searchsorted(self.starts, self.offsets)
+        self.hashes = np.zeros(0, np.uint64)
+        if len(self.starts):
+            places = np.concatenate(([0], np.cumsum(self.lengths)[:-1]))
+            powers = np.full(int(self.lengths.max()), _BASE, np.uint64)
+            powers[0] = 1
+            powers = np.cumprod(powers, dtype=np.uint64)
+            within = np.arange(int(self.lengths.sum())) - np.repeat(places, self.lengths)
+            terms = _BYTE[codes[word]] * powers[within]
+            self.hashes = mix64(np.add.reduceat(terms, places) ^ (self.lengths.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)))
+
+    def __len__(self) -> int:
+        return len(self.offsets) - 1
+
+    def of(self, i: int) -> np.ndarray:
+        return self.hashes[self.bounds[i] : self.bounds[i + 1]]
+
+    def text(self, i: int) -> bytes:
+        return self.data[self.offsets[i] : self.offsets[i + 1]].tobytes()
+
+    def word(self, k: int) -> bytes:
+        return self.data[self.starts[k] : self.ends[k]].tobytes()
+
+
+def text_slices(batch: pa.RecordBatch, column: int, rows: int = 512, size: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+    """The batch in slices of at most `rows` rows, cut sooner where the texts reach `size` bytes: memory stays bounded."""
+    lengths = np.asarray(pc.fill_null(pc.binary_length(batch.column(column)), 0), np.int64)
+    ends, start = np.cumsum(lengths), 0
+    while start < len(lengths):
+        base = ends[start - 1] if start else 0
+        stop = max(start + 1, min(start + rows, int(np.searchsorted(ends, base + size, "right"))))
+        yield batch.slice(start, stop - start)
+        start = stop

@@ -26,7 +26,7 @@ import sentencepiece
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from allelarium.llm.common import read_table
+from allelarium.llm.common import read_table, text_slices
 
 TABLE_CHUNKS = 1 << 20
 MODEL = "piece_bpe_32k.model"
@@ -79,6 +79,19 @@ class ChunkCodec:
         if "" not in self.ids:  # one marker with nothing behind it
             self.ids[""] = ",".join(map(str, self.sp.encode("a ")[len(self.sp.encode("a")) :]))
 
+    def learn(self, texts: Iterable[str | None]) -> None:
+        """Segment in one call every chunk of the texts that the table lacks."""
+        if not self.chunked:
+            return
+        if len(self.ids) > self.most:
+            self.ids.clear()
+            self.odd.clear()
+        missing: set[str] = set()
+        for text in texts:
+            if text:
+                missing.update(split_chunks(text))
+        self._add(missing.difference(self.ids))
+
     def encode(self, text: str | None) -> tuple[int, str, str]:
         """Number of ids, the ids in decimal joined by commas, and what they decode to."""
         if not text:
@@ -87,12 +100,11 @@ class ChunkCodec:
             ids = self.sp.encode(text)
             return len(ids), ",".join(map(str, ids)), self.sp.decode(ids)
         chunks = split_chunks(text)
-        if len(self.ids) > self.most:
-            self.ids.clear()
-            self.odd.clear()
-        if missing := set(chunks).difference(self.ids):
-            self._add(missing)
-        ids = ",".join(map(self.ids.__getitem__, chunks))
+        try:
+            ids = ",".join(map(self.ids.__getitem__, chunks))
+        except KeyError:
+            self._add(set(chunks).difference(self.ids))
+            ids = ",".join(map(self.ids.__getitem__, chunks))
         surfaces = [self.odd.get(c, c) for c in chunks] if self.odd else chunks
         return ids.count(",") + 1, ids, " ".join(surfaces)
 
@@ -109,13 +121,16 @@ def _worker(model: bytes, outputs: tuple[str, ...], chunks: int) -> Callable[[It
             "decoded_sha256": (pa.string(), lambda n, ids, dec: sha(dec)),
         }
         for batch in batches:
-            values: list[list] = [[] for _ in outputs]
-            for text in batch.column(1):
-                got = codec.encode(text.as_py())
-                for column, name in zip(values, outputs, strict=True):
-                    column.append(make[name][1](*got))
-            columns = [pa.array(v, make[name][0]) for v, name in zip(values, outputs, strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], ["doc_id", *outputs])
+            for part in text_slices(batch, 1):
+                texts = part.column(1).to_pylist()
+                codec.learn(texts)
+                values: list[list] = [[] for _ in outputs]
+                for text in texts:
+                    got = codec.encode(text)
+                    for column, name in zip(values, outputs, strict=True):
+                        column.append(make[name][1](*got))
+                columns = [pa.array(v, make[name][0]) for v, name in zip(values, outputs, strict=True)]
+                yield pa.RecordBatch.from_arrays([part.column(0), *columns], ["doc_id", *outputs])
 
     return run
 
