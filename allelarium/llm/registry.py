@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from allelarium.llm import quality_classifier, quality_rules, sentencepiece_codec, token_counts
+from allelarium.llm import line_dedup, quality_classifier, quality_rules, sentencepiece_codec, token_counts
 
-_MODULES = (sentencepiece_codec, token_counts, quality_classifier, quality_rules)
+_MODULES = (sentencepiece_codec, token_counts, quality_classifier, quality_rules, line_dedup)
 
 
 def queries() -> dict:
