@@ -63,6 +63,24 @@ class Scratch:
             fs.delete(path, True)
 
 
+#: Rows that a broadcast list of frequent keys has at most.
+FREQUENT_KEYS = 100_000
+
+
+def left_join_groups(rows: DataFrame, groups: DataFrame, key: str, total: int) -> DataFrame:
+    """Left join to groups (key, n: rows of the key, more), one for a key, without gathering a frequent key's rows in a task.
+
+    Of `total` rows at most FREQUENT_KEYS keys have more than total / FREQUENT_KEYS
+    each: those are broadcast, and only rows of other keys are shuffled.
+    """
+    most = max(1_000, total // FREQUENT_KEYS)
+    hot = groups.where(F.col("n") > most).withColumn("_hot", F.lit(True))
+    marked = rows.join(F.broadcast(hot), key, "left").drop("n")
+    rest = marked.where("_hot is null").select(*rows.columns)
+    cold = rest.join(groups.where(F.col("n") <= most).drop("n"), key, "left")
+    return marked.where("_hot").drop("_hot").unionByName(cold)
+
+
 def held_out(doc_id: str = "doc_id"):
     """True for the quarter of ids that no label is learnt from: crc32 of the id's text mod 4 is 2."""
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 4 == 2, F.lit(False))
