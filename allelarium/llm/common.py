@@ -107,6 +107,8 @@ def shingle_hashes(words: np.ndarray, n: int) -> np.ndarray:
 
 BLANK = np.zeros(256, bool)
 BLANK[[0x20, *range(0x09, 0x0E)]] = True
+#: Every ASCII character but letters and digits.
+MARKS = np.array([c < 128 and not chr(c).isalnum() for c in range(256)])
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 _BYTE = mix64(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93))
@@ -120,9 +122,10 @@ class Words:
     codes, then scrambled with the length), `starts` and `ends` its place in
     `data`, the UTF-8 of all texts; text i has the words bounds[i]:bounds[i+1]
     and the bytes offsets[i]:offsets[i+1]. A null counts as an empty text.
+    `blank` says for each byte whether it parts words.
     """
 
-    def __init__(self, column: pa.Array, lower: bool = True):
+    def __init__(self, column: pa.Array, lower: bool = True, blank: np.ndarray = BLANK):
         column = pc.fill_null(column, "").cast(pa.large_string())
         _, offsets, data = column.buffers()
         self.offsets = np.frombuffer(offsets, np.int64)[column.offset : column.offset + len(column) + 1]
@@ -130,7 +133,7 @@ class Words:
         self.data = np.frombuffer(data, np.uint8)[base:end] if data is not None and end > base else np.zeros(0, np.uint8)
         self.offsets = self.offsets - base if len(column) else np.zeros(1, np.int64)
         codes = LOWER[self.data] if lower else self.data
-        word = ~BLANK[codes]
+        word = ~blank[codes]
         first, last = word.copy(), word.copy()
         if len(word):
             cut = self.offsets[1:-1]
