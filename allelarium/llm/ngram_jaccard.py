@@ -346,6 +346,14 @@ def jaccard_components(docs: DataFrame, *, n: int = N, percent: int = PERCENT) -
     return out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
+def keep_representatives(docs: DataFrame, **parameters) -> DataFrame:
+    """The rows of docs, with their columns, that have their component's least doc_id, and those with a null id."""
+    found = jaccard_components(docs, **parameters)
+    gone = Scratch(docs.sparkSession, "near-duplicates").write(found.where("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct(), "gone")
+    gone = F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone
+    return docs.join(gone, docs["doc_id"].cast("long") == gone["_gone"], "left_anti")
+
+
 def _grouped(f):
     def run(table: pa.Table) -> pa.Table:
         return pa.Table.from_batches(list(f(iter(table.to_batches()))))

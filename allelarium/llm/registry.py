@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from allelarium.llm import chat_format, decontaminate, line_dedup, ngram_jaccard, quality_classifier, quality_rules, sentencepiece_codec, sharding, token_counts
+from allelarium.llm import chat_format, decontaminate, line_dedup, ngram_jaccard, quality_classifier, quality_rules, sentencepiece_codec, sharding, token_counts, toxicity
 
-_MODULES = (sentencepiece_codec, token_counts, quality_classifier, quality_rules, line_dedup, sharding, chat_format, ngram_jaccard, decontaminate)
+_MODULES = (sentencepiece_codec, token_counts, quality_classifier, quality_rules, line_dedup, sharding, chat_format, ngram_jaccard, decontaminate, toxicity)
 
 
 def queries() -> dict:
