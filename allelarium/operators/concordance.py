@@ -79,7 +79,7 @@ class _Joined:
         lacking = self.expand(seen, *key, "n", hide=("entry",)).select(*key, *place, (-F.col("n")).alias("n"), *KEY)
         whole = self.expand(grid, *key, "cells").select(*key, *place, F.col("cells").alias("n"), *KEY)
         parts = observed.select(*key, "l", "r", "n", *KEY).unionByName(lacking).unionByName(whole)
-        return parts.groupBy(*key, *KEY).agg(*count_cells(F.col("n")))
+        return parts.groupBy(*key, *KEY).agg(*count_cells(F.col("n")), F.sum("n").alias("n_cells"))
 
     def distinct(self, frame: DataFrame, column: str, name: str, hide: tuple[str, ...], only: str | None = None) -> DataFrame:
         """Distinct values of a column for each pair."""
@@ -128,8 +128,7 @@ def variant_concordance(exo: CallSet, imp: CallSet, groups: list[Variable] = (),
     counts = counts.join(j.variants.select(*VARIANT, F.col("locus").isNotNull().cast("long").alias("n_variants")), [*VARIANT])
     entry_aggs = [v.name for v in j.aggs if v.axis == "entry"]
     counts = _matched(j, counts, j.distinct(j.samples, "s", "all_samples", ("row", "entry")), "all_samples", ("row", "entry"))
-    cells = sum((F.col(f"c_{a}{b}") for a in range(5) for b in range(5)), F.lit(0))
-    own = F.when(F.col("agg_var").isNotNull(), cells)
+    own = F.when(F.col("agg_var").isNotNull(), F.col("n_cells"))
     counts = counts.withColumn("n_samples", F.when(F.col("agg_var_name").isin(entry_aggs or [""]), own).otherwise(F.col("all_samples"))).drop("all_samples")
     key = ["contig", "position", "ref", "alt"]
     counts = counts.withColumn("ref", F.get("alleles", F.lit(0))).withColumn("alt", F.array_join(F.slice("alleles", 2, 1 << 20), ",")).drop("alleles")
@@ -146,7 +145,7 @@ def sample_concordance(exo: CallSet, imp: CallSet, join_type: JoinType = JoinTyp
 
 
 def _ordered(counts: DataFrame, key: list[str]) -> DataFrame:
-    out = with_statistics(counts)
+    out = with_statistics(counts.drop("n_cells"))
     first = [*key, *KEY, "n_variants", "n_samples"]
     return out.select(*first, *(c for c in out.columns if c not in first))
 
