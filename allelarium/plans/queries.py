@@ -73,7 +73,7 @@ def _long_sql(groups: list[str], aggs: list[str], *, outer: bool = False, key: s
             parts.append(
                 f"SELECT {key} '{g}' AS group_var_name, {gv} AS group_var, '{a}' AS agg_var_name, {av} AS agg_var, "
                 f"count(DISTINCT CASE WHEN has_left THEN contig || ':' || position END) AS n_variants, count(DISTINCT s) AS n_samples, {_COUNT_SQL} "
-                f"FROM dense GROUP BY ALL HAVING {gv} IS NOT NULL AND {av} IS NOT NULL"
+                f"FROM dense WHERE {gv} IS NOT NULL AND {av} IS NOT NULL GROUP BY {key} {gv}, {av}"
             )
     return f"WITH {_dense(outer)}, counted AS ({' UNION ALL '.join(parts)}) SELECT {_DERIVED_SQL} FROM counted"
 
@@ -313,7 +313,7 @@ def union_rows(spark, sf_dir):
 
 
 def ld_pairs_r2(spark, sf_dir):
-    return _tidy(linear.ld_pairs(exome(spark, sf_dir), r2_thresh=0.2, bp_window_size=20_000).select("contig", "position", F.array_join("alleles", "/").alias("alleles"), "position_2", F.array_join("alleles_2", "/").alias("alleles_2"), "r2"))
+    return _tidy(linear.ld_pairs(exome(spark, sf_dir), r2_thresh=0.02, bp_window_size=100_000).select("contig", "position", F.array_join("alleles", "/").alias("alleles"), "position_2", F.array_join("alleles_2", "/").alias("alleles_2"), "r2"))
 
 
 def pc_projection(spark, sf_dir):
@@ -328,7 +328,7 @@ def pca_scores(spark, sf_dir):
 
 
 def ld_prune(spark, sf_dir):
-    return _key(linear.ld_prune(exome(spark, sf_dir), bp_window_size=20_000))
+    return _key(linear.ld_prune(exome(spark, sf_dir), r2_thresh=0.02, bp_window_size=100_000))
 
 
 def relatedness(spark, sf_dir):
@@ -424,8 +424,8 @@ SELECT {KEYS}, count(*) AS n, sum(own)::BIGINT AS ac, sum(others)::BIGINT AS ad_
     "ld_pairs_r2": f"""WITH {_EXO}, m AS (SELECT vid, contig, position, ref || '/' || alt AS alleles, sid, n_alt - avg(n_alt) OVER (PARTITION BY vid) AS x FROM e WHERE n_alt IS NOT NULL),
 z AS (SELECT vid, sum(x * x) AS xx FROM m GROUP BY vid)
 SELECT a.contig, a.position, a.alleles, b.position AS position_2, b.alleles AS alleles_2, round(sum(a.x * b.x) ** 2 / (any_value(za.xx) * any_value(zb.xx)), 9) AS r2
-FROM m a JOIN m b ON a.contig = b.contig AND a.sid = b.sid AND (a.position, a.ref_alt) < (b.position, b.ref_alt) AND b.position - a.position <= 20000
-JOIN z za ON za.vid = a.vid JOIN z zb ON zb.vid = b.vid WHERE za.xx > 0 AND zb.xx > 0 GROUP BY a.vid, b.vid, 1, 2, 3, 4, 5 HAVING sum(a.x * b.x) ** 2 / (any_value(za.xx) * any_value(zb.xx)) > 0.2""".replace("alleles, sid, n_alt - avg", "alleles, [ref, alt] AS ref_alt, sid, n_alt - avg"),
+FROM m a JOIN m b ON a.contig = b.contig AND a.sid = b.sid AND (a.position, a.ref_alt) < (b.position, b.ref_alt) AND b.position - a.position <= 100000
+JOIN z za ON za.vid = a.vid JOIN z zb ON zb.vid = b.vid WHERE za.xx > 0 AND zb.xx > 0 GROUP BY a.vid, b.vid, 1, 2, 3, 4, 5 HAVING sum(a.x * b.x) ** 2 / (any_value(za.xx) * any_value(zb.xx)) > 0.02""".replace("alleles, sid, n_alt - avg", "alleles, [ref, alt] AS ref_alt, sid, n_alt - avg"),
     "pc_projection": f"""WITH {_EXO}, n AS (SELECT count(*) AS m FROM ev), w AS (SELECT sid, vid, (n_alt - 2 * af) / sqrt(m * 2 * af * (1 - af)) AS w FROM (SELECT sid, vid, n_alt, (vid % 9 + 1) / 11.0::DOUBLE AS af FROM e WHERE n_alt IS NOT NULL) x, n)
 SELECT es.s, {', '.join(f'round(sum(w * ((vid * {k} % 17) - 8) / 8.0::DOUBLE), 6) AS pc{i + 1}' for i, k in enumerate((3, 5, 7)))} FROM es LEFT JOIN w ON w.sid = es.sid GROUP BY es.s""",
 }
