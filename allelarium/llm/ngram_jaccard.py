@@ -76,7 +76,7 @@ def _sets(column: pa.Array, n: int) -> Iterator[tuple[int | None, np.ndarray]]:
 
 
 def parity_bitmap(tokens: np.ndarray) -> bytes:
-    bits = min(1 << 16, max(64, 1 << (2 * len(tokens) - 1).bit_length()))
+    bits = min(1 << 16, max(64, 1 << (len(tokens) - 1).bit_length()))
     return np.packbits((np.bincount((mix64(tokens ^ np.uint64(1)) & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1).astype(np.uint8)).tobytes()
 
 
@@ -223,26 +223,27 @@ def _across(percent: int, few: int | None):
         comp, n, node = post["comp"], post["n"], post["node"]
         if comp.min() == comp.max():
             return
-        size = min(map(len, maps))
-        bits = np.stack([_folded(m, size) for m in maps])
         value, count = np.unique(comp, return_counts=True)
         common = value[count.argmax()]
-        minority = np.flatnonzero(comp != common)
         taken: dict[tuple[int, int], int] = {}
-        place = np.arange(len(node))
-        for i in minority:
-            other = (comp != comp[i]) & ((comp == common) | (place > i)) & (100 * np.minimum(n, n[i]) >= percent * np.maximum(n, n[i]))
-            j = np.flatnonzero(other)
-            if not len(j):
-                continue
-            j = j[np.bitwise_count(bits[j] ^ bits[i]).sum(1) <= max_difference(n[j] + n[i], percent)]
-            for k in j:
-                if few is not None:
-                    key = (min(comp[i], comp[k]), max(comp[i], comp[k]))
-                    taken[key] = taken.get(key, 0) + 1
-                    if taken[key] > few:
-                        continue
-                yield min(node[i], node[k]), max(node[i], node[k])
+        sizes = np.fromiter(map(len, maps), np.int64, len(maps))
+        for size in np.unique(sizes):  # sets of like sizes have bitmaps of one size or of a neighbouring one
+            at = np.flatnonzero((sizes == size) | (sizes == 2 * size))
+            bits = np.stack([_folded(maps[k], size) for k in at])
+            for row, i in enumerate(at):
+                if comp[i] == common:
+                    continue
+                other = (comp[at] != comp[i]) & ((comp[at] == common) | (at > i)) & ((sizes[at] == size) | (sizes[i] == size))
+                other &= 100 * np.minimum(n[at], n[i]) >= percent * np.maximum(n[at], n[i])
+                near = np.flatnonzero(other)
+                near = near[np.bitwise_count(bits[near] ^ bits[row]).sum(1) <= max_difference(n[at[near]] + n[i], percent)]
+                for k in at[near]:
+                    if few is not None:
+                        key = (min(comp[i], comp[k]), max(comp[i], comp[k]))
+                        taken[key] = taken.get(key, 0) + 1
+                        if taken[key] > few:
+                            continue
+                    yield min(node[i], node[k]), max(node[i], node[k])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def of(held: pa.Table) -> pa.RecordBatch | None:
