@@ -61,10 +61,11 @@ def _with_group(rows: DataFrame, groups: DataFrame, key: list[str], total: int)
 
 
 def _lines(docs: DataFrame) -> DataFrame:
-    """(doc_id, digest, seq, line, chars): the lines with a word, numbered within their document."""
-    worded = F.filter(F.split("text", "\n", -1), lambda x: x.rlike(_WORD))
-    each = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("digest"), F.posexplode(worded).alias("seq", "content"))
-    return each.select(*_DOC, F.col("seq").cast("long").alias("seq"), F.xxhash64("content").alias("line"), F.length("content").cast("long").alias("chars"))
+    """(doc_id, digest, seq, pos, line, chars): the lines with a word, numbered among these and, from 0, among all of their document."""
+    numbered = F.transform(F.split("text", "\n", -1), lambda x, i: F.struct(i.alias("pos"), x.alias("content")))
+    worded = F.filter(numbered, lambda x: x["content"].rlike(_WORD))
+    each = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("digest"), F.posexplode(worded).alias("seq", "at"))
+    return each.select(*_DOC, F.col("seq").cast("long").alias("seq"), "at.pos", F.xxhash64("at.content").alias("line"), F.length("at.content").cast("long").alias("chars"))
 
 
 def _ranks(pairs: DataFrame, key: list[str], scratch: Scratch, name: str) -> DataFrame:
@@ -106,8 +107,8 @@ def _least_runs(lines: DataFrame, min_chars: int) -> DataFrame:
     return runs.where("run.length is not null").select(*_DOC, "run.start", "run.length").distinct()
 
 
-def repeated_runs(docs: DataFrame, *, min_chars: int = MIN_CHARS, scratch: Scratch | None = None) -> DataFrame:
-    """(doc_id, digest, start, length): the least runs of lines that have an equal run earlier."""
+def repeated_runs(docs: DataFrame, *, min_chars: int = MIN_CHARS, scratch: Scratch | None = None) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, digest, start, length): the least runs of lines that have an equal run earlier; and the lines that occur more than once."""
     scratch = scratch or Scratch(docs.sparkSession, "line-dedup")
     lines = scratch.write(_lines(docs), "lines")
     counts = scratch.write(lines.groupBy("line").agg(F.count("*").alias("n")).where("n > 1"), "counts")
@@ -142,26 +143,26 @@ def repeated_runs(docs: DataFrame, *, min_chars: int = MIN_CHARS, scratch: Scrat
     first = F.min(F.struct(*_DOC, "start")).alias("first")
     groups = scratch.write(named.groupBy(*key).agg(F.count("*").alias("n"), first).where("n > 1"), "groups")
     copies = _with_group(named, groups, key, named.count()).where(~F.struct(*_DOC, "start").eqNullSafe(F.col("first")))
-    return scratch.write(copies.select(*_DOC, "start", "length"), "copies")
+    return scratch.write(copies.select(*_DOC, "start", "length"), "copies"), active
 
 
 def drop_repeated_lines(docs: DataFrame, *, min_chars: int = MIN_CHARS) -> DataFrame:
     """The rows of docs with `text` as it is after deletion, and n_lines and n_removed."""
     scratch = Scratch(docs.sparkSession, "line-dedup")
-    copies = repeated_runs(docs, min_chars=min_chars, scratch=scratch)
-    gone = copies.select(*_DOC, F.explode(F.sequence(F.col("start"), F.col("start") + F.col("length") - 1)).alias("seq"))
-    gone = gone.groupBy(*_DOC).agg(F.collect_set("seq").alias("_gone")).select(F.col("doc_id").alias("_doc"), F.col("digest").alias("_digest"), "_gone")
-    joined = docs.join(gone, docs["doc_id"].cast("long").eqNullSafe(gone["_doc"]) & (F.xxhash64(docs["text"]) == gone["_digest"]), "left")
-    lines = F.split("text", "\n", -1)
-    places = F.sequence(F.lit(0), F.size(lines) - 1)
-    with_lines = joined.withColumn("_lines", lines).withColumn("_worded", F.when(F.col("_gone").isNotNull(), F.filter(places, lambda i: F.get(F.col("_lines"), i).rlike(_WORD))))
-    left = F.array_except(F.sequence(F.lit(0), F.size("_lines") - 1), F.transform("_gone", lambda s: F.get(F.col("_worded"), s.cast("int"))))
-    kept = F.array_join(F.transform(left, lambda i: F.get(F.col("_lines"), i)), "\n")
-    n_lines = F.when(F.col("text").isNull(), 0).otherwise(F.size("_lines")).cast("long")
-    return with_lines.select(
-        *(docs[c] if c != "text" else F.when(F.col("_gone").isNull(), docs["text"]).otherwise(kept).alias("text") for c in docs.columns),
-        n_lines.alias("n_lines"),
-        F.coalesce(F.size("_gone"), F.lit(0)).cast("long").alias("n_removed"),
+    copies, active = repeated_runs(docs, min_chars=min_chars, scratch=scratch)
+    seqs = copies.select(*_DOC, F.explode(F.sequence(F.col("start"), F.col("start") + F.col("length") - 1)).alias("seq")).distinct()
+    gone = seqs.join(active, _same(seqs, active, *_DOC) & (seqs["seq"] == active["seq"])).select(*(seqs[c] for c in _DOC), "pos")
+    # written, so that what a lambda below reads is a stored column and not computed anew for each line
+    gone = scratch.write(gone.groupBy(*_DOC).agg(F.array_sort(F.collect_set("pos")).alias("gone")), "gone")
+    gaps = F.transform("gone", lambda p, k: F.concat(F.repeat(F.lit("0"), p - F.coalesce(F.get("gone", k - 1), F.lit(-1)) - 1), F.lit("1")))
+    marks = scratch.write(gone.select(F.col("doc_id").alias("_doc"), F.col("digest").alias("_digest"), F.size("gone").cast("long").alias("_n"), F.split(F.array_join(gaps, ""), "").alias("_marks")), "marks")
+    joined = docs.join(marks, docs["doc_id"].cast("long").eqNullSafe(marks["_doc"]) & (F.xxhash64(docs["text"]) == marks["_digest"]), "left")
+    lines = F.split(docs["text"], "\n", -1)
+    kept = F.array_join(F.filter(lines, lambda x, i: F.coalesce(F.get("_marks", i), F.lit("0")) != "1"), "\n")
+    return joined.select(
+        *(docs[c] if c != "text" else F.when(F.col("_n").isNull(), docs["text"]).otherwise(kept).alias("text") for c in docs.columns),
+        F.when(docs["text"].isNull(), 0).otherwise(F.size(lines)).cast("long").alias("n_lines"),
+        F.coalesce("_n", F.lit(0)).cast("long").alias("n_removed"),
     )
 
 
