@@ -52,6 +52,8 @@ HEAVY_SHARE, HEAVY_LEAST = 1e-3, 64
 PIECE, PIECE_LEAST = 2 << 20, 4
 #: Prefix tokens of one index bucket; sets of one block of a list; ids that are broadcast at most.
 BUCKET_ROWS, BLOCK_ROWS, BROADCAST_IDS = 500_000, 20_000, 1_000_000
+#: Bits of a parity bitmap at least: small sets that just miss the threshold then rarely pass.
+MIN_BITS = 1024
 #: Pairs that the first look across components takes for each pair of components in a list.
 FEW = 4
 _ORDERS = [np.uint64(x) for x in (0x243F6A8885A308D3, 0x13198A2E03707344, 0xA4093822299F31D0)]
@@ -76,7 +78,7 @@ def _sets(column: pa.Array, n: int) -> Iterator[tuple[int | None, np.ndarray]]:
 
 
 def parity_bitmap(tokens: np.ndarray) -> bytes:
-    bits = min(1 << 16, max(64, 1 << (len(tokens) - 1).bit_length()))
+    bits = min(1 << 16, max(MIN_BITS, 1 << (len(tokens) - 1).bit_length()))
     return np.packbits((np.bincount((mix64(tokens ^ np.uint64(1)) & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1).astype(np.uint8)).tobytes()
 
 
