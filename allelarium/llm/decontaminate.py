@@ -1,14 +1,13 @@
-"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
+"""Benchmark decontamination: n-gram seeds, then Smith-Waterman alignment.
 
 Texts are sequences of words (runs of letters and digits, A-Z lower-cased). One
 pass over the corpus finds every n-gram that occurs in a test item (the whole
-item, if it is shorter) and keeps, for each document and item, the seeds and
-the words around the diagonals they lie on. A seed is rare unless it is common
-language: unless in over `common_share` of all documents (and `common_least`)
-it is the one seed of its item - copies of an item bring many seeds together,
-so copies, however frequent, don't make a seed common. Pairs with a rare seed
-are aligned: +2 for a match, -1 for a mismatch or a gap. A pair is a leak where
-the best local alignment reaches `threshold` of the item's own score.
+item, if it is shorter), a seed, and aligns the words around the diagonals of a
+document's seeds with the item: +2 for a match, -1 for a mismatch or a gap. A
+pair is a leak where the best local alignment reaches `threshold` of the item's
+own score, however frequent its seeds are in the corpus. Only stretches that
+cannot reach it are not aligned: a word that the other side lacks costs 1
+whichever way it is passed, which bounds the score at little cost.
 
 Test items go to the executors in blocks of at most `BLOCK_CHARS` characters,
 one pass over the corpus for each block, so what is broadcast has a fixed size
@@ -33,11 +32,10 @@ from allelarium.llm.common import MARKS, Scratch, Words, read_table, shingle_has
 
 SEED_WORDS = 3
 THRESHOLD = 0.5
-COMMON_SHARE, COMMON_LEAST = 1e-3, 20
 BLOCK_CHARS = 16 << 20
 #: Ids that an anti-join broadcasts at most.
 BROADCAST_IDS = 1_000_000
-_HITS = "doc_id long, item int, seeds binary, first int, words binary"
+_LEAKS = "doc_id long, item_id long, score double, n_seeds long, start_word long, end_word long"
 
 
 def alignment(item: np.ndarray, words: np.ndarray) -> tuple[int, int, int]:
@@ -63,6 +61,15 @@ def _best(item: np.ndarray, words: np.ndarray) -> tuple[int, int]:
     return best, end
 
 
+def most(item: np.ndarray, words: np.ndarray) -> int:
+    """A score that no local alignment of the item in the words exceeds: the best stretch of either, at 2 for a word that the other has and -1 for one it lacks."""
+    bounds = []
+    for a, b in ((item, words), (words, item)):
+        total = np.concatenate(([0], np.cumsum(np.where(np.isin(a, b), 2, -1))))
+        bounds.append(int((total - np.minimum.accumulate(total)).max()))
+    return min(bounds)
+
+
 class Items:
     """Word hashes of a block of test items, and their seeds sorted by hash."""
 
@@ -98,8 +105,8 @@ class Items:
         return np.concatenate([a for a, _ in found]), np.concatenate([s for _, s in found])
 
 
-def _find(items: Items):
-    """Rows of _HITS: for a document and an item the hashes of its seeds, and one stretch of words around their diagonals."""
+def _leaks(items: Items, threshold: float):
+    """Rows of _LEAKS: for a document and an item that it leaks the best alignment, of equal ones the first."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -115,67 +122,45 @@ def _find(items: Items):
                     owner = items.owner[seed]
                     for item in np.unique(owner):
                         here = owner == item
-                        size = len(items.words[item])
+                        own = items.words[item]
+                        size = len(own)
                         start = np.sort(at[here] - items.place[seed[here]])
                         lo, hi = start - size // 2 - 1, start + size + size // 2 + 1
                         cut = np.flatnonzero(lo[1:] > np.maximum.accumulate(hi)[:-1]) + 1
-                        seeds = np.unique(items.seeds[seed[here]]).tobytes()
+                        best, place = 0, (0, 0)
                         for a, b in zip([0, *cut], [*cut, len(lo)], strict=True):
                             first, last = max(0, int(lo[a])), min(len(mine), int(hi[a:b].max()))
-                            out.append((ids[i], int(item), seeds, first, mine[first:last].tobytes()))
-                columns = list(zip(*out, strict=True)) if out else [()] * 5
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int32(), pa.binary(), pa.int32(), pa.binary()), strict=True)], ["doc_id", "item", "seeds", "first", "words"])
-
-    return run
-
-
-def _lonely(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(seed, n): of the pairs with one seed alone, how often each is that seed."""
-    for batch in batches:
-        alone = np.frombuffer(b"".join(s for s in batch.column(0).to_pylist() if len(s) == 8), np.uint64)
-        seed, n = np.unique(alone, return_counts=True)
-        yield pa.RecordBatch.from_arrays([pa.array(seed.view(np.int64)), pa.array(n.astype(np.int64))], ["seed", "n"])
-
-
-def _align(items: Items, common: np.ndarray, threshold: float):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out: list[tuple] = []
-            for doc, item, seeds, first, words in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                seeds = np.frombuffer(seeds, np.uint64)
-                if np.isin(seeds, common).all():
-                    continue
-                own = items.words[item]
-                score, start, end = alignment(own, np.frombuffer(words, np.uint64))
-                if score >= threshold * 2 * len(own):
-                    out.append((doc, items.ids[item], score / (2 * len(own)), len(seeds), first + start, first + end))
-            columns = list(zip(*out, strict=True)) if out else [()] * 6
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64(), pa.int64()), strict=True)], ["doc_id", "item_id", "score", "n_seeds", "start_word", "end_word"])
+                            bound = most(own, mine[first:last])
+                            if bound <= best or bound < threshold * 2 * size:
+                                continue
+                            score, begin, end = alignment(own, mine[first:last])
+                            if score > best:
+                                best, place = score, (first + begin, first + end)
+                            if best == 2 * size:
+                                break
+                        if best and best >= threshold * 2 * size:
+                            out.append((ids[i], items.ids[item], best / (2 * size), len(np.unique(items.seeds[seed[here]])), *place))
+                columns = list(zip(*out, strict=True)) if out else [()] * 6
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64(), pa.int64()), strict=True)], ["doc_id", "item_id", "score", "n_seeds", "start_word", "end_word"])
 
     return run
 
 
-def find_leaks(docs: DataFrame, benchmark: DataFrame, *, n: int = SEED_WORDS, threshold: float = THRESHOLD, common_share: float = COMMON_SHARE, common_least: int = COMMON_LEAST, block_chars: int = BLOCK_CHARS) -> DataFrame:
+def find_leaks(docs: DataFrame, benchmark: DataFrame, *, n: int = SEED_WORDS, threshold: float = THRESHOLD, block_chars: int = BLOCK_CHARS) -> DataFrame:
     """(doc_id, item_id, score, n_seeds, start_word, end_word): the best stretch of each document that leaks an item."""
-    spark = docs.sparkSession
-    scratch = Scratch(spark, "decontaminate")
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     wanted = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))
     size = wanted.agg(F.sum(F.length("text"))).first()[0] or 0
     blocks = max(1, -(-size // (block_chars // 2)))  # half full on average
-    total, parts = None, []
+    parts = []
     for k in range(blocks):
         mine = wanted.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k).orderBy("item_id", "text").collect()
         items = Items([r[0] for r in mine], [r[1] for r in mine], n)
         if not len(items.seeds):
             continue
-        hits = scratch.write(texts.mapInArrow(_find(items), _HITS), f"hits-{k}")
-        total = docs.count() if total is None else total
-        common = hits.select("seeds").mapInArrow(_lonely, "seed long, n long").groupBy("seed").agg(F.sum("n").alias("n")).where(F.col("n") > max(common_least, common_share * total))
-        common = np.array([r[0] for r in common.select("seed").collect()], np.int64).view(np.uint64)  # some of the block's seeds
-        parts.append(hits.mapInArrow(_align(items, common, threshold), "doc_id long, item_id long, score double, n_seeds long, start_word long, end_word long"))
+        parts.append(texts.mapInArrow(_leaks(items, threshold), _LEAKS))
     if not parts:
-        return spark.createDataFrame([], "doc_id long, item_id long, score double, n_seeds long, start_word long, end_word long")
+        return docs.sparkSession.createDataFrame([], _LEAKS)
     found = parts[0]
     for p in parts[1:]:
         found = found.unionByName(p)

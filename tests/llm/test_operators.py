@@ -319,6 +319,26 @@ def test_decontamination(spark):
     assert decontaminate.find_leaks(docs, benchmark.limit(0)).count() == decontaminate.find_leaks(docs.limit(0), benchmark).count() == 0
 
 
+def test_frequent_leaks_are_found(spark):
+    rng = random.Random(18)
+    vocabulary = ["".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(500)]
+    make = lambda n: " ".join(rng.choice(vocabulary) for _ in range(n))
+    item = make(12).split()
+    thirds = " ".join("changed" if k in (1, 5, 8, 11) else w for k, w in enumerate(item))  # one 3-gram is left: 8 * 2 - 4 of 24
+    assert sum(thirds.split()[k : k + 3] == item[k : k + 3] for k in range(10)) == 1
+    texts = [make(20) + " Three short words, " + make(20) for _ in range(30)] + [make(20) + " " + thirds + " " + make(20) for _ in range(30)] + [make(40) for _ in range(30)]
+    benchmark = spark.createDataFrame([(0, "three short words"), (1, " ".join(item))], "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"]) for r in decontaminate.find_leaks(docs_frame(spark, texts), benchmark).collect()}
+    assert got == {(k, 0) for k in range(30)} | {(30 + k, 1) for k in range(30)}
+
+
+def test_most_is_a_bound():
+    rng = np.random.default_rng(19)
+    for _ in range(300):
+        a, b = (rng.integers(0, 9, rng.integers(1, n)).astype(np.uint64) for n in (9, 14))
+        assert decontaminate.alignment(a, b)[0] <= decontaminate.most(a, b)
+
+
 def test_alignment_by_brute_force():
     rng = np.random.default_rng(9)
     for _ in range(60):
