@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
+import tempfile
+import uuid
+
 from pyspark.sql import SparkSession
 
 
@@ -39,3 +44,21 @@ def write_text(spark: SparkSession, where: str, text: str) -> None:
 def list_folder(spark: SparkSession, where: str) -> list[str]:
     fs, path = _at(spark, where)
     return sorted(f.getPath().toString() for f in fs.listStatus(path))
+
+
+def delete(spark: SparkSession, where: str) -> None:
+    fs, path = _at(spark, where)
+    fs.delete(path, True)
+
+
+def round_folder(spark: SparkSession, label: str) -> str:
+    """A new folder in `spark.checkpoint.dir` (in a temporary one where that is unset), deleted when the driver ends."""
+    at = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="rounds-")
+    root = f"{at.rstrip('/')}/{label}-{uuid.uuid4().hex[:12]}"
+
+    def close() -> None:
+        with contextlib.suppress(Exception):
+            delete(spark, root)
+
+    atexit.register(close)
+    return root
