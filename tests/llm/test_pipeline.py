@@ -1,6 +1,7 @@
 """The pipeline's stages on a small corpus, each against what it must keep."""
 
 import importlib.util
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -29,3 +30,22 @@ def test_pipeline(spark, tmp_path):
     assert kept[1].where(F.length("text") != F.col("n_chars")).count() == 0
     benchmark = [r["text"] for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
     assert not [r["doc_id"] for r in kept[3].collect() if any(b in r["text"] for b in benchmark)]
+
+
+def test_near_duplicates_by_brute_force(spark):
+    rng = random.Random(11)
+    base = [[f"w{rng.randrange(10_000)}" for _ in range(100)] for _ in range(6)]
+    texts = [" ".join(b) for b in base]
+    for b in base:  # one, two and three separate changes: 0.90, 0.81 and 0.73 of the five-word shingles
+        for places in ((50,), (30, 70), (20, 50, 80)):
+            texts.append(" ".join(f"changed{len(places)}" if k in places else w for k, w in enumerate(b)))
+    sets = [{tuple(t.split()[k : k + 5]) for k in range(96)} for t in texts]
+    comp = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+                a, b = comp[i], comp[j]
+                comp = [min(a, b) if c in (a, b) else c for c in comp]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
+    kept = {r["doc_id"] for r in pipeline.near_duplicates(spark, docs, SF).collect()}
+    assert kept == {i for i, c in enumerate(comp) if i == c} and len(kept) == 12
