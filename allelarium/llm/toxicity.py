@@ -3,17 +3,25 @@
 The windows of a text are its words, each between two marks, so that a word
 that a dictionary knows is one match and a word of which it knows the stem is a
 shorter one. The distance of a window is its compressed length with the
-ordinary dictionary less that with the toxic one, in bytes. A document's score
-is a logistic function of its greatest distances and of how many windows are
-far; function and dictionaries are fitted on the driver from at most `rows`
-labelled documents, none of them held out.
+ordinary dictionary less that with the toxic one, in bytes. A text's statistic
+is the number of its far windows, over the root of the number of all; from
+which distance on a window is far, and the score that a statistic stands for,
+are calibrated on the labelled rows. Dictionaries and calibration are fitted on
+the driver from at most `rows` labelled documents, none of them held out.
 
 Toxic texts are ordinary text but for a few words, so the windows that train a
 dictionary are chosen by contrast: by the number of distinct preceding words in
 each class (copies of a text add none), toxic ones must be `RATIO` times as
-usual in toxic texts as in ordinary ones and have `LEAST` contexts. At most
-`WINDOWS` windows train each dictionary. Only words enter a score: no label,
-language, source or id.
+usual in toxic texts as in ordinary ones and have `LEAST` contexts. A sample of
+the training holds `PACK` windows side by side: from samples of one short
+window each, training drops the most telling ones. Toxic windows that the
+trained dictionary still doesn't hold are added to its content, so more labels
+never lose a window. At most `WINDOWS` windows train each dictionary. Only
+words enter a score: no label, language, source or id.
+
+A window is one word, so a passage that is toxic by its order of ordinary words
+alone is not seen. Dictionaries over windows of two and four words were
+measured and found less: README.md has the figures.
 
 Every distinct word of a task is compressed once while the table has at most
 `TABLE_WORDS` of them; memory is bounded by that and one slice of texts.
@@ -28,6 +36,7 @@ are ignored.
 from __future__ import annotations
 
 import math
+import random
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -43,13 +52,13 @@ from allelarium.llm.labelled import SAMPLE_ROWS, labelled_sample
 PREDICT_AT = 0.3
 LEAST, RATIO = 4, 8.0
 WINDOWS = 20_000
-DICTIONARY_BYTES = 64 << 10
+DICTIONARY_BYTES = 256 << 10
 LEVEL = 19
 TABLE_WORDS = 1 << 20
-#: Distances, in bytes, from which on windows are counted.
-FAR = (2, 3, 4, 5)
-TOP = 3
-FEATURES = TOP + len(FAR)
+#: Distances, in bytes, of which one becomes the threshold of a far window.
+FAR = tuple(range(2, 13))
+#: Windows in a sample of the training.
+PACK = 8
 _OPEN, _CLOSE = b"\x02\x1c\x1d\x1e", b"\x1f\x1c\x1d\x03"
 
 
@@ -58,12 +67,23 @@ def _window(word: bytes) -> bytes:
 
 
 def train(windows: list[tuple[bytes, int]], size: int = DICTIONARY_BYTES) -> bytes:
-    """A dictionary from (word, contexts); frequent words are given more often. Too little text for training is taken as it is."""
-    samples = [_window(w) for w, n in windows for _ in range(min(16, 1 + int(math.log2(max(1, n)))))]
+    """A dictionary from (word, contexts), in packs of PACK windows; frequent ones are given more often. Too little text for training is taken as it is."""
+    given = [_window(w) for w, n in windows for _ in range(min(16, 2 + int(math.log2(max(1, n)))))]
+    random.Random(0).shuffle(given)
     try:
-        return zstandard.train_dictionary(size, samples).as_bytes()
+        return zstandard.train_dictionary(size, [b"".join(given[i : i + PACK]) for i in range(0, len(given), PACK)]).as_bytes()
     except zstandard.ZstdError:
-        return b"".join(samples)[-size:]
+        return b"".join(_window(w) for w, _ in windows)[-size:]
+
+
+def train_pair(toxic: list[tuple[bytes, int]], ordinary: list[tuple[bytes, int]]) -> tuple[bytes, bytes]:
+    """The toxic and the ordinary dictionary. Toxic windows that come out no shorter with the toxic one are added to its content."""
+    if not toxic or not ordinary:
+        return b"", b""
+    # the most usual windows last: matches at the end of a dictionary are the cheapest
+    pair = train(toxic[::-1]), train(ordinary[::-1])
+    lost = [w for w, _ in toxic[::-1] if Distances(*pair).of(w) <= 0]
+    return pair[0] + b"".join(map(_window, lost)), pair[1]
 
 
 def _compressor(dictionary: bytes) -> zstandard.ZstdCompressor:
@@ -79,60 +99,67 @@ class Distances:
         self.pair = (_compressor(ordinary), _compressor(toxic)) if toxic and ordinary else None
         self.table: dict[int, int] = {}
 
-    def features(self, column: pa.Array) -> np.ndarray:
-        """For each text: its TOP greatest distances and, for each of FAR, log(1 + windows at least so far)."""
+    def of(self, word: bytes) -> int:
+        ordinary, toxic = self.pair
+        return len(ordinary.compress(_window(word))) - len(toxic.compress(_window(word)))
+
+    def counts(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """For each text its windows, and for each of FAR those at least so far."""
         words = Words(column, blank=MARKS)
-        out = np.zeros((len(words), FEATURES))
+        out = np.zeros((len(words), len(FAR)), np.int64)
         if self.pair is None or not len(words.hashes):
-            return out
+            return np.diff(words.bounds), out
         if len(self.table) > TABLE_WORDS:
             self.table.clear()
         distinct, first, inverse = np.unique(words.hashes, return_index=True, return_inverse=True)
-        ordinary, toxic = self.pair
         far = np.empty(len(distinct), np.int64)
         for k, (h, at) in enumerate(zip(distinct.tolist(), first.tolist(), strict=True)):
             d = self.table.get(h)
             if d is None:
-                window = _window(words.word(at).lower())
-                d = self.table[h] = len(ordinary.compress(window)) - len(toxic.compress(window))
+                d = self.table[h] = self.of(words.word(at).lower())
             far[k] = d
         each = far[inverse]
-        for i in range(len(words)):
-            mine = each[words.bounds[i] : words.bounds[i + 1]]
-            if len(mine):
-                top = np.sort(np.partition(mine, -TOP)[-TOP:] if len(mine) > TOP else mine)[::-1]
-                out[i, : len(top)] = np.maximum(top, 0)
-                out[i, TOP:] = [np.log1p((mine >= f).sum()) for f in FAR]
-        return out
+        for j, f in enumerate(FAR):
+            out[:, j] = np.diff(np.concatenate(([0], np.cumsum(each >= f)))[words.bounds])
+        return np.diff(words.bounds), out
 
 
 @dataclass
 class ToxicityModel:
     toxic: bytes
     ordinary: bytes
-    weights: np.ndarray  # the last is the constant
-    scale: np.ndarray
+    far: int  # from this distance on a window is far
+    slope: float
+    constant: float
 
-    def score(self, features: np.ndarray) -> np.ndarray:
-        return 1 / (1 + np.exp(-np.clip(features / self.scale @ self.weights[:-1] + self.weights[-1], -30, 30)))
+    def score(self, windows: np.ndarray, far: np.ndarray) -> np.ndarray:
+        return 1 / (1 + np.exp(-np.clip(self.slope * far / np.sqrt(np.maximum(windows, 1)) + self.constant, -30, 30)))
 
 
-def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.05, steps: int = 50) -> tuple[np.ndarray, np.ndarray]:
-    """Weights of a ridge logistic regression by Newton's method, and the columns' scale."""
-    scale = np.maximum(x.std(0), 1e-6) if len(x) else np.ones(x.shape[1])
-    a = np.column_stack((x / scale, np.ones(len(x))))
+def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3, steps: int = 100) -> tuple[float, float, float]:
+    """Slope (not negative), constant and mean loss of a logistic function of one statistic, by Newton's method."""
     share = (y.sum() + 0.5) / (len(y) + 1)
-    w = np.append(np.zeros(x.shape[1]), np.log(share / (1 - share)))
-    if not len(y) or y.min() == y.max():
-        return w, scale
-    penalty = np.append(np.full(x.shape[1], ridge), 1e-6)
-    for _ in range(steps):
-        p = 1 / (1 + np.exp(-np.clip(a @ w, -30, 30)))
-        step = np.linalg.solve((a * (p * (1 - p))[:, None]).T @ a + np.diag(penalty + 1e-9), a.T @ (p - y) + penalty * w)
-        w -= step
-        if np.abs(step).max() < 1e-8:
-            break
-    return w, scale
+    w, a = np.array([0.0, np.log(share / (1 - share))]), np.column_stack((x, np.ones(len(x))))
+    loss = lambda w: float(np.mean(np.logaddexp(0, a @ w) - y * (a @ w))) + ridge * w[0] ** 2 / 2 / max(1, len(y)) if len(y) else 0.0
+    if len(y) and 0 < y.sum() < len(y) and x.any():
+        for _ in range(steps):
+            p = 1 / (1 + np.exp(-np.clip(a @ w, -30, 30)))
+            step = np.linalg.solve((a * (p * (1 - p))[:, None]).T @ a + np.diag([ridge, 1e-9]), a.T @ (p - y) + np.array([ridge * w[0], 0]))
+            while loss(w - step) > loss(w) and np.abs(step).max() > 1e-9:
+                step = step / 2
+            w = w - step
+            if np.abs(step).max() < 1e-8:
+                break
+    if w[0] <= 0:
+        w = np.array([0.0, np.log(share / (1 - share))])
+    return float(w[0]), float(w[1]), loss(w)
+
+
+def calibrate(windows: np.ndarray, counts: np.ndarray, y: np.ndarray) -> tuple[int, float, float]:
+    """The threshold of FAR whose statistic tells the labels best, with the slope and constant of its score."""
+    fits = [_logistic(counts[:, j] / np.sqrt(np.maximum(windows, 1)), y) for j in range(len(FAR))]
+    best = min(range(len(FAR)), key=lambda j: fits[j][2])
+    return FAR[best], fits[best][0], fits[best][1]
 
 
 def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -166,30 +193,31 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, *, rows: int = SAMPLE_ROWS)
         pick = lambda rows, c: [(bytes(r["word"]), r[c]) for r in rows.orderBy(F.desc(c), "word").limit(WINDOWS).collect()]
         toxic_words = pick(counts.where(often & (F.col("toxic") >= LEAST)), "toxic")
         ordinary_words = pick(counts.where(~often & (F.col("ordinary") > 1)), "ordinary")
-    # the most usual windows last: matches at the end of a dictionary are the cheapest
-    toxic, ordinary = (train(w[::-1]) if w else b"" for w in (toxic_words, ordinary_words))
-    names = [f"f{i}" for i in range(FEATURES)]
+    toxic, ordinary = train_pair(toxic_words, ordinary_words)
+    names = [f"far_{f}" for f in FAR]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         distances = Distances(toxic, ordinary)
         for batch in batches:
             for part in text_slices(batch, 1):
-                x = distances.features(part.column(1))
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), *(pa.array(x[:, j]) for j in range(FEATURES))], ["doc_id", "label", *names])
+                windows, counts = distances.counts(part.column(1))
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(windows), *(pa.array(counts[:, j]) for j in range(len(FAR)))], ["doc_id", "label", "windows", *names])
 
-    got = sample.mapInArrow(run, ", ".join(["doc_id long", "label int", *(f"{c} double" for c in names)])).toPandas().sort_values(["doc_id", "label", *names])
-    weights, scale = _logistic(got[names].to_numpy(float), got["label"].to_numpy(float))
-    return ToxicityModel(toxic, ordinary, weights, scale)
+    got = sample.mapInArrow(run, ", ".join(["doc_id long", "label int", "windows long", *(f"{c} long" for c in names)])).toPandas().sort_values("doc_id")
+    scratch.close()
+    return ToxicityModel(toxic, ordinary, *calibrate(got["windows"].to_numpy(float), got[names].to_numpy(float), got["label"].to_numpy(float)))
 
 
 def score_toxicity(docs: DataFrame, model: ToxicityModel) -> DataFrame:
     """Per row: doc_id, held_out, score, predicted."""
+    at = FAR.index(model.far)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         distances = Distances(model.toxic, model.ordinary)
         for batch in batches:
             for part in text_slices(batch, 1):
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(model.score(distances.features(part.column(1))))], ["doc_id", "score"])
+                windows, counts = distances.counts(part.column(1))
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(model.score(windows, counts[:, at]))], ["doc_id", "score"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     scored = rows.mapInArrow(run, "doc_id long, score double")

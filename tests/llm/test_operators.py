@@ -178,6 +178,34 @@ def test_toxicity(spark):
     assert all(got[320 + k]["predicted"] == 0 for k in range(5)) and all(0 <= r["score"] <= 1 for r in got.values())
     nothing = toxicity.fit_toxicity(docs, labels.limit(0))
     assert {r["score"] for r in toxicity.score_toxicity(docs.limit(5), nothing).collect()} == {0.5}
+    assert toxicity.score_toxicity(docs.limit(0), nothing).count() == 0
+    assert toxicity.fit_toxicity(docs.limit(0), labels).toxic == b""
+
+
+def test_trained_dictionaries_keep_every_toxic_window():
+    rng = random.Random(6)
+    word = lambda: "".join(rng.choice("bcdfgklmnprst") + rng.choice("aeiou") for _ in range(rng.randint(2, 5))).encode()
+    toxic, ordinary = [(b"vile" + word(), rng.randint(4, 200)) for _ in range(300)], [(word(), rng.randint(2, 400)) for _ in range(4000)]
+    pair = toxicity.train_pair(toxic, ordinary)
+    distances = toxicity.Distances(*pair)
+    assert min(distances.of(w) for w, _ in toxic) > 0
+    assert np.mean([distances.of(w) <= 0 for w, _ in ordinary]) > 0.9
+    # far windows are counted as a plain loop over words counts them
+    text = b" ".join(w for w, _ in toxic[:20] + ordinary[:50]).decode()
+    windows, counts = distances.counts(pa.array([text, None, ""]))
+    each = [distances.of(w.encode()) for w in text.split()]
+    assert windows.tolist() == [70, 0, 0] and counts[0].tolist() == [sum(d >= f for d in each) for f in toxicity.FAR] and not counts[1:].any()
+
+
+def test_toxicity_of_held_out_documents_rises_with_labels(spark):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{name}.parquet") for name in ("documents", "labels"))
+    caught = []
+    for rows in (600, 20_000):
+        got = toxicity.score_toxicity(docs, toxicity.fit_toxicity(docs, labels, rows=rows)).where("held_out").join(labels, "doc_id").join(docs.select("doc_id", "lang"), "doc_id").toPandas()
+        toxic = got[got["toxic"] == 1]
+        caught.append(toxic["predicted"].mean())
+    assert got[got["toxic"] == 0]["predicted"].mean() <= 0.02
+    assert caught[1] > caught[0] and toxic.groupby("lang")["predicted"].mean().min() >= 0.9
 
 
 # op1
