@@ -1,7 +1,7 @@
 """Line dedup by a suffix array over line-ID sequences, built by distributed prefix doubling.
 
-A document is a sequence of line ids (64-bit hashes of its lines that have a
-word). Suffixes are ranked by their first 1, 2, 4, ... lines: rank 2k of a
+A document is a sequence of line ids (numbers of the distinct lines, by 128 bits
+of hash, of its lines that have a word). Suffixes are ranked by their first 1, 2, 4, ... lines: rank 2k of a
 suffix is the rank of the pair (rank k here, rank k of the suffix k lines on),
 found by a range-partitioned sort of the distinct pairs. A suffix whose rank is
 unique drops out, so only repeated text takes part in a round. All suffixes of
@@ -15,7 +15,9 @@ overlap and lie in one document. It is enough to look at the least runs of
 that size that start or end at each line: every maximal repeated run is the
 union of those inside it, and their depth bounds the doubling.
 
-Everything is DataFrame code. Counts are aggregated before the shuffle, and a
+Everything is DataFrame code, with one plan at any size: only ids, places and
+hashes are shuffled in the rounds, texts once at the end, and the tables of a
+round are dropped after it. Counts are aggregated before the shuffle, and a
 line or run that is more frequent than a bounded list can hold is joined from
 that list by broadcast, so no task gets all its copies.
 
@@ -28,6 +30,8 @@ empty table; extra columns are ignored.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -56,27 +60,28 @@ def _with_group(rows: DataFrame, groups: DataFrame, key: list[str], total: int)
     most = max(1_000, total // FREQUENT_KEYS)
     hot = groups.where(F.col("n") > most)
     cold = groups.where((F.col("n") > 1) & (F.col("n") <= most))
-    marked = rows.join(F.broadcast(hot.select(*key, F.lit(True).alias("is_hot"))), key, "left")
-    return marked.where("is_hot").drop("is_hot").join(F.broadcast(hot), key).unionByName(marked.where("is_hot is null").drop("is_hot").join(cold, key))
+    rest = rows.join(F.broadcast(hot.select(*key)), key, "left_anti")
+    return rows.join(F.broadcast(hot), key).unionByName(rest.join(cold.hint("merge"), key))
 
 
 def _lines(docs: DataFrame) -> DataFrame:
-    """(doc_id, digest, seq, pos, line, chars): the lines with a word, numbered among these and, from 0, among all of their document."""
+    """(doc_id, digest, seq, pos, line, line_2, chars): the lines with a word, numbered among these and, from 0, among all of their document."""
     numbered = F.transform(F.split("text", "\n", -1), lambda x, i: F.struct(i.alias("pos"), x.alias("content")))
     worded = F.filter(numbered, lambda x: x["content"].rlike(_WORD))
     each = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("digest"), F.posexplode(worded).alias("seq", "at"))
-    return each.select(*_DOC, F.col("seq").cast("long").alias("seq"), "at.pos", F.xxhash64("at.content").alias("line"), F.length("at.content").cast("long").alias("chars"))
+    ids = F.xxhash64("at.content").alias("line"), F.xxhash64(F.lit(1), "at.content").alias("line_2")
+    return each.select(*_DOC, F.col("seq").cast("long").alias("seq"), "at.pos", *ids, F.length("at.content").cast("long").alias("chars"))
 
 
 def _ranks(pairs: DataFrame, key: list[str], scratch: Scratch, name: str) -> DataFrame:
-    """(key, rank): the repeated keys numbered in their order, over a range-partitioned sort without a single-task window."""
+    """(key, n, rank): the keys of two rows or more numbered in their order, over a range-partitioned sort without a single-task window."""
     repeated = pairs.groupBy(*key).agg(F.count("*").alias("n")).where("n > 1")
     ordered = repeated.repartitionByRange(*key).sortWithinPartitions(*key)
-    placed = scratch.write(ordered.select(*key, F.spark_partition_id().alias("part"), F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)).alias("place")), name)
+    placed = scratch.write(ordered.select(*key, "n", F.spark_partition_id().alias("part"), F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)).alias("place")), name)
     parts = placed.groupBy("part").agg(F.count("*").alias("size"))  # a row for each partition
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     starts = parts.select("part", F.coalesce(F.sum("size").over(before), F.lit(0)).alias("first"))
-    return placed.join(F.broadcast(starts), "part").select(*key, (F.col("first") + F.col("place")).alias("rank"))
+    return placed.join(F.broadcast(starts), "part").select(*key, "n", (F.col("first") + F.col("place")).alias("rank"))
 
 
 def _least_runs(lines: DataFrame, min_chars: int) -> DataFrame:
@@ -111,39 +116,37 @@ def repeated_runs(docs: DataFrame, *, min_chars: int = MIN_CHARS, scratch: Scrat
     """(doc_id, digest, start, length): the least runs of lines that have an equal run earlier; and the lines that occur more than once."""
     scratch = scratch or Scratch(docs.sparkSession, "line-dedup")
     lines = scratch.write(_lines(docs), "lines")
-    counts = scratch.write(lines.groupBy("line").agg(F.count("*").alias("n")).where("n > 1"), "counts")
-    total = lines.count()
-    active = scratch.write(_with_group(lines, counts, ["line"], total).dropDuplicates([*_DOC, "seq"]).drop("n"), "active")
-    scratch.drop("lines")
+    ranks = _ranks(lines, ["line", "line_2"], scratch, "ranks-0")
+    active = scratch.write(_with_group(lines, ranks, ["line", "line_2"], lines.count()).select(*_DOC, "seq", "pos", "chars", "rank").dropDuplicates([*_DOC, "seq"]), "active")
+    scratch.drop("lines", "ranks-0")
     runs = scratch.write(_least_runs(active, min_chars), "runs")
     deepest = runs.agg(F.max("length")).first()[0] or 0
 
-    level, width = active.select(*_DOC, "seq", F.col("line").alias("rank")), 1
-    named = None
+    level, width, named, beside = active.select(*_DOC, "seq", "rank"), 1, [], Window.partitionBy(*_DOC).orderBy("seq")
     while True:
+        # a run of a length between width and twice as much is named by the ranks of its first and of its last `width` lines
         here = runs.where(f"length >= {width} and length < {2 * width}")
-        second = level.select(*(F.col(c).alias(f"{c}_2") for c in _DOC), F.col("seq").alias("seq_2"), F.col("rank").alias("rank_2"))
-        at = lambda a, seq: a["doc_id"].eqNullSafe(second["doc_id_2"]) & (a["digest"] == second["digest_2"]) & (seq == second["seq_2"])
-        if width == 1:
-            both = here.join(level, _same(here, level, *_DOC) & (here["start"] == level["seq"])).select(*(here[c] for c in here.columns), level["rank"].alias("rank"), level["rank"].alias("rank_2"))
-        else:
-            both = here.join(level, _same(here, level, *_DOC) & (here["start"] == level["seq"])).select(*(here[c] for c in here.columns), level["rank"])
-            both = both.join(second, at(both, both["start"] + both["length"] - width)).select(*both.columns, "rank_2")
-        named = both if named is None else named.unionByName(both)
+        ends = here.select(*_DOC, "start", "length", F.explode(F.array(F.struct(F.col("start").alias("seq"), F.lit(0).alias("end")), F.struct((F.col("start") + F.col("length") - width).alias("seq"), F.lit(1).alias("end")))).alias("at"))
+        found = ends.select(*_DOC, "start", "length", "at.*").join(level.hint("merge").withColumnRenamed("doc_id", "_doc").withColumnRenamed("seq", "_seq"), F.col("doc_id").eqNullSafe(F.col("_doc")) & (ends["digest"] == level["digest"]) & (F.col("seq") == F.col("_seq")))
+        both = found.groupBy(ends["doc_id"], ends["digest"], "start", "length").agg(F.max(F.when(F.col("end") == 0, F.col("rank"))).alias("rank"), F.max(F.when(F.col("end") == 1, F.col("rank"))).alias("rank_2"))
+        named.append(scratch.write(both.where("rank is not null and rank_2 is not null"), f"named-{width}"))
         if 2 * width > deepest:
             break
-        pairs = level.join(second, at(level, level["seq"] + width)).select(*(level[c] for c in _DOC), level["seq"], level["rank"], "rank_2")
-        pairs = scratch.write(pairs, f"pairs-{width}")
-        ranks = _ranks(pairs.withColumnRenamed("rank", "rank_1"), ["rank_1", "rank_2"], scratch, f"ranks-{width}")
-        level = scratch.write(pairs.withColumnRenamed("rank", "rank_1").join(ranks, ["rank_1", "rank_2"]).select(*_DOC, "seq", "rank"), f"level-{width}")
+        pairs = level.select(*_DOC, "seq", F.col("rank").alias("rank_1"), F.first("rank").over(beside.rangeBetween(width, width)).alias("rank_2"))
+        pairs = scratch.write(pairs.where("rank_2 is not null"), f"pairs-{width}")
+        ranks = _ranks(pairs, ["rank_1", "rank_2"], scratch, f"ranks-{width}")
+        level = scratch.write(_with_group(pairs, ranks, ["rank_1", "rank_2"], pairs.count()).select(*_DOC, "seq", "rank"), f"level-{width}")
+        scratch.drop(f"pairs-{width}", f"ranks-{width}", f"level-{width // 2}")
         width *= 2
 
     key = ["length", "rank", "rank_2"]
-    named = scratch.write(named, "named")
+    named = reduce(DataFrame.unionByName, named)
     first = F.min(F.struct(*_DOC, "start")).alias("first")
     groups = scratch.write(named.groupBy(*key).agg(F.count("*").alias("n"), first).where("n > 1"), "groups")
     copies = _with_group(named, groups, key, named.count()).where(~F.struct(*_DOC, "start").eqNullSafe(F.col("first")))
-    return scratch.write(copies.select(*_DOC, "start", "length"), "copies"), active
+    copies = scratch.write(copies.select(*_DOC, "start", "length"), "copies")
+    scratch.drop("runs", "groups", f"level-{width // 2}", *(f"named-{1 << k}" for k in range(width.bit_length())))
+    return copies, active
 
 
 def drop_repeated_lines(docs: DataFrame, *, min_chars: int = MIN_CHARS) -> DataFrame:
@@ -151,12 +154,14 @@ def drop_repeated_lines(docs: DataFrame, *, min_chars: int = MIN_CHARS) -> DataF
     scratch = Scratch(docs.sparkSession, "line-dedup")
     copies, active = repeated_runs(docs, min_chars=min_chars, scratch=scratch)
     seqs = copies.select(*_DOC, F.explode(F.sequence(F.col("start"), F.col("start") + F.col("length") - 1)).alias("seq")).distinct()
-    gone = seqs.join(active, _same(seqs, active, *_DOC) & (seqs["seq"] == active["seq"])).select(*(seqs[c] for c in _DOC), "pos")
+    gone = seqs.join(active.hint("merge"), _same(seqs, active, *_DOC) & (seqs["seq"] == active["seq"])).select(*(seqs[c] for c in _DOC), "pos")
     # written, so that what a lambda below reads is a stored column and not computed anew for each line
     gone = scratch.write(gone.groupBy(*_DOC).agg(F.array_sort(F.collect_set("pos")).alias("gone")), "gone")
     gaps = F.transform("gone", lambda p, k: F.concat(F.repeat(F.lit("0"), p - F.coalesce(F.get("gone", k - 1), F.lit(-1)) - 1), F.lit("1")))
     marks = scratch.write(gone.select(F.col("doc_id").alias("_doc"), F.col("digest").alias("_digest"), F.size("gone").cast("long").alias("_n"), F.split(F.array_join(gaps, ""), "").alias("_marks")), "marks")
-    joined = docs.join(marks, docs["doc_id"].cast("long").eqNullSafe(marks["_doc"]) & (F.xxhash64(docs["text"]) == marks["_digest"]), "left")
+    scratch.drop("active", "copies", "gone")
+    # the one shuffle of texts, at any size
+    joined = docs.join(marks.hint("merge"), docs["doc_id"].cast("long").eqNullSafe(marks["_doc"]) & (F.xxhash64(docs["text"]) == marks["_digest"]), "left")
     lines = F.split(docs["text"], "\n", -1)
     kept = F.array_join(F.filter(lines, lambda x, i: F.coalesce(F.get("_marks", i), F.lit("0")) != "1"), "\n")
     return joined.select(
