@@ -8,21 +8,31 @@ works on the shards' sizes alone, over and over until no tier is due; then
 each run is written once, by one task, to a new file. The state is a manifest:
 version n+1 is written aside and renamed into place, which fails if that
 version exists, so a commit happens wholly or not at all and readers of version
-n keep their files. Sizes are bytes of text, so a plan does not depend on the
-file format.
-
-Edge cases: null and empty texts have 0 bytes and stay; a null id belongs to
-the shard before all others; repeated rows are all kept; a text larger than the
-target makes a larger shard; no rows give a manifest without shards; extra
-columns are kept as they are, unless they clash with the shard's own (`shard`),
-which is an error.
+n keep their files. Every attempt writes to a folder of its own: what a crashed
+one left is read by nobody, hinders no later one and goes with `clean`. Sizes
+are bytes of text, so a plan does not depend on the file format.
+
+A manifest has a row of some 100 bytes for each shard, which the driver reads
+and plans by: 100 TB in shards of 64 MB are 1.6 million rows. Larger corpora
+take a larger target. Arrivals in the order of their ids make one file or two
+a shard; from other orders each task writes one for every shard it touches.
+
+Edge cases: null and empty texts have 0 bytes and stay; null ids are one shard
+before the others of their arrival; negative ids and ids beyond 2^53 are
+numbered exactly; repeated rows are all kept; a text larger than the target
+makes a larger shard; no rows give a manifest without shards; a manifest that
+gives two shards one number is refused; extra columns are kept as they are,
+unless they clash with the shard's own (`shard`), which is an error.
 """
 
 from __future__ import annotations
 
 import json
+import uuid
 from dataclasses import asdict, dataclass
+from functools import reduce
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -38,12 +48,13 @@ FAN_IN = 4
 
 @dataclass(frozen=True)
 class Shard:
-    """`number` orders shards by their first arrival; `folder` has its files, which hold just this shard's rows."""
+    """`number` orders shards by their arrival; the folder `folder`/shard=`key` has its files, which hold just this shard's rows."""
 
     number: int
     rows: int
     size: int
     folder: str
+    key: int | None
 
 
 def tier_of(size: int, *, base: int = BASE_BYTES, factor: int = FACTOR) -> int:
@@ -106,23 +117,33 @@ class ShardStore:
     def commit(self, shards: list[Shard], read_version: int) -> int:
         """Make `shards` the version after `read_version`; raises if another writer has committed it."""
         version = read_version + 1
+        if len({s.number for s in shards}) < len(shards):
+            raise ValueError("two shards have one number")
         text = json.dumps({"version": version, "shards": [asdict(s) for s in sorted(shards, key=lambda s: s.number)]})
-        fs, aside = _path(self.spark, f"{self.root}/manifests/.{version:08d}.{id(self)}")
+        fs, aside = _path(self.spark, f"{self.root}/manifests/.{version:08d}.{uuid.uuid4().hex}")
         _, place = _path(self.spark, f"{self.root}/manifests/{version:08d}.json")
-        stream = fs.create(aside, True)
+        stream = fs.create(aside, False)
         stream.write(bytearray(text.encode()))
         stream.close()
-        if fs.exists(place) or not fs.rename(aside, place):
+        context, sc = self.spark.sparkContext._jvm.org.apache.hadoop.fs, self.spark.sparkContext
+        rename = getattr(context, "Options$Rename")
+        options = sc._gateway.new_array(rename, 1)
+        options[0] = rename.NONE  # never over an existing file
+        try:
+            context.FileContext.getFileContext(fs.getUri(), sc._jsc.hadoopConfiguration()).rename(fs.makeQualified(aside), fs.makeQualified(place), options)
+        except Py4JJavaError as e:
             fs.delete(aside, False)
-            raise FileExistsError(f"version {version} is already committed")
+            if fs.exists(place):
+                raise FileExistsError(f"version {version} is already committed") from e
+            raise
         return version
 
+    def _folder(self, kind: str, version: int) -> str:
+        return f"{kind}-{version:08d}-{uuid.uuid4().hex[:12]}"
+
     def _write(self, rows: DataFrame, folder: str) -> None:
         rows.write.mode("error").option("compression", "zstd").partitionBy("shard").parquet(f"{self.root}/{folder}")
 
-    def _sizes(self, folder: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.root}/{folder}").groupBy("shard").agg(F.count("*").alias("rows"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("size"))
-
     def append(self, docs: DataFrame, *, arrival_ids: int = ARRIVAL_IDS) -> int:
         """Write arrivals as immutable shards of `arrival_ids` consecutive ids and commit them; the new version."""
         if "shard" in docs.columns:
@@ -130,12 +151,13 @@ class ShardStore:
         read = self.version()
         known = self.manifest(read)
         first = max((s.number for s in known), default=-1) + 1
-        number = F.coalesce(F.floor(F.col("doc_id") / arrival_ids) + 1, F.lit(0))
-        folder = f"arrivals-{read + 1:08d}"
-        self._write(docs.withColumn("shard", number + first), folder)
-        if not docs.sparkSession.read.schema(docs.schema).parquet(f"{self.root}/{folder}").take(1):
-            return self.commit(known, read)
-        new = [Shard(r["shard"], r["rows"], r["size"], f"{folder}/shard={r['shard']}") for r in self._sizes(folder).collect()]
+        # floor division of longs: `div` cuts towards zero
+        key = F.expr(f"cast(doc_id as long) div {arrival_ids} - case when cast(doc_id as long) % {arrival_ids} < 0 then 1 else 0 end")
+        folder = self._folder("arrivals", read + 1)
+        self._write(docs.withColumn("shard", key), folder)
+        sizes = self._keyed(folder).groupBy("shard").agg(F.count("*").alias("rows"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("size"))
+        found = sorted(((r["shard"] is not None, r["shard"] or 0, r) for r in sizes.collect()), key=lambda x: x[:2])
+        new = [Shard(first + i, r["rows"], r["size"], folder, r["shard"]) for i, (_, _, r) in enumerate(found)]
         return self.commit(known + new, read)
 
     def compact(self, *, target: int = TARGET_BYTES, fan_in: int = FAN_IN, base: int = BASE_BYTES, factor: int = FACTOR) -> int:
@@ -149,22 +171,34 @@ class ShardStore:
         moves = {n: m for m, members in groups.items() if len(members) > 1 for n in members}
         if not moves:
             return read
-        folder = f"compacted-{read + 1:08d}"
-        rows = self._read([known[n] for n in moves]).withColumn("_was", F.col("shard"))
-        table = self.spark.createDataFrame(sorted(moves.items()), "_was long, _to long")  # a row for each small shard
-        rows = rows.join(F.broadcast(table), "_was").withColumn("shard", F.col("_to")).drop("_was", "_to")
+        folder = self._folder("compacted", read + 1)
+        rows = self._read([known[n] for n in moves], moves)
         targets = sorted(set(moves.values()))
         self._write(rows.repartitionByRange(len(targets), "shard"), folder)
-        merged = [Shard(m, sum(known[n].rows for n in groups[m]), sum(known[n].size for n in groups[m]), f"{folder}/shard={m}") for m in targets]
+        merged = [Shard(m, sum(known[n].rows for n in groups[m]), sum(known[n].size for n in groups[m]), folder, m) for m in targets]
         return self.commit([s for n, s in known.items() if n not in moves] + merged, read)
 
-    def _read(self, shards: list[Shard]) -> DataFrame:
-        folders = sorted({s.folder.split("/")[0] for s in shards})
-        parts = [self.spark.read.option("basePath", f"{self.root}/{f}").parquet(*(f"{self.root}/{s.folder}" for s in shards if s.folder.split("/")[0] == f)) for f in folders]
-        out = parts[0].withColumn("shard", F.col("shard").cast("long"))
-        for p in parts[1:]:
-            out = out.unionByName(p.withColumn("shard", F.col("shard").cast("long")))
-        return out
+    def _keyed(self, folder: str, keys: list[int | None] | None = None) -> DataFrame:
+        """The rows of a folder, or of its shards with the keys; `shard` is the key."""
+        root = f"{self.root}/{folder}"
+        name = lambda k: "__HIVE_DEFAULT_PARTITION__" if k is None else k
+        paths = [root] if keys is None else [f"{root}/shard={name(k)}" for k in keys]
+        fs, path = _path(self.spark, root)
+        if not any(f.isDirectory() for f in fs.listStatus(path)):  # no rows, so no shard
+            return self.spark.createDataFrame([], "doc_id long, text string, shard long")
+        found = self.spark.read.option("basePath", root).parquet(*paths)
+        return found.withColumn("shard", F.col("shard").cast("long"))
+
+    def _read(self, shards: list[Shard], numbers: dict[int, int] | None = None) -> DataFrame:
+        """The rows of shards; `shard` is the number, or what `numbers` gives for it."""
+        parts = []
+        for folder in sorted({s.folder for s in shards}):
+            here = [s for s in shards if s.folder == folder]
+            rows = self._keyed(folder, [s.key for s in here])
+            table = self.spark.createDataFrame([(s.key, (numbers or {}).get(s.number, s.number)) for s in here], "_key long, _number long")  # a row for each shard
+            joined = rows.join(F.broadcast(table), rows["shard"].eqNullSafe(table["_key"]))
+            parts.append(joined.select(*(rows[c] for c in rows.columns if c != "shard"), F.col("_number").alias("shard")))
+        return reduce(DataFrame.unionByName, parts)
 
     def read(self, version: int | None = None) -> DataFrame | None:
         """The rows of a version, with their `shard`; None where it has no shard."""
@@ -172,14 +206,23 @@ class ShardStore:
         return self._read(shards) if shards else None
 
     def clean(self, keep: int = 1) -> None:
-        """Delete the files that only versions before the last `keep` refer to."""
+        """Delete the files that none of the last `keep` versions refers to, those of crashed attempts included. Attempts at the next version stay."""
         last = self.version()
-        live = {s.folder for v in range(max(1, last - keep + 1), last + 1) for s in self.manifest(v)}
-        for v in range(1, last - keep + 1):
-            for s in self.manifest(v):
-                if s.folder not in live:
-                    fs, path = _path(self.spark, f"{self.root}/{s.folder}")
-                    fs.delete(path, True)
+        live = {(s.folder, s.key) for v in range(max(1, last - keep + 1), last + 1) for s in self.manifest(v)}
+        fs, root = _path(self.spark, self.root)
+        for at in fs.listStatus(root) if fs.exists(root) else []:
+            folder = at.getPath().getName()
+            kind, _, rest = folder.partition("-")
+            if kind not in ("arrivals", "compacted") or int(rest.split("-")[0]) > last:
+                continue
+            keys = {k for f, k in live if f == folder}
+            if not keys:
+                fs.delete(at.getPath(), True)
+                continue
+            for part in fs.listStatus(at.getPath()):
+                key = part.getPath().getName().removeprefix("shard=")
+                if part.isDirectory() and (None if key == "__HIVE_DEFAULT_PARTITION__" else int(key)) not in keys:
+                    fs.delete(part.getPath(), True)
 
 
 def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:

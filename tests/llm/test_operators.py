@@ -404,10 +404,75 @@ def test_sharding(spark, tmp_path):
         store.append(docs.withColumn("shard", F.lit(1)))
     store.clean()
     assert store.read().count() == len(texts) + 30
+    with pytest.raises(ValueError):
+        store.commit([sharding.Shard(1, 1, 1, "a", 0), sharding.Shard(1, 1, 1, "b", 0)], store.version())
     empty = sharding.ShardStore(spark, f"file://{tmp_path}/empty")
     assert empty.append(docs.limit(0)) == 1 and empty.manifest() == [] and empty.compact() == 1
 
 
+def test_sharding_keeps_every_row_of_odd_ids_and_after_crashes(spark, tmp_path, monkeypatch):
+    schema = "doc_id long, text string"
+    store = sharding.ShardStore(spark, f"file://{tmp_path}/store")
+    batches = [
+        [(i, f"a{i}") for i in range(40)],
+        [(i, f"b{i}") for i in range(-25, 5)],
+        [(2**53 + i, f"c{i}") for i in range(30)] + [(2**63 - 1, "max"), (-(2**63), "min")],
+        [(None, None), (None, "null"), (None, "null"), (3, ""), (3, "")],
+    ]
+    for k, rows in enumerate(batches):
+        frame = spark.createDataFrame(rows, schema)
+        commit = sharding.ShardStore.commit
+        monkeypatch.setattr(sharding.ShardStore, "commit", lambda *_: (_ for _ in ()).throw(RuntimeError("crash")))
+        with pytest.raises(RuntimeError):
+            store.append(frame, arrival_ids=7)
+        monkeypatch.setattr(sharding.ShardStore, "commit", commit)
+        assert store.append(frame, arrival_ids=7) == k + 1
+    # each shard holds consecutive ids of one arrival, by floor division
+    shards = store.manifest()
+    assert len(shards) == len({s.number for s in shards}) == sum(len({None if i is None else i // 7 for i, _ in rows}) for rows in batches)
+    store.compact(target=60, base=5, factor=4, fan_in=3)
+    want = Counter(row for rows in batches for row in rows)
+    assert Counter(map(tuple, store.read().select("doc_id", "text").collect())) == want
+    assert {s.number: s.rows for s in store.manifest()} == dict(map(tuple, store.read().groupBy("shard").count().collect()))
+    before = sum(1 for f in (tmp_path / "store").iterdir())
+    store.clean()
+    assert sum(1 for f in (tmp_path / "store").iterdir()) < before - 3
+    assert Counter(map(tuple, store.read().select("doc_id", "text").collect())) == want
+    # of two writers that read one version, one commits
+    other, now = sharding.ShardStore(spark, store.root), store.version()
+    monkeypatch.setattr(other, "version", lambda: now)
+    assert store.append(spark.createDataFrame(batches[0], schema)) == now + 1
+    with pytest.raises(FileExistsError):
+        other.append(spark.createDataFrame(batches[1], schema))
+    assert store.read().count() == sum(want.values()) + 40
+
+
+def test_plan_agrees_with_merging_one_run_at_a_time():
+    """A plain model: runs of the lowest due tier are merged one after another, in order."""
+    rng = random.Random(12)
+    for _ in range(100):
+        sizes = {n: rng.choice([0, 10, 60, 300, 900, 2500]) for n in range(rng.randint(0, 40))}
+        now = {n: [n] for n in sizes}
+        size = lambda n: sum(sizes[m] for m in now[n])
+        tier = lambda n: sum(size(n) >= 50 * 4**t for t in range(1, 9))
+        while True:
+            small = [n for n in now if size(n) < 2000]
+            due = min((t for t in map(tier, small) if sum(tier(n) == t for n in small) >= 4), default=None)
+            if due is None:
+                break
+            members, done, runs = sorted(n for n in small if tier(n) == due), 0, {}
+            for n in members:
+                runs.setdefault(done // 2000, []).append(n)
+                done += size(n)
+            if all(len(run) == 1 for run in runs.values()):
+                break
+            for first, *rest in runs.values():
+                for n in rest:
+                    now[first] += now.pop(n)
+        want = {m: n for n, members in now.items() for m in members}
+        assert sharding.plan_compaction(sizes, target=2000, fan_in=4, base=50, factor=4) == want
+
+
 def test_plan_merges_until_no_tier_is_due():
     rng = random.Random(10)
     for _ in range(50):
