@@ -14,27 +14,26 @@ one pass over the corpus for each block, so what is broadcast has a fixed size
 whatever the size of the test set.
 
 Edge cases: null and empty texts, and items without a word, match nothing;
-repeated documents or items each give their own rows; a null doc_id or item_id
-is carried along; an empty table gives an empty table; extra columns are
+repeated documents or items each give their own rows, whatever their ids; a null
+doc_id or item_id is carried along; an empty table gives an empty table; extra columns are
 ignored.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from allelarium.llm.common import MARKS, Scratch, Words, read_table, shingle_hashes, text_slices
+from allelarium.llm.common import MARKS, Words, read_table, shingle_hashes, text_slices
 
 SEED_WORDS = 3
 THRESHOLD = 0.5
 BLOCK_CHARS = 16 << 20
-#: Ids that an anti-join broadcasts at most.
-BROADCAST_IDS = 1_000_000
 _LEAKS = "doc_id long, item_id long, score double, n_seeds long, start_word long, end_word long"
 
 
@@ -105,74 +104,83 @@ class Items:
         return np.concatenate([a for a, _ in found]), np.concatenate([s for _, s in found])
 
 
+def _leaks_of(items: Items, threshold: float, mine: np.ndarray) -> Iterator[tuple[int, float, int, int, int]]:
+    """For each item that the words leak: its index, score, distinct seeds and the best stretch, of equal ones the first."""
+    at, seed = items.hits(mine)
+    owner = items.owner[seed]
+    for item in np.unique(owner):
+        here = owner == item
+        own = items.words[item]
+        size = len(own)
+        start = np.sort(at[here] - items.place[seed[here]])
+        lo, hi = start - size // 2 - 1, start + size + size // 2 + 1
+        cut = np.flatnonzero(lo[1:] > np.maximum.accumulate(hi)[:-1]) + 1
+        best, place = 0, (0, 0)
+        for a, b in zip([0, *cut], [*cut, len(lo)], strict=True):
+            first, last = max(0, int(lo[a])), min(len(mine), int(hi[a:b].max()))
+            bound = most(own, mine[first:last])
+            if bound <= best or bound < threshold * 2 * size:
+                continue
+            score, begin, end = alignment(own, mine[first:last])
+            if score > best:
+                best, place = score, (first + begin, first + end)
+            if best == 2 * size:
+                break
+        if best and best >= threshold * 2 * size:
+            yield int(item), best / (2 * size), len(np.unique(items.seeds[seed[here]])), *place
+
+
 def _leaks(items: Items, threshold: float):
-    """Rows of _LEAKS: for a document and an item that it leaks the best alignment, of equal ones the first."""
+    """Rows of _LEAKS for texts in the second column."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in text_slices(batch, 1):
                 words = Words(part.column(1), blank=MARKS)
-                out: list[tuple] = []
-                ids = part.column(0).to_pylist()
-                for i in range(len(words)):
-                    mine = words.of(i)
-                    at, seed = items.hits(mine)
-                    if not len(at):
-                        continue
-                    owner = items.owner[seed]
-                    for item in np.unique(owner):
-                        here = owner == item
-                        own = items.words[item]
-                        size = len(own)
-                        start = np.sort(at[here] - items.place[seed[here]])
-                        lo, hi = start - size // 2 - 1, start + size + size // 2 + 1
-                        cut = np.flatnonzero(lo[1:] > np.maximum.accumulate(hi)[:-1]) + 1
-                        best, place = 0, (0, 0)
-                        for a, b in zip([0, *cut], [*cut, len(lo)], strict=True):
-                            first, last = max(0, int(lo[a])), min(len(mine), int(hi[a:b].max()))
-                            bound = most(own, mine[first:last])
-                            if bound <= best or bound < threshold * 2 * size:
-                                continue
-                            score, begin, end = alignment(own, mine[first:last])
-                            if score > best:
-                                best, place = score, (first + begin, first + end)
-                            if best == 2 * size:
-                                break
-                        if best and best >= threshold * 2 * size:
-                            out.append((ids[i], items.ids[item], best / (2 * size), len(np.unique(items.seeds[seed[here]])), *place))
+                out = [(doc_id, items.ids[item], *rest) for i, doc_id in enumerate(part.column(0).to_pylist()) for item, *rest in _leaks_of(items, threshold, words.of(i))]
                 columns = list(zip(*out, strict=True)) if out else [()] * 6
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64(), pa.int64()), strict=True)], ["doc_id", "item_id", "score", "n_seeds", "start_word", "end_word"])
 
     return run
 
 
-def find_leaks(docs: DataFrame, benchmark: DataFrame, *, n: int = SEED_WORDS, threshold: float = THRESHOLD, block_chars: int = BLOCK_CHARS) -> DataFrame:
-    """(doc_id, item_id, score, n_seeds, start_word, end_word): the best stretch of each document that leaks an item."""
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+def _clean(items: Items, threshold: float, text: int):
+    """The rows whose text, in the column numbered `text`, leaks no item."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in text_slices(batch, text):
+                words = Words(part.column(text), blank=MARKS)
+                yield part.filter(pa.array([next(_leaks_of(items, threshold, words.of(i)), None) is None for i in range(len(words))], pa.bool_()))
+
+    return run
+
+
+def _blocks(benchmark: DataFrame, n: int, block_chars: int) -> Iterator[Items]:
+    """The test items in blocks of a bounded size, those without seeds left out."""
     wanted = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))
     size = wanted.agg(F.sum(F.length("text"))).first()[0] or 0
     blocks = max(1, -(-size // (block_chars // 2)))  # half full on average
-    parts = []
     for k in range(blocks):
         mine = wanted.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k).orderBy("item_id", "text").collect()
         items = Items([r[0] for r in mine], [r[1] for r in mine], n)
-        if not len(items.seeds):
-            continue
-        parts.append(texts.mapInArrow(_leaks(items, threshold), _LEAKS))
-    if not parts:
-        return docs.sparkSession.createDataFrame([], _LEAKS)
-    found = parts[0]
-    for p in parts[1:]:
-        found = found.unionByName(p)
-    best = F.max(F.struct("score", (-F.col("start_word")).alias("s"), "end_word", "n_seeds")).alias("b")
-    return found.groupBy("doc_id", "item_id").agg(best).select("doc_id", "item_id", "b.score", "b.n_seeds", (-F.col("b.s")).alias("start_word"), "b.end_word")
-
-
-def drop_leaks(docs: DataFrame, benchmark: DataFrame, **parameters) -> DataFrame:
-    """The rows of docs whose doc_id leaks no test item, with their columns."""
-    leaks = Scratch(docs.sparkSession, "leaks").write(find_leaks(docs, benchmark, **parameters).select(F.col("doc_id").alias("_leak")).distinct(), "ids")
-    leaks = F.broadcast(leaks) if leaks.count() <= BROADCAST_IDS else leaks
-    return docs.join(leaks, docs["doc_id"].eqNullSafe(leaks["_leak"]), "left_anti")
+        if len(items.seeds):
+            yield items
+
+
+def find_leaks(docs: DataFrame, benchmark: DataFrame, *, n: int = SEED_WORDS, threshold: float = THRESHOLD, block_chars: int = BLOCK_CHARS) -> DataFrame:
+    """(doc_id, item_id, score, n_seeds, start_word, end_word): the best stretch of each document that leaks an item."""
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    parts = [texts.mapInArrow(_leaks(items, threshold), _LEAKS) for items in _blocks(benchmark, n, block_chars)]
+    return reduce(DataFrame.unionByName, parts) if parts else docs.sparkSession.createDataFrame([], _LEAKS)
+
+
+def drop_leaks(docs: DataFrame, benchmark: DataFrame, *, n: int = SEED_WORDS, threshold: float = THRESHOLD, block_chars: int = BLOCK_CHARS) -> DataFrame:
+    """The rows of docs whose text leaks no test item, with their columns; judged row by row, so ids don't matter."""
+    left = docs.withColumn("text", F.col("text").cast("string"))
+    for items in _blocks(benchmark, n, block_chars):
+        left = left.mapInArrow(_clean(items, threshold, left.columns.index("text")), left.schema)
+    return left
 
 
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

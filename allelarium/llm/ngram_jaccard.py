@@ -350,11 +350,22 @@ def jaccard_components(docs: DataFrame, *, n: int = N, percent: int = PERCENT) -
 
 
 def keep_representatives(docs: DataFrame, **parameters) -> DataFrame:
-    """The rows of docs, with their columns, that have their component's least doc_id, and those with a null id."""
-    found = jaccard_components(docs, **parameters)
-    gone = Scratch(docs.sparkSession, "near-duplicates").write(found.where("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct(), "gone")
-    gone = F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone
-    return docs.join(gone, docs["doc_id"].cast("long") == gone["_gone"], "left_anti")
+    """The rows of docs, with their columns, that have their component's least doc_id, and those with a null id.
+
+    Of rows with one id (or none) and one text a single one stays; different
+    texts of one id stay or go together.
+    """
+    scratch = Scratch(docs.sparkSession, "near-duplicates")
+    found = scratch.write(jaccard_components(docs, **parameters).select("doc_id", "component_id"), "components")
+    bounded = lambda ids: F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+    gone = bounded(scratch.write(found.where("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct(), "gone"))
+    several = bounded(scratch.write(found.groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("_several"), F.lit(True).alias("_is_several")), "several"))
+    left = docs.join(gone, docs["doc_id"].cast("long") == gone["_gone"], "left_anti")
+    if not several.take(1):
+        return left
+    marked = left.join(several, left["doc_id"].cast("long").eqNullSafe(several["_several"]), "left")
+    once = marked.where("_is_several").select(docs.columns).dropDuplicates(["doc_id", "text"])
+    return marked.where("_is_several is null").select(docs.columns).unionByName(once)
 
 
 def _grouped(f):

@@ -410,6 +410,58 @@ def test_sharding(spark, tmp_path):
     assert empty.append(docs.limit(0)) == 1 and empty.manifest() == [] and empty.compact() == 1
 
 
+def test_leaks_of_rows_without_or_with_one_id(spark):
+    item = " ".join(f"word{k}" for k in range(20))
+    rows = [(None, f"a {item} b"), (None, "nothing of it here at all"), (4, f"{item}"), (4, "clean words only"), (4, item), (None, None), (5, "")]
+    docs = spark.createDataFrame([(*r, k) for k, r in enumerate(rows)], "doc_id long, text string, item_id int")
+    benchmark = spark.createDataFrame([(9, item), (None, "x y"), (8, None)], "item_id long, text string")
+    assert sorted(r["item_id"] for r in decontaminate.drop_leaks(docs, benchmark).collect()) == [1, 3, 5, 6]
+    found = decontaminate.find_leaks(docs, benchmark).collect()
+    assert sorted((r["doc_id"] or 0, r["item_id"], r["score"]) for r in found) == [(0, 9, 1.0), (4, 9, 1.0), (4, 9, 1.0)]
+    assert decontaminate.drop_leaks(docs.limit(0), benchmark).count() == 0 and decontaminate.drop_leaks(docs, benchmark.limit(0)).count() == 7
+
+
+def test_leaks_agree_with_aligning_every_pair(spark):
+    """Every document against every item by a plain alignment of whole texts: no pair at the threshold with a seed is missed."""
+    rng = random.Random(21)
+    vocabulary = [f"w{k}" for k in range(60)]
+    items = [[rng.choice(vocabulary) for _ in range(rng.randint(1, 14))] for _ in range(25)]
+    texts = []
+    for _ in range(80):
+        words_ = [rng.choice(vocabulary) for _ in range(rng.randint(0, 60))]
+        if rng.random() < 0.7:
+            copy = [w if rng.random() > 0.2 else rng.choice(vocabulary) for w in rng.choice(items) if rng.random() > 0.1]
+            at = rng.randint(0, len(words_))
+            words_[at:at] = copy
+        texts.append(words_)
+
+    def score(a, b):
+        best, row = 0, [0] * (len(b) + 1)
+        for x in a:
+            new = [0]
+            for k, y in enumerate(b):
+                new.append(max(0, row[k] + (2 if x == y else -1), row[k + 1] - 1, new[k] - 1))
+            row, best = new, max(best, *new)
+        return best
+
+    grams = lambda ws, n: {tuple(ws[k : k + n]) for k in range(len(ws) - n + 1)}
+    want = {(i, j): score(x, t) / (2 * len(x)) for i, t in enumerate(texts) for j, x in enumerate(items) if grams(x, min(3, len(x))) & grams(t, min(3, len(x)))}
+    want = {k: v for k, v in want.items() if v >= 0.5}
+    docs = docs_frame(spark, [" ".join(t) for t in texts])
+    benchmark = spark.createDataFrame([(j, " ".join(x)) for j, x in enumerate(items)], "item_id long, text string")
+    assert {(r["doc_id"], r["item_id"]): r["score"] for r in decontaminate.find_leaks(docs, benchmark).collect()} == pytest.approx(want) and len(want) > 40
+    left = {r["doc_id"] for r in decontaminate.drop_leaks(docs, benchmark, block_chars=100).collect()}
+    assert left == set(range(len(texts))) - {i for i, _ in want}
+
+
+def test_one_row_of_equal_ones_stays(spark):
+    text = " ".join(f"w{k}" for k in range(50))
+    rows = [(1, text), (1, text), (2, text), (3, "other words"), (3, "quite another text"), (None, "alone"), (None, "alone"), (None, "apart"), (4, None), (4, None)]
+    docs = spark.createDataFrame([(*r, k) for k, r in enumerate(rows)], "doc_id long, text string, component_id int")
+    got = sorted(((r["doc_id"] or 0), r["text"] or "") for r in ngram_jaccard.keep_representatives(docs).collect())
+    assert got == sorted([(1, text), (3, "other words"), (3, "quite another text"), (0, "alone"), (0, "apart"), (4, "")])
+
+
 def test_sharding_keeps_every_row_of_odd_ids_and_after_crashes(spark, tmp_path, monkeypatch):
     schema = "doc_id long, text string"
     store = sharding.ShardStore(spark, f"file://{tmp_path}/store")
