@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from allelarium.model import VARIANT, CallSet, Variable
 from allelarium.operators.confusion import count_cells, state, with_statistics
-from allelarium.operators.joint import JoinType, joined_entries, joined_samples, joined_variants
+from allelarium.operators.joint import JoinType, check_samples, joined_entries, joined_samples, joined_variants
 
 ALL = "ALL"
 KEY = ("group_var_name", "group_var", "agg_var_name", "agg_var")
@@ -37,6 +37,7 @@ class _Joined:
                 raise ValueError(f"{kind} variables are named more than once: {', '.join(twice)}")
         if any(v.axis == "entry" for v in groups):
             raise ValueError("a group variable cannot depend on entries")
+        check_samples(exo, imp)
         self.groups, self.aggs = groups, aggs
         self.named = [(f"g{i}", v) for i, v in enumerate(groups)] + [(f"a{i}", v) for i, v in enumerate(aggs)]
         of = lambda axis: [v.column(_STRUCT[v.side, axis]).alias(c) for c, v in self.named if v.axis == axis]

@@ -73,7 +73,6 @@ def compare(
         both = filters.hash_sample(both, downsample_samples, "s") if downsample_samples is not None else both
         both = filters.head_samples(both, n_samples) if n_samples is not None else both
         exo, imp = exo.only_samples(both), imp.only_samples(both)
-    joint.check_samples(exo, imp)
 
     def pick(axes: tuple[str, ...]) -> tuple[list, list]:
         groups = [v for o, (side, name, f) in GROUPS.items() if o in options and "row" in axes for v in variables(side, "row", {name: f})]

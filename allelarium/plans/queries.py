@@ -270,7 +270,8 @@ def qc_outliers_mad(spark, sf_dir):
 def _result(spark, sf_dir):
     e = exome(spark, sf_dir)
     labels = e.samples.select("s", F.struct("ancestry_pop").alias("ancestry"))
-    return calculate_sample_qc_stats(e, e.variants.where("vid % 2 = 1").select(*VARIANT), ancestry_pop_labels=labels, chimera_rate=e.samples.select("s", "chimera_rate"), reported_sex=e.samples, compute_components=False)
+    sites = variant_stats.high_quality_sites(e, _low_complexity(spark, sf_dir), _exome_regions(spark, sf_dir), is_gatk=True, **_HQ)
+    return calculate_sample_qc_stats(e, sites, ancestry_pop_labels=labels, chimera_rate=e.samples.select("s", "chimera_rate"), reported_sex=e.samples, compute_components=False)
 
 
 def qc_result_outer_join(spark, sf_dir):
@@ -285,9 +286,9 @@ def passing_samples(spark, sf_dir):
 
 def split_multi(spark, sf_dir):
     """Variants of a locus as one multi-allelic site, split again: long insertions and deletions are trimmed."""
-    rows = variants(spark, sf_dir).where("vid % 4 = 3")
+    rows = variants(spark, sf_dir)
     both = rows.select("vid", "contig", "position", F.when(F.col("vid") % 8 == 7, F.array(F.concat(F.get("alleles", F.lit(0)), F.lit("C")), F.concat(F.get("alleles", F.lit(1)), F.lit("C")), F.concat(F.lit("G"), F.substring(F.get("alleles", F.lit(0)), 2, 9), F.lit("C")))).otherwise(F.col("alleles")).alias("alleles"))
-    cells = spark.sql(f"SELECT vid, sid, n_alt, ad0, ad1 FROM ({EXOME_SQL}) e WHERE vid % 4 = 3").join(both, "vid")
+    cells = spark.sql(f"SELECT vid, sid, n_alt, ad0, ad1 FROM ({EXOME_SQL}) e").join(both, "vid")
     gt = F.when(F.col("n_alt") == 0, F.array(F.lit(0), F.lit(0))).when(F.col("n_alt") == 1, F.array(F.lit(0), F.lit(1))).when((F.col("n_alt") == 2) & (F.size("alleles") == 3), F.array(F.lit(1), F.lit(2))).when(F.col("n_alt") == 2, F.array(F.lit(1), F.lit(1)))
     ad = F.when(F.size("alleles") == 3, F.array("ad0", "ad1", F.lit(7))).otherwise(F.array("ad0", "ad1"))
     samples = spark.sql(SAMPLES_SQL).select("s", "sid")
@@ -367,7 +368,9 @@ _MAD = lambda dev: ", ".join(
 )
 _MAD_FROM = lambda source: f"""FROM (SELECT *, {', '.join(f'1.4826 * median(abs({c} - m_{c})) OVER w AS d_{c}' for c in _M)}
   FROM (SELECT q.*, ancestry_pop, {', '.join(f'median({c}) OVER w AS m_{c}' for c in _M)} FROM {source} q JOIN es ON es.s = q.s WINDOW w AS (PARTITION BY ancestry_pop)) a WINDOW w AS (PARTITION BY ancestry_pop)) b"""
-_HALF = "h AS (SELECT * FROM e WHERE vid % 2 = 1), ha AS (SELECT * FROM h WHERE contig <> 'chrX')"
+_SITES = f"""n AS (SELECT count(*) AS n FROM es), site AS (SELECT contig, position, ref, alt, sum(n_alt) AS ac, count(*) AS called FROM e WHERE {_GOOD(True)} AND {_IN(0, 25000)} AND NOT ({_IN(10000, 2000)}) GROUP BY ALL),
+hq AS (SELECT contig, position, ref, alt FROM site, n WHERE least(ac, 2 * called - ac) / (2.0 * called) > {_HQ['maf_thresh']} AND called / n > {_HQ['call_rate_thresh']} AND least(ac, 2 * called - ac) >= {_HQ['mac_thresh']})"""
+_AT_SITES = f"{_SITES}, h AS (SELECT e.* FROM e SEMI JOIN hq ON hq.contig = e.contig AND hq.position = e.position AND hq.ref = e.ref AND hq.alt = e.alt), ha AS (SELECT * FROM h WHERE contig <> 'chrX')"
 _GQF = lambda source: f"SELECT s, count(*) FILTER (WHERE gq >= 20) / count(*) AS gq_fraction FROM {source} WHERE {_AUTO} GROUP BY s"
 
 SQL = {
@@ -398,8 +401,7 @@ cells AS (SELECT ac, af, qual_approx, info, gq, dp, max_gp FROM (SELECT coalesce
     "filter_genotypes_dragen": f"WITH {_EXO} SELECT s, n_alt, count(*) AS n, sum(dp)::BIGINT AS dp FROM e WHERE {_GOOD(False)} GROUP BY ALL",
     "variant_qc": f"""WITH {_EXO}, n AS (SELECT count(*) AS n FROM es), q AS (SELECT ev.contig, ev.position, ev.ref, ev.alt, coalesce(sum(n_alt), 0)::BIGINT AS ac_alt, count(n_alt) AS n_called FROM ev LEFT JOIN e ON e.vid = ev.vid GROUP BY ALL)
 SELECT {KEYS}, 2 * n_called - ac_alt AS ac_ref, ac_alt, round((2 * n_called - ac_alt) / nullif(2.0 * n_called, 0), 9) AS af_ref, round(ac_alt / nullif(2.0 * n_called, 0), 9) AS af_alt, 2 * n_called AS AN, n_called, round(n_called / n, 9) AS call_rate FROM q, n""",
-    "hq_sites": f"""WITH {_EXO}, n AS (SELECT count(*) AS n FROM es), q AS (SELECT {KEYS}, sum(n_alt) AS ac, count(*) AS called FROM e WHERE {_GOOD(True)} AND {_IN(0, 25000)} AND NOT ({_IN(10000, 2000)}) GROUP BY ALL)
-SELECT {KEYS} FROM q, n WHERE least(ac, 2 * called - ac) / (2.0 * called) > {_HQ['maf_thresh']} AND called / n > {_HQ['call_rate_thresh']} AND least(ac, 2 * called - ac) >= {_HQ['mac_thresh']}""",
+    "hq_sites": f"WITH {_EXO}, {_SITES} SELECT {KEYS} FROM hq",
     "sample_qc_metrics": f"WITH {_EXO}, q AS ({_metrics_sql('e')}) SELECT s, n_het, n_hom_var, n_singleton, {', '.join(f'{c}::BIGINT AS {c}' for c in ('n_snp', 'n_insertion', 'n_deletion', 'n_transition', 'n_transversion'))}, {', '.join(f'round({c}, 9) AS {c}' for c in ('r_ti_tv', 'r_het_hom_var', 'r_insertion_deletion'))} FROM q",
     "gq_fraction": f"WITH {_EXO}, g AS ({_GQF('e')}) SELECT es.s, round(gq_fraction, 9) AS gq_fraction, gq_fraction >= 0.9 AS is_passing FROM es LEFT JOIN g ON g.s = es.s",
     "chimera_flag": f"WITH {_EXO} SELECT s, round(chimera_rate, 9) AS chimera_rate, chimera_rate < 0.05 AS is_passing FROM es",
@@ -408,15 +410,15 @@ SELECT {KEYS} FROM q, n WHERE least(ac, 2 * called - ac) / (2.0 * called) > {_HQ
 g AS (SELECT *, CASE WHEN f_stat < 0.2 THEN TRUE WHEN f_stat > 0.8 THEN FALSE END AS is_female FROM f)
 SELECT s, is_female, coalesce(is_female = reported_is_female, TRUE) AS is_passing, is_female = reported_is_female AS sex_check, round(f_stat, 9) AS f_stat, n_called, round(expected_homs, 9) AS expected_homs, observed_homs FROM g""",
     "qc_outliers_mad": f"WITH {_EXO}, q AS ({_metrics_sql('e')}), f AS (SELECT s, {_MAD(1.5)} {_MAD_FROM('q')}) SELECT *, NOT ({' OR '.join(f'fail_{c}' for c in _M)}) AS is_passing FROM f",
-    "qc_result_outer_join": f"""WITH {_EXO}, {_HALF}, c AS ({_CHARR('h')}), g AS ({_GQF('h')}), q AS ({_metrics_sql('ha')}), x AS ({_SEX('h')})
+    "qc_result_outer_join": f"""WITH {_EXO}, {_AT_SITES}, c AS ({_CHARR('h')}), g AS ({_GQF('h')}), q AS ({_metrics_sql('ha')}), x AS ({_SEX('h')})
 SELECT es.s, ancestry_pop, round(charr, 9) AS charr, round(gq_fraction, 9) AS gq_fraction, n_snp::BIGINT AS n_snp, round({_F}, 9) AS f_stat, round(chimera_rate, 9) AS chimera_rate
 FROM es LEFT JOIN c ON c.s = es.s LEFT JOIN g ON g.s = es.s LEFT JOIN q ON q.s = es.s LEFT JOIN x ON x.s = es.s""",
-    "passing_samples": f"""WITH {_EXO}, {_HALF}, g AS ({_GQF('h')}), q AS ({_metrics_sql('ha')}), f AS (SELECT s, {_MAD(4.0)} {_MAD_FROM('q')})
+    "passing_samples": f"""WITH {_EXO}, {_AT_SITES}, g AS ({_GQF('h')}), q AS ({_metrics_sql('ha')}), f AS (SELECT s, {_MAD(4.0)} {_MAD_FROM('q')})
 SELECT es.s FROM es JOIN g ON g.s = es.s JOIN f ON f.s = es.s WHERE coalesce(chimera_rate < 0.05, TRUE) AND gq_fraction >= 0.7 AND NOT fail_n_snp""",
     "lgt_to_gt": f"""WITH {_EXO} SELECT CASE WHEN n_alt IS NULL THEN './.' WHEN n_alt = 0 THEN '0/0' WHEN n_alt = 1 THEN '0/' || a ELSE a || '/' || a END AS gt, n_alt, count(*) AS n
 FROM (SELECT n_alt, CASE WHEN vid % 2 = 1 THEN '2' ELSE '1' END AS a FROM exo) x GROUP BY ALL""",
     "union_rows": f"WITH {_EXO} SELECT s, count(*) AS n_entries, sum(n_alt)::BIGINT AS ac FROM e GROUP BY s",
-    "split_multi": f"""WITH {_EXO}, m AS (SELECT exo.*, v.contig, v.position, v.ref AS ref, v.alt AS alt FROM exo JOIN v ON v.vid = exo.vid WHERE exo.vid % 4 = 3),
+    "split_multi": f"""WITH {_EXO}, m AS (SELECT exo.*, v.contig, v.position, v.ref AS ref, v.alt AS alt FROM exo JOIN v ON v.vid = exo.vid),
 a AS (SELECT contig, position, ref, alt, n_alt AS own, ad0 AS others, ad1 AS mine FROM m WHERE vid % 8 <> 7
   UNION ALL SELECT contig, position, ref, alt, CASE n_alt WHEN 2 THEN 1 ELSE n_alt END, ad0 + 7, ad1 FROM m WHERE vid % 8 = 7
   UNION ALL SELECT contig, position, substr(ref, 1, 1), 'G', CASE n_alt WHEN 1 THEN 0 WHEN 2 THEN 1 ELSE n_alt END, ad0 + ad1, 7 FROM m WHERE vid % 8 = 7)
@@ -429,5 +431,16 @@ JOIN z za ON za.vid = a.vid JOIN z zb ON zb.vid = b.vid WHERE za.xx > 0 AND zb.x
     "pc_projection": f"""WITH {_EXO}, n AS (SELECT count(*) AS m FROM ev), w AS (SELECT sid, vid, (n_alt - 2 * af) / sqrt(m * 2 * af * (1 - af)) AS w FROM (SELECT sid, vid, n_alt, (vid % 9 + 1) / 11.0::DOUBLE AS af FROM e WHERE n_alt IS NOT NULL) x, n)
 SELECT es.s, {', '.join(f'round(sum(w * ((vid * {k} % 17) - 8) / 8.0::DOUBLE), 6) AS pc{i + 1}' for i, k in enumerate((3, 5, 7)))} FROM es LEFT JOIN w ON w.sid = es.sid GROUP BY es.s""",
 }
-_NAMES = (*SQL, "hash_sample_variants", "pca_scores", "ld_prune", "relatedness")
+SQL["ld_prune"] = f"""WITH RECURSIVE {_EXO}, m AS (SELECT vid, contig, position, [ref, alt] AS ref_alt, sid, n_alt - avg(n_alt) OVER (PARTITION BY vid) AS x FROM e WHERE n_alt IS NOT NULL),
+z AS (SELECT vid, sum(x * x) AS xx FROM m GROUP BY vid),
+pairs AS (SELECT a.vid AS u, b.vid AS v FROM m a JOIN m b ON a.contig = b.contig AND a.sid = b.sid AND (a.position, a.ref_alt) < (b.position, b.ref_alt) AND b.position - a.position <= 100000
+  JOIN z za ON za.vid = a.vid JOIN z zb ON zb.vid = b.vid WHERE za.xx > 0 AND zb.xx > 0 GROUP BY a.vid, b.vid HAVING sum(a.x * b.x) ** 2 / (any_value(za.xx) * any_value(zb.xx)) > 0.02),
+af AS (SELECT vid, sum(n_alt) / (2.0 * count(n_alt)) AS af FROM e WHERE n_alt IS NOT NULL GROUP BY vid),
+ranked AS (SELECT ev.vid, contig, position, ref, alt, row_number() OVER (ORDER BY -coalesce(least(af, 1 - af), 0), md5(contig || ':' || position || ':' || ref || '/' || alt), contig, position, ref, alt) AS k FROM ev LEFT JOIN af ON af.vid = ev.vid),
+near AS (SELECT a.k, list(b.k) AS before FROM (SELECT u, v FROM pairs UNION ALL SELECT v, u FROM pairs) p JOIN ranked a ON a.vid = p.u JOIN ranked b ON b.vid = p.v AND b.k < a.k GROUP BY a.k),
+walk(k, kept) AS (SELECT 0::BIGINT, []::BIGINT[] UNION ALL
+  SELECT w.k + 1, CASE WHEN list_has_any(w.kept, coalesce(near.before, [])) THEN w.kept ELSE list_append(w.kept, w.k + 1) END FROM walk w JOIN ranked ON ranked.k = w.k + 1 LEFT JOIN near ON near.k = w.k + 1),
+last AS (SELECT kept FROM walk ORDER BY k DESC LIMIT 1)
+SELECT {KEYS} FROM ranked JOIN (SELECT unnest(kept) AS k FROM last) l ON l.k = ranked.k"""
+_NAMES = (*SQL, "hash_sample_variants", "pca_scores", "relatedness")
 QUERIES = {name: globals()[name] for name in _NAMES}
