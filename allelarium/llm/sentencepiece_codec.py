@@ -7,7 +7,9 @@ distinct chunk is segmented once; the ids of a text are the table's ids joined
 by position. Decoding works on the same table: the surface of a text is the
 surfaces of its chunks, joined by the blank that each further marker stands
 for. The table lives in the task that reads the texts, so nothing is shuffled
-and no vocabulary is broadcast; it starts anew beyond `TABLE_CHUNKS` entries.
+and no vocabulary is broadcast; it starts anew beyond `TABLE_CHUNKS` entries or
+`TABLE_CHARS` characters, and chunks over `LONG` characters, as texts without
+blanks have them, are segmented where they occur and not kept.
 A model for which the rule does not hold is applied to whole texts.
 
 Edge cases: a null text counts as empty; an empty text has no ids and decodes
@@ -29,6 +31,8 @@ from pyspark.sql import functions as F
 from allelarium.llm.common import read_table, text_slices
 
 TABLE_CHUNKS = 1 << 20
+#: Characters of chunks and ids that a table has at most, but for one slice of texts; of a chunk that it keeps.
+TABLE_CHARS, LONG = 64 << 20, 256
 MODEL = "piece_bpe_32k.model"
 _MARK = "▁"
 _RUN = re.compile(r" +[^ ]*")
@@ -64,28 +68,37 @@ def split_chunks(text: str) -> list[str]:
 class ChunkCodec:
     """Segments texts by the table of distinct chunks."""
 
-    def __init__(self, model: bytes, table_chunks: int = TABLE_CHUNKS):
+    def __init__(self, model: bytes, table_chunks: int = TABLE_CHUNKS, *, decode: bool = True, table_chars: int = TABLE_CHARS):
         self.sp = sentencepiece.SentencePieceProcessor(model_proto=model)
         self.chunked = chunks_are_independent(self.sp)
-        self.most = table_chunks
+        self.decodes = decode
+        self.most, self.most_chars, self.chars = table_chunks, table_chars, 0
         self.ids: dict[str, str] = {}  # chunk -> its ids in decimal, joined by commas
         self.odd: dict[str, str] = {}  # chunk -> what its ids decode to, where that isn't the chunk itself
+        self.blank = ",".join(map(str, self.sp.encode("a ")[len(self.sp.encode("a")) :]))  # one marker with nothing behind it
+
+    def _segment(self, chunks: list[str]) -> tuple[list[str], dict[str, str]]:
+        """The ids of chunks that are not empty, and what they decode to where that isn't the chunk itself."""
+        ids = self.sp.encode(chunks, num_threads=1) if chunks else []
+        odd = {c: d for c, d in zip(chunks, self.sp.decode(ids, num_threads=1), strict=True) if c != d} if ids and self.decodes else {}
+        return [str(x)[1:-1].replace(" ", "") for x in ids], odd
 
     def _add(self, chunks: Iterable[str]) -> None:
-        new = [c for c in chunks if c]
-        ids = self.sp.encode(new, num_threads=1)
-        self.ids.update(zip(new, (str(x)[1:-1].replace(" ", "") for x in ids), strict=True))
-        self.odd.update((c, d) for c, d in zip(new, self.sp.decode(ids, num_threads=1) if ids else [], strict=True) if c != d)
-        if "" not in self.ids:  # one marker with nothing behind it
-            self.ids[""] = ",".join(map(str, self.sp.encode("a ")[len(self.sp.encode("a")) :]))
+        new = [c for c in chunks if c and len(c) <= LONG]
+        ids, odd = self._segment(new)
+        self.ids.update(zip(new, ids, strict=True))
+        self.odd.update(odd)
+        self.ids[""] = self.blank
+        self.chars += sum(map(len, new)) + sum(map(len, ids))
 
     def learn(self, texts: Iterable[str | None]) -> None:
         """Segment in one call every chunk of the texts that the table lacks."""
         if not self.chunked:
             return
-        if len(self.ids) > self.most:
+        if len(self.ids) > self.most or self.chars > self.most_chars:
             self.ids.clear()
             self.odd.clear()
+            self.chars = 0
         missing: set[str] = set()
         for text in texts:
             if text:
@@ -93,25 +106,29 @@ class ChunkCodec:
         self._add(missing.difference(self.ids))
 
     def encode(self, text: str | None) -> tuple[int, str, str]:
-        """Number of ids, the ids in decimal joined by commas, and what they decode to."""
+        """Number of ids, the ids in decimal joined by commas, and what they decode to (nothing where the codec doesn't decode)."""
         if not text:
             return 0, "", ""
         if not self.chunked:
             ids = self.sp.encode(text)
-            return len(ids), ",".join(map(str, ids)), self.sp.decode(ids)
-        chunks = split_chunks(text)
+            return len(ids), ",".join(map(str, ids)), self.sp.decode(ids) if self.decodes else ""
+        chunks, odd = split_chunks(text), self.odd
         try:
             ids = ",".join(map(self.ids.__getitem__, chunks))
         except KeyError:
             self._add(set(chunks).difference(self.ids))
-            ids = ",".join(map(self.ids.__getitem__, chunks))
-        surfaces = [self.odd.get(c, c) for c in chunks] if self.odd else chunks
-        return ids.count(",") + 1, ids, " ".join(surfaces)
+            long = list({c for c in chunks if len(c) > LONG})
+            found, more = self._segment(long)
+            own, odd = dict(zip(long, found, strict=True)), {**self.odd, **more} if more else self.odd
+            ids = ",".join(own[c] if len(c) > LONG else self.ids[c] for c in chunks)
+        if not self.decodes:
+            return ids.count(",") + 1, ids, ""
+        return ids.count(",") + 1, ids, " ".join([odd.get(c, c) for c in chunks] if odd else chunks)
 
 
 def _worker(model: bytes, outputs: tuple[str, ...], chunks: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = ChunkCodec(model, chunks)
+        codec = ChunkCodec(model, chunks, decode=any(name.startswith("decoded") for name in outputs))
         sha = lambda s: hashlib.sha256(s.encode("utf-8", "surrogatepass")).hexdigest()
         make = {
             "n_tokens": (pa.int64(), lambda n, ids, dec: n),

@@ -21,7 +21,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from allelarium.llm.common import read_table
+from allelarium.llm.common import Scratch, read_table
 from allelarium.llm.sentencepiece_codec import encode_decode
 
 BLOCK = 1024
@@ -87,7 +87,9 @@ def limits(histogram: DataFrame, at: Sequence[int]) -> DataFrame:
 
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row for each distinct encoded length of `documents`, with every suffix sum at that context limit."""
-    return suffix_sums(length_histogram(read_table(spark, sf_dir, "documents")))
+    # written, as the sums read it twice and the corpus is to be encoded once
+    histogram = Scratch(spark, "token-counts").write(length_histogram(read_table(spark, sf_dir, "documents")), "histogram")
+    return suffix_sums(histogram)
 
 
 QUERIES = {"op3_token_counts": op3_token_counts}

@@ -43,6 +43,22 @@ def test_codec_agrees_with_the_library():
     assert codec.encode(None) == codec.encode("") == (0, "", "")
 
 
+def test_codec_bounds_its_table():
+    """Texts without blanks, long ones among them, agree with the library and don't fill the table."""
+    codec = sentencepiece_codec.ChunkCodec(sentencepiece_codec.model_bytes(), table_chars=20_000)
+    counter = sentencepiece_codec.ChunkCodec(sentencepiece_codec.model_bytes(), decode=False)
+    rng = random.Random(9)
+    for _ in range(40):
+        texts = ["".join(rng.choice("abcdefé中文字") for _ in range(rng.choice((3, 250, 256, 257, 3_000, 200_000 if rng.random() < 0.02 else 900)))) + rng.choice(("", " ", "  x", " \x01 y" * 3)) for _ in range(6)]
+        codec.learn(texts)
+        for t in texts:
+            ids = codec.sp.encode(t)
+            assert codec.encode(t) == (len(ids), ",".join(map(str, ids)), codec.sp.decode(ids))
+            assert counter.encode(t) == (len(ids), ",".join(map(str, ids)), "")
+        assert max(map(len, codec.ids)) <= 256 and codec.chars < 40_000
+    assert not counter.odd
+
+
 def test_encode_decode_rows(spark):
     docs = docs_frame(spark, ODD).withColumn("ids", F.lit("clash")).withColumn("n_tokens", F.lit(0))
     got = {r["doc_id"]: r for r in sentencepiece_codec.encode_decode(docs, ("n_tokens", "ids", "decoded", "ids_sha256", "decoded_sha256")).collect()}
