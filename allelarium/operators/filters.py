@@ -9,9 +9,9 @@ from allelarium.functions.calls import depth
 from allelarium.functions.genome import contig_index, parse_variant
 from allelarium.model import VARIANT, CallSet
 
-SEED = 10243523
-#: Bases of one bucket of an interval join, and rows of intervals that are broadcast at most.
-BUCKET, BROADCAST_ROWS = 1 << 20, 100_000
+SEED = 1
+#: Bases of one bucket of an interval join.
+BUCKET = 1 << 20
 
 
 def hash_sample(df: DataFrame, fraction: float, *key: str, seed: int = SEED) -> DataFrame:

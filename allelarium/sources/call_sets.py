@@ -128,7 +128,7 @@ def _bgz_lines(spark: SparkSession, path: str) -> DataFrame:
 def read_plink(spark: SparkSession, root: str) -> CallSet:
     """PLINK .bed, .bim and .fam. The second allele is the reference; 00 is homozygous for the first, 01 missing.
 
-    The fixed-length rows of the .bed are read as records and decoded block by block.
+    The .bed is read whole by one task, which a file of 2 GB ends, and decoded block by block.
     """
     fam = spark.createDataFrame([(x.split()[1], i, x.split()[4]) for i, x in enumerate(read_bytes(spark, f"{root}.fam").decode().splitlines()) if x.strip()], "s string, col_idx int, sex string")
     names = [r["s"] for r in fam.orderBy("col_idx").collect()]

@@ -52,8 +52,11 @@ def delete(spark: SparkSession, where: str) -> None:
 
 
 def round_folder(spark: SparkSession, label: str) -> str:
-    """A new folder in `spark.checkpoint.dir` (in a temporary one where that is unset), deleted when the driver ends."""
-    at = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="rounds-")
+    """A new folder in `spark.checkpoint.dir` (in a temporary one where that is unset and the master is local), deleted when the driver ends."""
+    at = spark.conf.get("spark.checkpoint.dir", None)
+    if not at and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+    at = at or "file://" + tempfile.mkdtemp(prefix="rounds-")
     root = f"{at.rstrip('/')}/{label}-{uuid.uuid4().hex[:12]}"
 
     def close() -> None:

@@ -13,6 +13,7 @@ from allelarium.model import VARIANT, CallSet, variables
 from allelarium.operators import filters, joint, linear, sample_stats, variant_stats
 from allelarium.operators.concordance import global_concordance, sample_concordance, variant_concordance
 from allelarium.operators.confusion import STATES
+from allelarium.operators.joint_call_set import JointCallSet
 from allelarium.operators.views import ConcordanceTable
 from allelarium.plans.concordance import compare
 from allelarium.plans.sample_qc import calculate_sample_qc_stats
@@ -277,9 +278,35 @@ def test_incremental_counts(spark, tmp_path):
     assert got == {g: sum(c == (2, 2, g) for c in cells) for g in "xy"}
 
 
-def test_entry_point_without_the_corpus_operators():
+def test_joint_call_set(spark):
+    exo = call_set(spark, [(1, "a", 1), (1, "b", 0), (2, "a", 2), (3, "c", 1)])
+    imp = call_set(spark, [(1, "a", 1), (2, "b", 0), (4, "d", 1)])
+    with JointCallSet(exo, imp) as both:
+        assert both.n_sample_overlaps() == 2 and both.n_variant_overlaps() == 2
+        assert both.variant_overlaps() is both.variant_overlaps() and both.variant_overlaps().is_cached
+        kept = both.sample_overlaps()
+        assert {tuple(r) for r in kept.collect()} == {("a", True, True), ("b", True, True), ("c", True, False), ("d", False, True)}
+        assert both.global_concordance().get_view().result().equals(global_concordance(exo, imp).get_view().result())
+        assert both.sample_concordance().df.count() == 2 and both.variant_concordance(join_type="outer").df.count() == 4
+    assert not kept.is_cached
+    both.close()
+    with pytest.raises(ValueError, match="closed"):
+        both.n_sample_overlaps()
+    twice = exo.with_(samples=exo.samples.union(exo.samples.limit(1)))
+    with pytest.raises(ValueError, match="duplicate sample ids"):
+        JointCallSet(twice, imp)
+    with pytest.raises(ValueError, match="duplicate sample ids in the imputation"):
+        global_concordance(exo, twice)
+
+
+def test_entry_point_without_the_corpus_operators(monkeypatch):
+    import importlib.util
+
     import __spark_entry__ as e
 
     from allelarium.plans.queries import QUERIES, SQL
 
     assert set(QUERIES) <= set(e.queries()) and set(SQL) <= set(e.oracle_sql()) and set(e.oracle_sql()) <= set(e.queries())
+    found = importlib.util.find_spec
+    monkeypatch.setattr(importlib.util, "find_spec", lambda name, *a: None if name.startswith("allelarium.llm") or name == "corpus_pipeline" else found(name, *a))
+    assert set(e.queries()) == set(QUERIES) and set(e.oracle_sql()) == set(SQL)
