@@ -12,15 +12,18 @@ class, and one class takes part once.
 2. In each index list every set is paired with one pivot. Pairs pass the
    filters of length and parity (a bitmap with a bit flipped by each token: the
    bits in which two differ are at most the tokens in which they differ), then
-   must share a prefix token under each further order, and are verified on
-   their whole sets. Links make components.
+   must share a prefix token under each further order, for which the prefixes
+   alone are read; whole sets are joined only for the pairs that are left, which
+   are verified on them. Links make components.
 3. Only lists that still hold several components are looked at again, for pairs
    across components that pass the filters: at first a few for each pair of
    components, then, with what is left apart, all. So a group of near copies of
    size m costs about m pairs and no link between components is missed.
 
-Lists are cut into blocks where they are long: the members of the commonest
-component are dealt out and the others go to every block. No list, link or
+Lists are cut into blocks where they are long: those outside the commonest
+component are dealt into parts, each of which meets every other part and every
+deal of that component in a block of its own, so a block holds about two parts
+and no pair is compared twice. No list, link or
 component is gathered on the driver; what is broadcast there has a bound: the
 frequent tokens (at least the share `HEAVY_SHARE` of the documents has each) and
 ids of at most `BROADCAST_IDS` documents to verify, beyond which these are
@@ -194,19 +197,30 @@ def _pass_parity(percent: int):
     return run
 
 
-def _verify(percent: int):
-    """Pairs of sets that share a prefix token under every further order and then link on their whole sets."""
+def further_prefixes(tokens: np.ndarray, percent: int) -> list[bytes]:
+    """A set's prefix under each further order, as the upper halves of its keys; equal halves of unlike tokens only let a pair pass."""
+    p = prefix_length(len(tokens), percent)
+    keys = (mix64(tokens ^ order) for order in _ORDERS[1:])
+    return [np.unique(((np.partition(key, p - 1)[:p] if p < len(key) else key) >> np.uint64(32)).astype(np.uint32)).tobytes() for key in keys]
+
+
+def _pass_orders(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs that share a prefix token under every further order."""
+
+    def share(x: list[bytes], y: list[bytes]) -> bool:
+        return all(len(np.intersect1d(np.frombuffer(i, np.uint32), np.frombuffer(j, np.uint32), assume_unique=True)) for i, j in zip(x, y, strict=True))
 
-    def prefix(tokens: np.ndarray, order: np.uint64) -> np.ndarray:
-        key = mix64(tokens ^ order)
-        p = prefix_length(len(tokens), percent)
-        return np.partition(key, p - 1)[:p] if p < len(key) else key
+    for batch in batches:
+        keep = pa.array([i for i, (x, y) in enumerate(zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)) if share(x, y)], pa.int64())
+        yield pa.RecordBatch.from_arrays([batch.column(0).take(keep), batch.column(1).take(keep)], ["a", "b"])
+
+
+def _verify(percent: int):
+    """Pairs of sets that link on their whole sets."""
 
     def links(x: np.ndarray, y: np.ndarray) -> bool:
         if not _may_link(len(x), len(y), percent):
             return False
-        if not all(np.isin(prefix(x, o), prefix(y, o)).any() for o in _ORDERS[1:]):
-            return False
         common = len(np.intersect1d(x, y, assume_unique=True))
         return 100 * common >= percent * (len(x) + len(y) - common)
 
@@ -219,10 +233,10 @@ def _verify(percent: int):
 
 
 def _across(percent: int, few: int | None):
-    """Pairs of a list, across components, that pass the filters of length and parity; `few` for each pair of components."""
+    """Pairs of a block, across components, that pass the filters of length and parity; `few` for each pair of components. Sets of one side other than 0 do not meet."""
 
     def pairs(post: dict[str, np.ndarray], maps: list[bytes]) -> Iterator[tuple[int, int]]:
-        comp, n, node = post["comp"], post["n"], post["node"]
+        comp, n, node, side = post["comp"], post["n"], post["node"], post["side"]
         if comp.min() == comp.max():
             return
         value, count = np.unique(comp, return_counts=True)
@@ -236,6 +250,7 @@ def _across(percent: int, few: int | None):
                 if comp[i] == common:
                     continue
                 other = (comp[at] != comp[i]) & ((comp[at] == common) | (at > i)) & ((sizes[at] == size) | (sizes[i] == size))
+                other &= (side[at] == 0) | (side[at] != side[i])
                 other &= 100 * np.minimum(n[at], n[i]) >= percent * np.maximum(n[at], n[i])
                 near = np.flatnonzero(other)
                 near = near[np.bitwise_count(bits[near] ^ bits[row]).sum(1) <= max_difference(n[at[near]] + n[i], percent)]
@@ -249,7 +264,7 @@ def _across(percent: int, few: int | None):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def of(held: pa.Table) -> pa.RecordBatch | None:
-            names = ["token", "salt", "node", "n", "comp"]
+            names = ["token", "salt", "side", "node", "n", "comp"]
             post = {c: held[c].to_numpy() for c in names}
             maps = held["bitmap"].to_pylist()
             edges = np.flatnonzero((np.diff(post["token"]) != 0) | (np.diff(post["salt"]) != 0)) + 1
@@ -330,8 +345,8 @@ def jaccard_components(docs: DataFrame, *, n: int = N, percent: int = PERCENT) -
         mixed = at.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("size")).where("lo < hi")
         mixed = scratch.write(mixed.select(F.col("token").alias("_token"), F.ceil(F.col("size") / BLOCK_ROWS).cast("int").alias("blocks")), f"mixed-{name}")
         long = mixed.where("blocks > 1")
-        at = at.join(mixed.where("blocks = 1"), at["token"] == mixed["_token"], "left_semi").select("*", F.lit(0).alias("salt")).unionByName(_dealt(at, long))
-        at = at.join(classes.select("node", "bitmap"), "node").select("token", "salt", "node", "n", "comp", "bitmap")
+        at = at.join(mixed.where("blocks = 1"), at["token"] == mixed["_token"], "left_semi").select("*", F.lit(0).cast("long").alias("salt"), F.lit(0).alias("side")).unionByName(_dealt(at, long))
+        at = at.join(classes.select("node", "bitmap"), "node").select("token", "salt", "side", "node", "n", "comp", "bitmap")
         at = at.repartition("token", "salt").sortWithinPartitions("token", "salt", "node")
         pairs = scratch.write(at.mapInArrow(_across(percent, few), "a long, b long").distinct(), f"pairs-{name}")
         if not pairs.take(1):
@@ -376,12 +391,21 @@ def _grouped(f):
 
 
 def _dealt(at: DataFrame, long: DataFrame) -> DataFrame:
-    """Lists longer than a block: the commonest component's sets dealt over the blocks, the others in each."""
+    """Lists longer than a block, in blocks (salt) of two sides: part with part, or part with a deal of the commonest component; side 0 meets itself."""
     here = at.join(F.broadcast(long), at["token"] == long["_token"]).drop("_token")  # at most rows / BLOCK_ROWS lists
-    common = here.groupBy("token", "comp").agg(F.count("*").alias("size")).groupBy("token").agg(F.max_by("comp", F.struct("size", "comp")).alias("common"))
-    here = here.join(F.broadcast(common), "token")
-    salts = F.when(F.col("comp") == F.col("common"), F.array(F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))).otherwise(F.sequence(F.lit(0), F.col("blocks") - 1))
-    return here.select("token", "node", "n", "comp", F.explode(salts).alias("salt"))
+    sizes = here.groupBy("token", "comp").agg(F.count("*").alias("size")).groupBy("token")
+    sizes = sizes.agg(F.max_by("comp", F.struct("size", "comp")).alias("common"), F.max("size").alias("most"), F.sum("size").alias("size"))
+    blocks = lambda n: F.ceil(n / BLOCK_ROWS).cast("long")
+    sizes = sizes.select("token", "common", blocks(F.col("size") - F.col("most")).alias("parts"), blocks(F.col("most")).alias("deals"))
+    here = here.join(F.broadcast(sizes), "token")
+    parts, deals = F.col("parts"), F.col("deals")
+    part, deal = F.pmod(F.xxhash64("node"), parts), F.pmod(F.xxhash64("node"), deals)
+    each = lambda n, salt, side: F.transform(F.sequence(F.lit(0).cast("long"), n - 1), lambda k: F.struct(salt(k).alias("salt"), side(k).alias("side")))
+    with_parts = each(parts, lambda q: F.least(part, q) * parts + F.greatest(part, q), lambda q: F.when(part == q, 0).when(part < q, 1).otherwise(2))
+    with_deals = each(deals, lambda d: parts * parts + part * deals + d, lambda d: F.lit(1))
+    as_deal = each(parts, lambda p: parts * parts + p * deals + deal, lambda p: F.lit(2))
+    placed = F.when(F.col("comp") == F.col("common"), as_deal).otherwise(F.concat(with_parts, with_deals))
+    return here.select("token", "node", "n", "comp", F.explode(placed).alias("at")).select("token", "node", "n", "comp", "at.salt", "at.side")
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, classes: DataFrame, n: int, percent: int, scratch: Scratch, name: str) -> DataFrame:
@@ -395,15 +419,18 @@ def _verified(pairs: DataFrame, texts: DataFrame, classes: DataFrame, n: int, pe
         for batch in batches:
             for part in text_slices(batch, 1):
                 nodes, tokens = zip(*_sets(part.column(1), n), strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array([t.tobytes() for t in tokens], pa.binary())], ["node", "tokens"])
+                prefixes = pa.array([further_prefixes(t, percent) for t in tokens], pa.list_(pa.binary()))
+                yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), prefixes, pa.array([t.tobytes() for t in tokens], pa.binary())], ["node", "prefixes", "tokens"])
 
-    made = texts.join(ids, texts["doc_id"].eqNullSafe(ids["_id"]), "left_semi").mapInArrow(sets, "node long, tokens binary")
+    made = texts.join(ids, texts["doc_id"].eqNullSafe(ids["_id"]), "left_semi").mapInArrow(sets, "node long, prefixes array<binary>, tokens binary")
     made = scratch.write(made.join(needed.select("node"), "node", "left_semi").dropDuplicates(["node"]), f"sets-{name}")
-    a, b = made.select(F.col("node").alias("a"), F.col("tokens").alias("ta")), made.select(F.col("node").alias("b"), F.col("tokens").alias("tb"))
-    both = pairs.join(a, "a").join(b, "b").select("a", "b", "ta", "tb")
+    side = lambda s, c: made.select(F.col("node").alias(s), F.col(c).alias(f"{c}_{s}"))
+    with_both = lambda pairs, c: pairs.join(side("a", c), "a").join(side("b", c), "b").select("a", "b", f"{c}_a", f"{c}_b")
+    left = scratch.write(with_both(pairs, "prefixes").mapInArrow(_pass_orders, "a long, b long"), f"filtered-{name}")
+    both = with_both(left, "tokens")
     links = scratch.write(both.mapInArrow(_verify(percent), "a long, b long"), f"links-{name}")
     links.count()
-    scratch.drop(f"sets-{name}", f"needed-{name}")
+    scratch.drop(f"sets-{name}", f"needed-{name}", f"filtered-{name}")
     return links
 
 

@@ -584,3 +584,35 @@ def test_chat_format(spark):
 def test_shingles():
     w = np.arange(6, dtype=np.uint64)
     assert len(shingle_hashes(w, 4)) == 3 and len(shingle_hashes(w[:2], 4)) == 1 and len(shingle_hashes(w[:0], 4)) == 0
+
+
+def test_blocks_of_a_long_list_meet_each_pair_once(spark, monkeypatch):
+    monkeypatch.setattr(ngram_jaccard, "BLOCK_ROWS", 5)
+    of = {i: 100 if i % 2 else i for i in range(37)}
+    at = spark.createDataFrame([(1, i, 9, c) for i, c in of.items()], "token long, node long, n long, comp long")
+    long = spark.createDataFrame([(1, 8)], "_token long, blocks int")
+    blocks: dict[int, list] = {}
+    for r in ngram_jaccard._dealt(at, long).collect():
+        blocks.setdefault(r["salt"], []).append((r["node"], r["side"]))
+    met = Counter()
+    for rows in blocks.values():
+        met.update((a, b) for a, sa in rows for b, sb in rows if a < b and (sa == 0 or sa != sb))
+    wanted = {(a, b) for a in of for b in of if a < b and of[a] != of[b]}
+    assert {p: met[p] for p in wanted} == dict.fromkeys(wanted, 1)
+    assert max(map(len, blocks.values())) <= 4 * 5
+
+
+def test_prefixes_of_further_orders_keep_every_link():
+    rng = np.random.default_rng(5)
+    for size in (1, 2, 7, 40, 300):
+        x = np.unique(rng.integers(0, 1 << 63, size).astype(np.uint64))
+        changed = rng.integers(0, 1 << 63, len(x)).astype(np.uint64)
+        for k in range(len(x) + 1):
+            y = np.unique(np.concatenate([x[k:], changed[:k]]))
+            common = len(np.intersect1d(x, y))
+            if 100 * common >= 85 * (len(x) + len(y) - common):
+                batch = pa.RecordBatch.from_arrays([pa.array([1]), pa.array([2]), *(pa.array([ngram_jaccard.further_prefixes(t, 85)], pa.list_(pa.binary())) for t in (x, y))], ["a", "b", "pa", "pb"])
+                assert sum(len(b) for b in ngram_jaccard._pass_orders(iter([batch]))) == 1
+    unlike = [ngram_jaccard.further_prefixes(np.unique(rng.integers(0, 1 << 63, 50).astype(np.uint64)), 85) for _ in "ab"]
+    batch = pa.RecordBatch.from_arrays([pa.array([1]), pa.array([2]), *(pa.array([u], pa.list_(pa.binary())) for u in unlike)], ["a", "b", "pa", "pb"])
+    assert sum(len(b) for b in ngram_jaccard._pass_orders(iter([batch]))) == 0
