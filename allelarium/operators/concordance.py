@@ -2,7 +2,9 @@
 
 The dense variant-by-sample grid is never built. Cells that a call set has are
 joined and counted once by all variables together; this small table is then
-expanded to every pair of a group and an aggregation variable. Cells that both
+expanded to every pair of a group and an aggregation variable. Where entries
+define a variable, the joined cells are written to the checkpoint folder first,
+as their distinct loci and samples are counted too: one join serves all. Cells that both
 call sets lack are the size of the grid less the cells seen, which is arithmetic
 on counts of variants and samples. They belong to the missing value of a
 variable that entries define.
@@ -22,6 +24,7 @@ from pyspark.sql import functions as F
 from allelarium.model import VARIANT, CallSet, Variable
 from allelarium.operators.confusion import count_cells, state, with_statistics
 from allelarium.operators.joint import JoinType, check_samples, joined_entries, joined_samples, joined_variants
+from allelarium.sources.files import round_folder, written
 
 ALL = "ALL"
 KEY = ("group_var_name", "group_var", "agg_var_name", "agg_var")
@@ -58,6 +61,11 @@ class _Joined:
     def columns(self, *axes: str) -> list[str]:
         return [c for c, v in self.named if v.axis in axes]
 
+    def keep_cells(self) -> None:
+        """Write the joined cells, with the columns that counts over all variants need, so that each count reads them and joins nothing again."""
+        root = round_folder(self.cells.sparkSession, "concordance")
+        self.cells = written(self.cells.select("locus", "s", "l", "r", *(c for c, _ in self.named)), f"{root}/cells")
+
     def pairs(self, frame: DataFrame, hide: tuple[str, ...] = (), only: str | None = None) -> Column:
         """An array with the key of each pair of variables; a variable on an axis of `hide`, or absent from the frame, has the value NULL."""
 
@@ -99,11 +107,13 @@ def _matched(j: _Joined, counts: DataFrame, numbers: DataFrame, name: str, hidde
 
 def global_concordance(exo: CallSet, imp: CallSet, groups: list[Variable] = (), aggs: list[Variable] = (), join_type: JoinType = JoinType.inner) -> ConcordanceTable:
     j = _Joined(exo, imp, list(groups), list(aggs), join_type)
+    entry_aggs = [v.name for v in j.aggs if v.axis == "entry"]
+    if entry_aggs:
+        j.keep_cells()
     rows = j.variants.groupBy(*j.columns("row")).agg(F.count("*").alias("nv"))
     cols = j.samples.groupBy(*j.columns("col")).agg(F.count("*").alias("ns"))
     grid = rows.crossJoin(F.broadcast(cols)).withColumn("cells", F.col("nv") * F.col("ns"))  # a row for each combination of bins
     counts = j.counts([], grid)
-    entry_aggs = [v.name for v in j.aggs if v.axis == "entry"]
     plain = counts.where(~F.col("agg_var_name").isin(entry_aggs or [""]))
     plain = _matched(j, plain, j.distinct(j.variants, "locus", "n_variants", ("col", "entry")), "n_variants", ("col", "entry"))
     plain = _matched(j, plain, j.distinct(j.samples, "s", "n_samples", ("row", "entry")), "n_samples", ("row", "entry"))

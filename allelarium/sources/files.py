@@ -7,7 +7,7 @@ import contextlib
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def _at(spark: SparkSession, where: str):
@@ -65,3 +65,9 @@ def round_folder(spark: SparkSession, label: str) -> str:
 
     atexit.register(close)
     return root
+
+
+def written(df: DataFrame, where: str) -> DataFrame:
+    """The frame as a Parquet table at a path: its lineage is cut and it outlives a lost executor."""
+    df.write.parquet(where)
+    return df.sparkSession.read.schema(df.schema).parquet(where)
