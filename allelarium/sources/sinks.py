@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import chain
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
@@ -9,7 +11,7 @@ from pyspark.sql import functions as F
 from allelarium.functions.genome import contig_index
 from allelarium.model import VARIANT, CallSet
 from allelarium.sources.call_sets import PARTS
-from allelarium.sources.files import list_folder, read_bytes, write_bytes, write_text
+from allelarium.sources.files import list_folder, read_bytes, write_pieces, write_text
 
 
 def write_call_set(cs: CallSet, path: str, *, overwrite: bool = False) -> None:
@@ -69,7 +71,7 @@ def write_vcf(cs: CallSet, path: str) -> str:
 
 
 def write_plink(cs: CallSet, root: str) -> None:
-    """PLINK .bed, .bim and .fam of biallelic variants. Rows are encoded on the executors; their bytes are joined in order, file by file."""
+    """PLINK .bed, .bim and .fam of biallelic variants. Rows are encoded on the executors; the driver joins their bytes in order, a partition at a time."""
     spark, names = cs.variants.sparkSession, _sample_names(cs)
     at, width = {s: i for i, s in enumerate(names)}, -(-len(names) // 4)
     calls = cs.entries.where("n_alt is not null").groupBy(*VARIANT).agg(F.collect_list(F.struct("s", "n_alt")).alias("calls"))
@@ -93,7 +95,7 @@ def write_plink(cs: CallSet, root: str) -> None:
     coded = rows.select(*VARIANT, "calls").mapInArrow(encode, "contig string, position int, alleles array<string>, row binary").persist()
     bim = coded.select(F.concat_ws("\t", "contig", F.concat_ws(":", "contig", F.col("position").cast("string"), F.array_join("alleles", ":")), F.lit("0"), F.col("position").cast("string"), F.get("alleles", F.lit(1)), F.get("alleles", F.lit(0))).alias("value"))
     bim.write.mode("overwrite").text(f"{root}.bim.parts")
-    write_bytes(spark, f"{root}.bed", b"\x6c\x1b\x01" + b"".join(bytes(r["row"]) for r in coded.select("row").toLocalIterator()))
-    write_bytes(spark, f"{root}.bim", b"".join(read_bytes(spark, p) for p in list_folder(spark, f"{root}.bim.parts") if "/part-" in p))
+    write_pieces(spark, f"{root}.bed", chain([b"\x6c\x1b\x01"], (bytes(r["row"]) for r in coded.select("row").toLocalIterator())))
+    write_pieces(spark, f"{root}.bim", (read_bytes(spark, p) for p in list_folder(spark, f"{root}.bim.parts") if "/part-" in p))
     write_text(spark, f"{root}.fam", "".join(f"{s}\t{s}\t0\t0\t0\t-9\n" for s in names))
     coded.unpersist()

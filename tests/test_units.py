@@ -310,3 +310,15 @@ def test_entry_point_without_the_corpus_operators(monkeypatch):
     found = importlib.util.find_spec
     monkeypatch.setattr(importlib.util, "find_spec", lambda name, *a: None if name.startswith("allelarium.llm") or name == "corpus_pipeline" else found(name, *a))
     assert set(e.queries()) == set(QUERIES) and set(e.oracle_sql()) == set(SQL)
+
+
+def test_no_pair_of_samples_from_a_high_kinship(spark):
+    entries = [("1", 100 + v, ["A", "C"], f"s{i}", (v * 7 + i * i) % 3) for v in range(12) for i in range(4)]
+    entries = spark.createDataFrame(entries, "contig string, position int, alleles array<string>, s string, n_alt int")
+    cs = CallSet(entries.select(*VARIANT).distinct(), entries.select("s").distinct(), entries)
+    scores = spark.createDataFrame([(f"s{i}", [0.0]) for i in range(4)], "s string, scores array<double>")
+    every = {(r["s_1"], r["s_2"]): r["kinship"] for r in linear.kinship(cs, scores).collect()}
+    assert sorted(every) == [(f"s{i}", f"s{j}") for i in range(4) for j in range(i + 1, 4)]
+    some = linear.kinship(cs, scores, min_kinship=0.0).collect()
+    assert {(r["s_1"], r["s_2"]) for r in some} == {p for p, k in every.items() if k >= 0}
+    assert linear.kinship(cs, scores, min_kinship=9.0).count() == 0
