@@ -103,6 +103,11 @@ def test_views_and_exports(spark, tmp_path):
     assert (tmp_path / "v.csv").read_text().splitlines()[0].endswith("Total")
     paths = table.get_view().export_all(f"file://{tmp_path}/all")
     assert sorted(p.rsplit("/", 1)[1] for p in paths) == ["ALL_ALL.tsv", "ALL_GQ.tsv", "pop_ALL.tsv", "pop_GQ.tsv"]
+    whole = table.get_view(group_names=["pop"], agg_names=["ALL"])
+    kept = whole._selected(None)
+    at_once, in_parts = (b"".join(whole._pieces(kept, n, sep="\t")).decode() for n in (10_000, 1))
+    assert in_parts == at_once == (tmp_path / "all" / "pop_ALL.tsv").read_text() and len(at_once.splitlines()) == 1 + kept.count()
+    assert b"".join(whole._pieces(kept.where("false"))).decode().strip() == ",".join(kept.columns)
     with pytest.raises(ValueError):
         table.get_view(group_names=["nothing"])
     with pytest.raises(NotImplementedError):
