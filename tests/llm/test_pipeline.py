@@ -49,3 +49,25 @@ def test_near_duplicates_by_brute_force(spark):
     docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
     kept = {r["doc_id"] for r in pipeline.near_duplicates(spark, docs, SF).collect()}
     assert kept == {i for i, c in enumerate(comp) if i == c} and len(kept) == 12
+
+
+def test_stages_on_odd_rows(spark, tmp_path):
+    """Nulls in every column, empty and long texts, repeated rows and an extra column; then no rows at all."""
+    rng = random.Random(5)
+    words = lambda n: " ".join(f"w{rng.randrange(5_000)}" for _ in range(n))
+    rows = [(k, words(60), "en", "s") for k in range(20)]
+    long, twice, nameless = (30, words(50_000), "en", "s"), (31, words(60), "en", "s"), (None, words(60), None, None)
+    rows += [long, twice, twice, nameless, (32, None, "en", "s"), (33, "", None, "s"), (34, " \n\t\n", "en", None), (35, rows[0][1], "en", "s")]
+    docs = spark.createDataFrame([(i, t, a, b, None if t is None else len(t), 1) for i, t, a, b in rows], "doc_id long, text string, lang string, source string, n_chars long, score int")
+    left = docs
+    for k, (name, stage) in enumerate(pipeline.STAGES):
+        stage(spark, left, SF).write.parquet(f"{tmp_path}/{k}")
+        left = spark.read.parquet(f"{tmp_path}/{k}")
+        # texts without words fail the base rules; the copy of document 0 and the second of the equal rows go as near duplicates at the latest
+        if k == 0:
+            assert not {r["doc_id"] for r in left.collect()} & {32, 33, 34}, name
+    ids = [r["doc_id"] for r in left.collect()]
+    assert sorted(ids, key=lambda i: -1 if i is None else i) == [None, *range(20), 30, 31]
+    none = docs.where("false")
+    for name, stage in pipeline.STAGES:
+        assert stage(spark, none, SF).count() == 0, name
