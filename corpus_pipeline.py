@@ -2,6 +2,12 @@
 
 Every stage works on all that its predecessor kept; all but the last return the
 columns of `documents`.
+
+Edge cases: null and empty texts and those without words fail the base rules of
+the first stage and go; a null id, language or source stays as it is; rows with
+one id (or none) and one text are one document, of which a single row stays;
+texts may be of any length; an empty table gives an empty table; extra columns
+are left out.
 """
 
 from __future__ import annotations
