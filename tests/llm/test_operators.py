@@ -1,6 +1,7 @@
 """The ten corpus operators against brute force, and on null, empty, repeated and clashing inputs."""
 
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -148,6 +149,31 @@ def test_quality_rules(spark):
     assert kept == {i for i in got if not got[i]["base_failed"]}
 
 
+def test_forest_walks_like_plain_python():
+    rng = np.random.default_rng(9)
+    x = np.concatenate([rng.normal(size=(120, 3)), rng.normal(6, 1, size=(8, 3))])
+    forest = quality_rules.IsolationForest.fit(x, np.arange(len(x)) < 120, trees=12, rows=len(x))  # each tree has every row
+
+    def expected(n: int) -> float:
+        """Mean path of an unsuccessful search, by its harmonic sum."""
+        return 0.0 if n < 2 else 2 * (math.log(n - 1) + 0.5772156649) - 2 * (n - 1) / n
+
+    beyond = np.maximum(0, x - forest.high) / forest.scale - np.maximum(0, forest.low - x) / forest.scale
+    lengths = np.zeros(len(x))
+    for feature, value in zip(forest.feature, forest.value, strict=True):
+        for i in range(len(x)):
+            members, node, level = list(range(len(x))), 0, 0
+            while node < len(feature) and len(members) > 1 and np.isfinite(value[node]):
+                right = beyond[i, feature[node]] > value[node]
+                members = [k for k in members if (beyond[k, feature[node]] > value[node]) == right]
+                node, level = 2 * node + 1 + int(right), level + 1
+            assert i in members
+            lengths[i] += level + expected(len(members))
+    plain = 2.0 ** (-lengths / len(forest.feature) / expected(len(x)))
+    assert forest.score(x) == pytest.approx(plain)
+    assert forest.score(x[120:]).min() > np.median(forest.score(x[:120]))
+
+
 # op8
 
 
