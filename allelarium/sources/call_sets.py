@@ -10,15 +10,14 @@ from __future__ import annotations
 import logging
 import posixpath
 
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from allelarium.functions.genome import CONTIGS, contig_index
 from allelarium.model import VARIANT, CallSet
 from allelarium.operators.variant_stats import calls_from_local, union_rows
-from allelarium.sources.files import list_folder, read_bytes
+from allelarium.sources.files import list_folder
+from allelarium.sources.ranges import RANGE_BYTES, read_gzip_lines, read_plink_cells, sample_fields
 
 PARTS = ("variants", "samples", "entries")
 _LONG = 1 << 40
@@ -72,14 +71,14 @@ def _call(text: Column) -> Column:
     return F.when(text.isNotNull() & ~F.exists(alleles, lambda a: a.isNull()), alleles)
 
 
-def read_vcf(spark: SparkSession, path: str) -> CallSet:
-    """A VCF, plain or compressed (block gzip is gzip of several members, which is read as such).
+def read_vcf(spark: SparkSession, path: str, *, range_bytes: int = RANGE_BYTES) -> CallSet:
+    """A VCF, plain or compressed; one of gzip blocks is read in tasks of about `range_bytes` each.
 
     Entries have gt (from GT, or LGT and LA), ad, dp, gq, gp and n_alt; a cell
     whose value is `.` throughout is an entry without a call. Variants have
     filters (PASS: none; `.`: unknown), qual, qual_approx and info.
     """
-    lines = spark.read.option("compression", "gzip").text(path) if path.endswith(".vcf") else _bgz_lines(spark, path)
+    lines = spark.read.text(path) if path.endswith(".vcf") else read_gzip_lines(spark, path, range_bytes=range_bytes)
     head = lines.where(F.col("value").startswith("#CHROM")).first()
     if head is None:
         raise ValueError(f"{path} has no header line")
@@ -93,7 +92,7 @@ def read_vcf(spark: SparkSession, path: str) -> CallSet:
     key = [at(0).alias("contig"), at(1).cast("int").alias("position"), alleles.alias("alleles")]
     filters = F.when(at(6) == "PASS", F.array().cast("array<string>")).when(at(6) != ".", F.split(at(6), ";"))
     variants = rows.select(*key, filters.alias("filters"), at(5).try_cast("double").alias("qual"), info["QUALapprox"].try_cast("int").alias("qual_approx"), info["INFO"].try_cast("double").alias("info"), info["RAF"].try_cast("double").alias("raf"))
-    known = F.array(*(F.lit(n) for n in names)) if names else F.array().cast("array<string>")
+    known = F.split(F.lit("\t".join(names)), "\t") if names else F.array().cast("array<string>")  # folded to one literal
     cells = rows.select(*key, F.split(at(8), ":").alias("format"), F.explode(F.arrays_zip(known.alias("s"), F.slice("f", 10, max(1, len(names))).alias("text"))).alias("cell"))
     cells = cells.select(*VARIANT, F.col("cell.s").alias("s"), F.map_from_arrays("format", F.transform(F.sequence(F.lit(0), F.size("format") - 1), lambda i: F.get(F.split("cell.text", ":"), i))).alias("v"))
     v = lambda name: F.when(F.col("v")[name] != ".", F.col("v")[name])
@@ -102,59 +101,12 @@ def read_vcf(spark: SparkSession, path: str) -> CallSet:
     return CallSet(variants, samples, calls_from_local(entries))
 
 
-def _bgz_lines(spark: SparkSession, path: str) -> DataFrame:
-    """Lines of a compressed file whatever its suffix: its bytes are inflated as they are read, by one task for each file."""
-    import zlib
-
-    if path.endswith(".gz"):
-        return spark.read.text(path)
-
-    def run(batches):
-        for batch in batches:
-            for content in batch.column(0).to_pylist():
-                rest, tail = content, b""
-                while rest:
-                    z = zlib.decompressobj(31)
-                    tail += z.decompress(rest)
-                    *lines, tail = tail.split(b"\n")
-                    yield pa.RecordBatch.from_arrays([pa.array([x.decode() for x in lines], pa.string())], ["value"])
-                    rest = z.unused_data
-                if tail:
-                    yield pa.RecordBatch.from_arrays([pa.array([tail.decode()], pa.string())], ["value"])
-
-    return spark.read.format("binaryFile").load(path).select("content").mapInArrow(run, "value string")
-
-
-def read_plink(spark: SparkSession, root: str) -> CallSet:
-    """PLINK .bed, .bim and .fam. The second allele is the reference; 00 is homozygous for the first, 01 missing.
-
-    The .bed is read whole by one task, which a file of 2 GB ends, and decoded block by block.
-    """
-    fam = spark.createDataFrame([(x.split()[1], i, x.split()[4]) for i, x in enumerate(read_bytes(spark, f"{root}.fam").decode().splitlines()) if x.strip()], "s string, col_idx int, sex string")
-    names = [r["s"] for r in fam.orderBy("col_idx").collect()]
-    bim = spark.read.text(f"{root}.bim", wholetext=False).where("value <> ''").coalesce(1)  # its order numbers the rows
+def read_plink(spark: SparkSession, root: str, *, range_bytes: int = RANGE_BYTES) -> CallSet:
+    """PLINK .bed, .bim and .fam, in tasks of about `range_bytes` of the .bed."""
+    fam = spark.createDataFrame([(x[1], i, x[4]) for i, x in enumerate(sample_fields(f"{root}.fam"))], "s string, col_idx int, sex string")
     part = F.split(F.trim("value"), r"\s+")
-    bim = bim.select(F.monotonically_increasing_id().alias("row"), F.get(part, F.lit(0)).alias("contig"), F.get(part, F.lit(3)).cast("int").alias("position"), F.array(F.get(part, F.lit(5)), F.get(part, F.lit(4))).alias("alleles"), F.get(part, F.lit(1)).alias("rsid"))
-    width = -(-len(names) // 4)
-    codes = np.array([2, -1, 1, 0])  # copies of the first allele of the .bim line
-
-    def decode(batches):
-        for batch in batches:
-            for content in batch.column(0).to_pylist():
-                if content[:3] != b"\x6c\x1b\x01":
-                    raise ValueError("not a .bed file with variants as rows")
-                body = np.frombuffer(content, np.uint8, offset=3).reshape(-1, width)
-                for lo in range(0, len(body), 256):
-                    bits = (body[lo : lo + 256, :, None] >> np.array([0, 2, 4, 6], np.uint8)) & 3
-                    n = codes[bits.reshape(len(bits), -1)[:, : len(names)]]
-                    i, j = np.indices(n.shape)
-                    value = n.ravel()
-                    yield pa.RecordBatch.from_arrays([pa.array(i.ravel() + lo), pa.array(np.array(names, object)[j.ravel()], pa.string()), pa.array(value, pa.int32(), mask=value < 0)], ["row", "s", "n_alt"])
-
-    cells = spark.read.format("binaryFile").load(f"{root}.bed").select("content").mapInArrow(decode, "row long, s string, n_alt int")
-    gt = F.when(F.col("n_alt") == 0, F.array(F.lit(0), F.lit(0))).when(F.col("n_alt") == 1, F.array(F.lit(0), F.lit(1))).when(F.col("n_alt") == 2, F.array(F.lit(1), F.lit(1)))
-    entries = cells.join(bim.select("row", *VARIANT), "row").select(*VARIANT, "s", gt.alias("gt"), "n_alt")
-    return CallSet(bim.drop("row"), fam, entries)
+    bim = spark.read.text(f"{root}.bim").where(F.trim("value") != "").select(F.get(part, F.lit(0)).alias("contig"), F.get(part, F.lit(3)).cast("int").alias("position"), F.array(F.get(part, F.lit(5)), F.get(part, F.lit(4))).alias("alleles"), F.get(part, F.lit(1)).alias("rsid"))
+    return CallSet(bim, fam, read_plink_cells(spark, root, range_bytes=range_bytes))
 
 
 def read_list(spark: SparkSession, path: str, header: bool) -> DataFrame:
