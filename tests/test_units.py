@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from allelarium.functions import bins, calls
 from allelarium.functions.genome import in_autosome, in_x_nonpar
 from allelarium.model import VARIANT, CallSet, variables
-from allelarium.operators import filters, joint, linear, sample_stats, variant_stats
+from allelarium.operators import filters, joint, linear, packed, sample_stats, variant_stats
 from allelarium.operators.concordance import global_concordance, sample_concordance, variant_concordance
 from allelarium.operators.confusion import STATES
 from allelarium.operators.joint_call_set import JointCallSet
@@ -210,7 +210,113 @@ def test_related_samples_go(spark):
     assert sorted(s for s, ok in out.items() if not ok) == ["s7"]
     with pytest.raises(ValueError):
         linear.relatedness(cs)
-    assert linear.independent_set([("a", "b"), ("b", "c")]) == {"a", "c"}
+
+
+def test_dropped_vertices_are_those_of_one_name_at_a_time(spark):
+    rng = np.random.default_rng(6)
+    for n, m in ((2, 1), (12, 20), (30, 45), (40, 25)):
+        edges = {tuple(sorted((f"s{a:02}", f"s{b:02}"))) for a, b in rng.integers(0, n, (m, 2)) if a != b}
+        near = {}
+        for a, b in edges:
+            near.setdefault(a, set()).add(b)
+            near.setdefault(b, set()).add(a)
+        gone = set()
+        while any(near.values()):
+            worst = max(near, key=lambda s: (len(near[s]), s))
+            for other in near.pop(worst):
+                near[other].discard(worst)
+            gone.add(worst)
+        frame = spark.createDataFrame(sorted(edges), "s_1 string, s_2 string")
+        assert {r["s"] for r in linear.vertices_to_drop(frame).collect()} == gone
+    assert linear.vertices_to_drop(frame.where("false")).count() == 0
+
+
+@pytest.mark.parametrize("n,k", [(3, 5), (40, 4), (300, 6)])
+def test_leading_eigenvectors(n, k, monkeypatch):
+    """Against the dense decomposition, for a flat spectrum too, and with a basis so small that it starts anew."""
+    rng = np.random.default_rng(n)
+    z = rng.standard_normal((2 * n, n))
+    a = z.T @ z / n
+    want = np.linalg.eigvalsh(a)[::-1][:k]
+    for limit in (1 << 30, 1):
+        monkeypatch.setattr(linear, "BASIS_BYTES", limit)
+        values, vectors = linear.leading_eigenvectors(lambda q: a @ q, n, k)
+        assert np.allclose(values, want, rtol=1e-9) and np.linalg.norm(a @ vectors - vectors * values) < 1e-7 * want[0]
+    low = z[:2].T @ z[:2]
+    values, vectors = linear.leading_eigenvectors(lambda q: low @ q, n, min(k, n))
+    assert np.allclose(values[:2], np.linalg.eigvalsh(low)[::-1][:2]) and np.allclose(values[2:], 0, atol=1e-8)
+
+
+def genotypes(spark, x, contig="chr1", step=100):
+    """A call set of an array of variants x samples; -1: an entry without a call, -2: no entry."""
+    cells = [(contig, (i + 1) * step, ["A", "G"], f"s{j:04}", None if x[i, j] < 0 else int(x[i, j])) for i in range(len(x)) for j in range(x.shape[1]) if x[i, j] > -2]
+    entries = spark.createDataFrame(cells, "contig string, position int, alleles array<string>, s string, n_alt int")
+    variants = spark.createDataFrame([(contig, (i + 1) * step, ["A", "G"]) for i in range(len(x))], "contig string, position int, alleles array<string>")
+    return CallSet(variants, spark.createDataFrame([(f"s{j:04}",) for j in range(x.shape[1])], "s string"), entries)
+
+
+@pytest.mark.parametrize("size", [512, 4])
+def test_ld_pairs_by_brute_force(spark, monkeypatch, size):
+    """Blocks of any size, columns in any strips, missing calls and variants of one genotype."""
+    monkeypatch.setattr(linear, "LD_VARIANTS", size)
+    rng = np.random.default_rng(12)
+    x = rng.integers(0, 3, (37, 21))
+    x[1], x[2] = x[0], 2 - x[0]
+    x[9] = 1
+    x[rng.random(x.shape) < 0.1] = -1
+    x[rng.random(x.shape) < 0.1] = -2
+    want = {}
+    for a in range(37):
+        for b in range(a + 1, 37):
+            if (b - a) * 100 > 700:
+                continue
+            called_a, called_b = x[a] >= 0, x[b] >= 0
+            da, db = np.where(called_a, x[a] - x[a][called_a].mean(), 0), np.where(called_b, x[b] - x[b][called_b].mean(), 0)
+            norm = (da**2).sum() * (db**2).sum()
+            if norm > 1e-9 and (da @ db) ** 2 / norm > 0.1:
+                want[(a + 1) * 100, (b + 1) * 100] = (da @ db) ** 2 / norm
+    got = {(r["position"], r["position_2"]): r["r2"] for r in linear.ld_pairs(genotypes(spark, x), r2_thresh=0.1, bp_window_size=700).collect()}
+    assert got.keys() == want.keys() and len(want) > 10 and all(got[k] == pytest.approx(v, abs=1e-9) for k, v in want.items())
+
+
+def test_kinship_by_brute_force(spark, monkeypatch):
+    """Strips of four samples and small blocks, against whole matrices."""
+    monkeypatch.setattr(linear, "STRIP_SAMPLES", 4)
+    rng = np.random.default_rng(7)
+    x = rng.binomial(2, rng.uniform(0.05, 0.95, 60)[:, None], (60, 11))
+    x[:, 10] = x[:, 3]
+    x[rng.random(x.shape) < 0.08] = -1
+    cs = genotypes(spark, x)
+    score = rng.standard_normal((11, 2))
+    scores = spark.createDataFrame([(f"s{j:04}", [float(v) for v in score[j]]) for j in range(11)], "s string, scores array<double>")
+    called = x >= 0
+    af = np.array([x[i][called[i]].mean() / 2 for i in range(60)])
+    keep = (af > 0) & (af < 1)
+    x, called, af = x[keep], called[keep], af[keep]
+    design = np.column_stack([np.ones(11), score])
+    mu = np.where(called, x, 2 * af[:, None]) @ np.linalg.pinv(design).T @ design.T / 2
+    good = called & (mu > 0.01) & (mu < 0.99)
+    r, spread = np.where(good, x - 2 * mu, 0), np.where(good, np.sqrt(np.clip(mu * (1 - mu), 0, None)), 0)
+    want = (r.T @ r) / (4 * spread.T @ spread)
+    got = {(p["s_1"], p["s_2"]): p["kinship"] for p in linear.kinship(cs, scores).collect()}
+    assert got.keys() == {(f"s{i:04}", f"s{j:04}") for i in range(11) for j in range(i + 1, 11)}
+    assert all(got[f"s{i:04}", f"s{j:04}"] == pytest.approx(want[i, j], abs=1e-9) for i in range(11) for j in range(i + 1, 11))
+
+
+def test_components_of_missing_calls_and_many_tasks(spark, monkeypatch):
+    monkeypatch.setattr(packed, "FAN_IN", 2)
+    monkeypatch.setattr(packed, "SUM_NUMBERS", 7)
+    rng = np.random.default_rng(5)
+    x = rng.integers(0, 3, (50, 13))
+    x[rng.random(x.shape) < 0.1] = -1
+    called = x >= 0
+    p = np.array([row[c].mean() / 2 for row, c in zip(x, called)])
+    z = np.where(called, (x - 2 * p[:, None]) / np.sqrt(2 * p * (1 - p))[:, None], 0) / np.sqrt(50)
+    _, sigma, vt = np.linalg.svd(z, full_matrices=False)
+    got = np.array([r["pcs"]["scores"] for r in linear.compute_pcs(genotypes(spark, x), k=4).orderBy("s").collect()])
+    assert np.allclose(np.abs(got), np.abs(vt[:4].T * sigma[:4]), atol=1e-8)
+    none = genotypes(spark, x).only_variants(genotypes(spark, x).variants.where("false"))
+    assert all(r["pcs"]["scores"] == [0.0] * 2 for r in linear.compute_pcs(none, k=2).collect())
 
 
 VCF = """##fileformat=VCFv4.2
