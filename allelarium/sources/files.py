@@ -68,13 +68,24 @@ def delete(spark: SparkSession, where: str) -> None:
     fs.delete(path, True)
 
 
-def round_folder(spark: SparkSession, label: str) -> str:
-    """A new folder in `spark.checkpoint.dir` (in a temporary one where that is unset and the master is local), deleted when the driver ends."""
+_OWN: list[str] = []
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share: `spark.checkpoint.dir`, or a temporary one of this process where that is unset and the master is local."""
     at = spark.conf.get("spark.checkpoint.dir", None)
-    if not at and not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-    at = at or "file://" + tempfile.mkdtemp(prefix="rounds-")
-    root = f"{at.rstrip('/')}/{label}-{uuid.uuid4().hex[:12]}"
+    if not at:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        if not _OWN:  # kept here: a session does not let this setting be changed
+            _OWN.append("file://" + tempfile.mkdtemp(prefix="rounds-"))
+        at = _OWN[0]
+    return at.rstrip("/")
+
+
+def round_folder(spark: SparkSession, label: str) -> str:
+    """A new folder in the shared one, deleted when the driver ends."""
+    root = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex[:12]}"
 
     def close() -> None:
         with contextlib.suppress(Exception):
