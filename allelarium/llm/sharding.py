@@ -20,8 +20,9 @@ a shard; from other orders each task writes one for every shard it touches.
 Edge cases: null and empty texts have 0 bytes and stay; null ids are one shard
 before the others of their arrival; negative ids and ids beyond 2^53 are
 numbered exactly; repeated rows are all kept; a text larger than the target
-makes a larger shard; no rows give a manifest without shards; a manifest that
-gives two shards one number is refused; extra columns are kept as they are,
+makes a larger shard; no rows give a manifest without shards, which reads as an
+empty table with the columns of the last append; a manifest that gives two
+shards one number is refused; extra columns are kept as they are,
 unless they clash with the shard's own (`shard`), which is an error.
 """
 
@@ -35,13 +36,15 @@ from functools import reduce
 from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from allelarium.llm.common import Scratch, _path, read_table
 
-#: Ids of one arrival, and bytes of text of a compacted shard.
+#: Ids of a shard of an arrival at most, shards of an arrival at least (so that it is written by several tasks), and bytes of text of a compacted shard.
 ARRIVAL_IDS = 4_096
+ARRIVAL_SHARDS = 8
 TARGET_BYTES = 64 << 20
-BASE_BYTES = 1 << 20
+BASE_BYTES = 4 << 10
 FACTOR = 4
 FAN_IN = 4
 
@@ -103,23 +106,27 @@ class ShardStore:
         return max((int(f.getPath().getName().removesuffix(".json")) for f in fs.listStatus(path) if f.getPath().getName().endswith(".json")), default=0)
 
     def manifest(self, version: int | None = None) -> list[Shard]:
+        return [Shard(**x) for x in self._state(version).get("shards", [])]
+
+    def _state(self, version: int | None = None) -> dict:
         version = self.version() if version is None else version
         if not version:
-            return []
+            return {}
         fs, path = _path(self.spark, f"{self.root}/manifests/{version:08d}.json")
         stream = fs.open(path)
         try:
             text = bytes(stream.readAllBytes()).decode()
         finally:
             stream.close()
-        return [Shard(**x) for x in json.loads(text)["shards"]]
+        return json.loads(text)
 
-    def commit(self, shards: list[Shard], read_version: int) -> int:
-        """Make `shards` the version after `read_version`; raises if another writer has committed it."""
+    def commit(self, shards: list[Shard], read_version: int, schema: dict | None = None) -> int:
+        """Make `shards` the version after `read_version`; raises if another writer has committed it. `schema` is that of the rows, by default as it was."""
         version = read_version + 1
         if len({s.number for s in shards}) < len(shards):
             raise ValueError("two shards have one number")
-        text = json.dumps({"version": version, "shards": [asdict(s) for s in sorted(shards, key=lambda s: s.number)]})
+        schema = schema or self._state(read_version).get("schema")
+        text = json.dumps({"version": version, "schema": schema, "shards": [asdict(s) for s in sorted(shards, key=lambda s: s.number)]})
         fs, aside = _path(self.spark, f"{self.root}/manifests/.{version:08d}.{uuid.uuid4().hex}")
         _, place = _path(self.spark, f"{self.root}/manifests/{version:08d}.json")
         stream = fs.create(aside, False)
@@ -144,10 +151,13 @@ class ShardStore:
     def _write(self, rows: DataFrame, folder: str) -> None:
         rows.write.mode("error").option("compression", "zstd").partitionBy("shard").parquet(f"{self.root}/{folder}")
 
-    def append(self, docs: DataFrame, *, arrival_ids: int = ARRIVAL_IDS) -> int:
-        """Write arrivals as immutable shards of `arrival_ids` consecutive ids and commit them; the new version."""
+    def append(self, docs: DataFrame, *, arrival_ids: int | None = None) -> int:
+        """Write an arrival as immutable shards of `arrival_ids` consecutive ids and commit them; the new version. By default of ARRIVAL_IDS ids, or fewer where the span of the ids gives fewer than ARRIVAL_SHARDS shards."""
         if "shard" in docs.columns:
             raise ValueError("the rows have a column named shard")
+        if arrival_ids is None:
+            lo, hi = docs.agg(F.min(F.col("doc_id").cast("long")), F.max(F.col("doc_id").cast("long"))).first()
+            arrival_ids = ARRIVAL_IDS if lo is None else max(1, min(ARRIVAL_IDS, (hi - lo + 1) // ARRIVAL_SHARDS))
         read = self.version()
         known = self.manifest(read)
         first = max((s.number for s in known), default=-1) + 1
@@ -158,7 +168,7 @@ class ShardStore:
         sizes = self._keyed(folder).groupBy("shard").agg(F.count("*").alias("rows"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("size"))
         found = sorted(((r["shard"] is not None, r["shard"] or 0, r) for r in sizes.collect()), key=lambda x: x[:2])
         new = [Shard(first + i, r["rows"], r["size"], folder, r["shard"]) for i, (_, _, r) in enumerate(found)]
-        return self.commit(known + new, read)
+        return self.commit(known + new, read, docs.schema.jsonValue())
 
     def compact(self, *, target: int = TARGET_BYTES, fan_in: int = FAN_IN, base: int = BASE_BYTES, factor: int = FACTOR) -> int:
         """Merge the tiers that are due and commit; the version, unchanged where none is due."""
@@ -201,9 +211,12 @@ class ShardStore:
         return reduce(DataFrame.unionByName, parts)
 
     def read(self, version: int | None = None) -> DataFrame | None:
-        """The rows of a version, with their `shard`; None where it has no shard."""
-        shards = self.manifest(version)
-        return self._read(shards) if shards else None
+        """The rows of a version, with their `shard`; None before the first append."""
+        state = self._state(version)
+        if not state or not state["schema"]:
+            return None
+        shards = [Shard(**x) for x in state["shards"]]
+        return self._read(shards) if shards else self.spark.createDataFrame([], StructType.fromJson(state["schema"]).add("shard", "long"))
 
     def clean(self, keep: int = 1) -> None:
         """Delete the files that none of the last `keep` versions refers to, those of crashed attempts included. Attempts at the next version stay."""
@@ -225,18 +238,26 @@ class ShardStore:
                     fs.delete(part.getPath(), True)
 
 
+#: Sixteenths of the documents in each arrival of the query.
+ARRIVALS = (1, 3, 12)
+
+
 def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Per document, read back from the committed shards: doc_id, shard, n_bytes, version, shard_rows, shard_bytes."""
+    """The documents appended in arrivals of unlike size, compacted after each, and read back.
+
+    Per document: doc_id, shard, n_bytes, the version of the last append and that after its compaction, shard_rows, shard_bytes.
+    """
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source", "n_chars")
     store = ShardStore(spark, f"{Scratch(spark, 'shards').root}/documents")
-    store.append(docs)
-    version = store.compact()
-    rows = store.read(version)
+    of, first = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(0)) % sum(ARRIVALS), 0
+    for size in ARRIVALS:
+        appended = store.append(docs.where(of.between(first, first + size - 1)))
+        version = store.compact()
+        first += size
+    shards = spark.createDataFrame([(s.number, s.rows, s.size) for s in store.manifest(version)], "shard long, shard_rows long, shard_bytes long")  # a row for each shard
     n_bytes = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long")
-    if rows is None:
-        return docs.select("doc_id", F.lit(0).cast("long").alias("shard"), n_bytes.alias("n_bytes"), F.lit(version).cast("long").alias("version"), F.lit(0).cast("long").alias("shard_rows"), F.lit(0).cast("long").alias("shard_bytes")).limit(0)
-    shards = spark.createDataFrame([(s.number, s.rows, s.size) for s in store.manifest(version)], "shard long, shard_rows long, shard_bytes long")
-    return rows.select("doc_id", "shard", n_bytes.alias("n_bytes"), F.lit(version).cast("long").alias("version")).join(F.broadcast(shards), "shard").select("doc_id", "shard", "n_bytes", "version", "shard_rows", "shard_bytes")
+    rows = store.read(version).select("doc_id", "shard", n_bytes.alias("n_bytes"), F.lit(appended).cast("long").alias("appended_version"), F.lit(version).cast("long").alias("version"))
+    return rows.join(F.broadcast(shards), "shard").select("doc_id", "shard", "n_bytes", "appended_version", "version", "shard_rows", "shard_bytes")
 
 
 QUERIES = {"op4_sharding": op4_sharding}

@@ -2,8 +2,11 @@
 
 import hashlib
 import math
+import os
 import random
 import re
+import subprocess
+import sys
 import zlib
 from collections import Counter
 
@@ -450,6 +453,38 @@ def test_sharding(spark, tmp_path):
         store.commit([sharding.Shard(1, 1, 1, "a", 0), sharding.Shard(1, 1, 1, "b", 0)], store.version())
     empty = sharding.ShardStore(spark, f"file://{tmp_path}/empty")
     assert empty.append(docs.limit(0)) == 1 and empty.manifest() == [] and empty.compact() == 1
+    assert empty.read().columns == [*docs.columns, "shard"] and empty.read().count() == 0
+
+
+@pytest.mark.parametrize("sf", ["sf0.001", "sf0.01"])
+def test_sharding_query_compacts(spark, monkeypatch, sf):
+    """The registered query on given tables: several tiers are merged, no row is lost, and the version before is still readable."""
+    stores = []
+    compact = sharding.ShardStore.compact
+    monkeypatch.setattr(sharding.ShardStore, "compact", lambda self: (stores.append(self), compact(self))[1])
+    docs = spark.read.parquet(f"/root/testdata/{sf}/documents.parquet")
+    rows = sharding.op4_sharding(spark, f"/root/testdata/{sf}")
+    want = {(r["doc_id"], len(r["text"].encode())) for r in docs.collect()}
+    got = rows.collect()
+    assert {(r["doc_id"], r["n_bytes"]) for r in got} == want and len(got) == docs.count()
+    store, (appended, version) = stores[-1], {(r["appended_version"], r["version"]) for r in got}.pop()
+    assert (len(stores), appended, version) == (3, 5, 6) and version == store.version()
+    for v in (1, 3, 5):
+        before, after = store.manifest(v), store.manifest(v + 1)
+        assert len(before) >= sharding.FAN_IN and len(after) < len(before)
+        assert Counter(map(tuple, store.read(v).select("doc_id", "text").collect())) == Counter(map(tuple, store.read(v + 1).select("doc_id", "text").collect()))
+    assert len({sharding.tier_of(s.size) for v in (1, 3, 5) for s in store.manifest(v)}) >= 3
+    sizes = Counter(r["shard"] for r in got)
+    assert all(r["shard_rows"] == sizes[r["shard"]] for r in got)
+
+
+def test_queries_without_a_configured_folder(tmp_path):
+    """A process whose Spark has no setting at all."""
+    code = "import sys; sys.path.insert(0, sys.argv[1])\nfrom pyspark.sql import SparkSession\ns = SparkSession.builder.master('local[2]').config('spark.sql.shuffle.partitions', '2').config('spark.ui.enabled', 'false').getOrCreate()\nassert s.conf.get('spark.checkpoint.dir', None) is None\nfrom allelarium.llm.registry import queries\nfor q in ('op1_ngram_jaccard_join', 'op3_token_counts', 'op4_sharding', 'op7_line_dedup', 'op10_toxicity', 'op13_vector_codes'):\n    print(q, queries()[q](s, sys.argv[2]).count())"
+    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    done = subprocess.run([sys.executable, "-c", code, root, "/root/testdata/sf0.001"], cwd=tmp_path, env=os.environ | {"SPARK_CONF_DIR": str(tmp_path), "PYTHONPATH": root}, capture_output=True, text=True, timeout=600)
+    assert done.returncode == 0, done.stderr[-2000:]
+    assert len(done.stdout.splitlines()) == 6 and not any(line.endswith(" 0") for line in done.stdout.splitlines())
 
 
 def test_leaks_of_rows_without_or_with_one_id(spark):
