@@ -3,9 +3,10 @@
 The dense variant-by-sample grid is never built. Cells that a call set has are
 joined and counted once by all variables together; this small table is then
 expanded to every pair of a group and an aggregation variable. Where entries
-define a variable, the joined cells are written to the checkpoint folder first,
-as their distinct loci and samples are counted too: one join serves all. Cells that both
-call sets lack are the size of the grid less the cells seen, which is arithmetic
+define a variable, distinct loci and samples of its values are counted too: one
+pass over the joined cells groups them by the variables and states, by the
+variables and locus, and by the variables and sample (grouping sets), and the
+three small tables serve all pairs of variables. Cells that both call sets lack are the size of the grid less the cells seen, which is arithmetic
 on counts of variants and samples. They belong to the missing value of a
 variable that entries define.
 
@@ -61,12 +62,19 @@ class _Joined:
     def columns(self, *axes: str) -> list[str]:
         return [c for c, v in self.named if v.axis in axes]
 
-    def keep_cells(self) -> None:
-        """Write the joined cells, with the columns that counts over all variants need, so that each count reads them and joins nothing again."""
+    def facets(self) -> tuple[DataFrame, DataFrame, DataFrame]:
+        """Cells by all variables and states (with their number n), by group and entry variables and locus, and by these and sample: one pass over the cells, written."""
+        every = self.columns("row", "col", "entry")
+        shared = [c for c, v in self.named if c[0] == "g" or v.axis == "entry"]
+        sets = [[F.col(c) for c in [*every, "l", "r"]], *([F.col(c) for c in [*shared, name]] for name in ("locus", "s"))]
+        missing = [F.grouping(c).alias(f"no_{c}") for c in ("l", "locus", "s")]
+        grouped = self.cells.groupingSets(sets, *every, "l", "r", "locus", "s").agg(F.count("*").alias("n"), *missing)
+        told = F.coalesce(*(F.col(c).cast("string") for c in self.columns("entry"))).isNotNull()  # a locus or sample counts for values that are there
         root = round_folder(self.cells.sparkSession, "concordance")
-        self.cells = written(self.cells.select("locus", "s", "l", "r", *(c for c, _ in self.named)), f"{root}/cells")
+        kept = written(grouped.where((F.col("no_l") == 0) | told), f"{root}/facets")
+        return kept.where("no_l = 0").select(*every, "l", "r", "n"), kept.where("no_locus = 0").select(*shared, "locus"), kept.where("no_s = 0").select(*shared, "s")
 
-    def pairs(self, frame: DataFrame, hide: tuple[str, ...] = (), only: str | None = None) -> Column:
+    def pairs(self, frame: DataFrame, hide: tuple[str, ...] = ()) -> Column:
         """An array with the key of each pair of variables; a variable on an axis of `hide`, or absent from the frame, has the value NULL."""
 
         def value(column: str, v: Variable) -> Column:
@@ -74,15 +82,20 @@ class _Joined:
 
         groups = [(ALL, F.lit(ALL)), *((v.name, value(f"g{i}", v)) for i, v in enumerate(self.groups))]
         aggs = [(ALL, F.lit(ALL)), *((v.name, value(f"a{i}", v)) for i, v in enumerate(self.aggs))]
-        aggs = [a for a in aggs if only is None or a[0] == only]
         return F.array(*(F.struct(F.lit(g).alias(KEY[0]), gv.alias(KEY[1]), F.lit(a).alias(KEY[2]), av.alias(KEY[3])) for g, gv in groups for a, av in aggs))
 
-    def expand(self, frame: DataFrame, *keep: str, hide: tuple[str, ...] = (), only: str | None = None) -> DataFrame:
-        return frame.select(*keep, F.explode(self.pairs(frame, hide, only)).alias("k")).select(*keep, *(f"k.{c}" for c in KEY))
-
-    def counts(self, key: list[str], grid: DataFrame) -> DataFrame:
-        """The 25 counts for `key` and each pair; grid: key, row and col variables, and the number of `cells`."""
-        seen = self.cells.groupBy(*key, *self.columns("row", "col", "entry"), "l", "r").agg(F.count("*").alias("n"))
+    def expand(self, frame: DataFrame, *keep: str, hide: tuple[str, ...] = (), entries: bool = False) -> DataFrame:
+        """A row for each pair of variables; entries: for those whose aggregation variable is one of entries and has a value."""
+        pairs = self.pairs(frame, hide)
+        if entries:
+            names = [v.name for v in self.aggs if v.axis == "entry"]
+            pairs = F.filter(pairs, lambda k: k[KEY[2]].isin(names) & k[KEY[3]].isNotNull())
+        return frame.select(*keep, F.explode(pairs).alias("k")).select(*keep, *(f"k.{c}" for c in KEY))
+
+    def counts(self, key: list[str], grid: DataFrame, seen: DataFrame | None = None) -> DataFrame:
+        """The 25 counts for `key` and each pair; grid: key, row and col variables, and the number of `cells`; seen: the cells by key, variables and states, if they are counted already."""
+        if seen is None:
+            seen = self.cells.groupBy(*key, *self.columns("row", "col", "entry"), "l", "r").agg(F.count("*").alias("n"))
         observed = self.expand(seen, *key, "l", "r", "n")
         place = [F.lit(0).alias("l"), F.lit(0).alias("r")]
         lacking = self.expand(seen, *key, "n", hide=("entry",)).select(*key, *place, (-F.col("n")).alias("n"), *KEY)
@@ -90,9 +103,9 @@ class _Joined:
         parts = observed.select(*key, "l", "r", "n", *KEY).unionByName(lacking).unionByName(whole)
         return parts.groupBy(*key, *KEY).agg(*count_cells(F.col("n")), F.sum("n").alias("n_cells"))
 
-    def distinct(self, frame: DataFrame, column: str, name: str, hide: tuple[str, ...], only: str | None = None) -> DataFrame:
+    def distinct(self, frame: DataFrame, column: str, name: str, hide: tuple[str, ...] = (), entries: bool = False) -> DataFrame:
         """Distinct values of a column for each pair."""
-        return self.expand(frame, column, hide=hide, only=only).groupBy(*KEY).agg(F.count_distinct(column).cast("long").alias(name))
+        return self.expand(frame, column, hide=hide, entries=entries).groupBy(*KEY).agg(F.count_distinct(column).cast("long").alias(name))
 
 
 def _matched(j: _Joined, counts: DataFrame, numbers: DataFrame, name: str, hidden: tuple[str, ...]) -> DataFrame:
@@ -108,24 +121,20 @@ def _matched(j: _Joined, counts: DataFrame, numbers: DataFrame, name: str, hidde
 def global_concordance(exo: CallSet, imp: CallSet, groups: list[Variable] = (), aggs: list[Variable] = (), join_type: JoinType = JoinType.inner) -> ConcordanceTable:
     j = _Joined(exo, imp, list(groups), list(aggs), join_type)
     entry_aggs = [v.name for v in j.aggs if v.axis == "entry"]
-    if entry_aggs:
-        j.keep_cells()
+    seen, loci, samples = j.facets() if entry_aggs else (None, None, None)
     rows = j.variants.groupBy(*j.columns("row")).agg(F.count("*").alias("nv"))
     cols = j.samples.groupBy(*j.columns("col")).agg(F.count("*").alias("ns"))
     grid = rows.crossJoin(F.broadcast(cols)).withColumn("cells", F.col("nv") * F.col("ns"))  # a row for each combination of bins
-    counts = j.counts([], grid)
+    counts = j.counts([], grid, seen)
     plain = counts.where(~F.col("agg_var_name").isin(entry_aggs or [""]))
     plain = _matched(j, plain, j.distinct(j.variants, "locus", "n_variants", ("col", "entry")), "n_variants", ("col", "entry"))
     plain = _matched(j, plain, j.distinct(j.samples, "s", "n_samples", ("row", "entry")), "n_samples", ("row", "entry"))
     out = plain
-    for i, v in enumerate(j.aggs):
-        if v.axis == "entry":
-            seen = j.cells.where(F.col(f"a{i}").isNotNull())
-            keep = [*(f"g{k}" for k in range(len(j.groups))), f"a{i}"]
-            part = counts.where(F.col("agg_var_name") == v.name)
-            part = _matched(j, part, j.distinct(seen.select(*keep, "locus").distinct(), "locus", "n_variants", (), v.name), "n_variants", ())
-            part = _matched(j, part, j.distinct(seen.select(*keep, "s").distinct(), "s", "n_samples", (), v.name), "n_samples", ())
-            out = out.unionByName(part)
+    if entry_aggs:
+        part = counts.where(F.col("agg_var_name").isin(entry_aggs))
+        part = _matched(j, part, j.distinct(loci, "locus", "n_variants", entries=True), "n_variants", ())
+        part = _matched(j, part, j.distinct(samples, "s", "n_samples", entries=True), "n_samples", ())
+        out = plain.unionByName(part)
     return ConcordanceTable(_ordered(out, []), j.group_types, j.agg_types, ())
 
 
