@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from allelarium.model import VARIANT, CallSet, Variable
 from allelarium.operators.confusion import count_cells, state, with_statistics
-from allelarium.operators.joint import JoinType, check_samples, joined_entries, joined_samples, joined_variants
+from allelarium.operators.joint import JoinType, check_samples, joined_entries, joined_samples, joined_variants, of_samples
 from allelarium.sources.files import round_folder, written
 
 ALL = "ALL"
@@ -48,13 +48,15 @@ class _Joined:
         locus = F.when(F.col("left_row").isNotNull(), F.struct("contig", "position"))
         self.samples = joined_samples(exo, imp).select("s", *of("col"))
         self.variants = joined_variants(exo, imp, join_type).select(*VARIANT, locus.alias("locus"), *of("row"))
-        mine = lambda cs: cs.with_(entries=cs.entries.join(self.samples.select("s"), "s", "left_semi"))
+        # what variants say is joined to each side, before the full join, of which no partitioning is known
+        at = self.variants.select(*VARIANT, F.struct("locus", *self.columns("row")).alias("_at"))
+        mine = lambda cs: cs.with_(entries=of_samples(cs.entries, self.samples.select("s")).join(at, [*VARIANT]))
         cells = joined_entries(mine(exo), mine(imp))
         side = lambda name: state(F.col(f"{name}.present").isNotNull(), F.col(f"{name}.n_alt"))
-        cells = cells.select(*VARIANT, "s", side("left_entry").alias("l"), side("right_entry").alias("r"), *of("entry"))
-        self.cells = cells.join(self.variants, [*VARIANT])
+        cells = cells.withColumn("_at", F.coalesce("left_entry._at", "right_entry._at"))
+        self.cells = cells.select(*VARIANT, "s", side("left_entry").alias("l"), side("right_entry").alias("r"), *of("entry"), "_at.*")
         if self.columns("col"):
-            self.cells = self.cells.join(self.samples, "s")
+            self.cells = of_samples(self.cells, self.samples, "inner")
         types = {**dict(self.cells.dtypes)}
         self.group_types = {ALL: "string", **{v.name: types[c] for c, v in self.named if c[0] == "g"}}
         self.agg_types = {ALL: "string", **{v.name: types[c] for c, v in self.named if c[0] == "a"}}

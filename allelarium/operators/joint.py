@@ -49,6 +49,16 @@ def _struct(df: DataFrame, key: tuple[str, ...], name: str) -> DataFrame:
     return df.select(*key, F.struct(*key, *fields).alias(name) if name.endswith(("row", "col")) else F.struct(F.lit(True).alias("present"), *fields).alias(name))
 
 
+#: Samples that are sent to every task.
+BROADCAST_SAMPLES = 2_000_000
+
+
+def of_samples(entries: DataFrame, samples: DataFrame, how: str = "left_semi") -> DataFrame:
+    """Entries joined to samples by `s`, without moving entries where the samples are at most BROADCAST_SAMPLES, which is checked."""
+    few = len(samples.select("s").limit(BROADCAST_SAMPLES + 1).groupBy().count().where(F.col("count") <= BROADCAST_SAMPLES).take(1)) > 0
+    return entries.join(F.broadcast(samples) if few else samples, "s", how)
+
+
 def joined_samples(exo: CallSet, imp: CallSet) -> DataFrame:
     """(s, left_col, right_col) of the samples in both."""
     return _struct(exo.samples, ("s",), "left_col").join(_struct(imp.samples, ("s",), "right_col"), "s")

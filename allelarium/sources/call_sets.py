@@ -7,8 +7,10 @@ the root of a PLINK .bed, .bim and .fam.
 
 from __future__ import annotations
 
+import json
 import logging
 import posixpath
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,11 +18,12 @@ from pyspark.sql import functions as F
 from allelarium.functions.genome import CONTIGS, contig_index
 from allelarium.model import VARIANT, CallSet
 from allelarium.operators.variant_stats import calls_from_local, union_rows
-from allelarium.sources.files import list_folder
+from allelarium.sources.files import exists, list_folder, read_text
 from allelarium.sources.ranges import RANGE_BYTES, read_gzip_lines, read_plink_cells, sample_fields
 
 PARTS = ("variants", "samples", "entries")
-_LONG = 1 << 40
+#: What says how a call set's files are dealt, and by what.
+LAYOUT, BUCKET_KEY = "_layout.json", ("contig", "position")
 
 
 def load(spark: SparkSession, path: str, **options) -> CallSet:
@@ -45,7 +48,9 @@ def load_data(spark: SparkSession, path: str, descriptor: str, log: logging.Logg
 
 def read_call_set(spark: SparkSession, path: str, n_partitions: int | None = None) -> CallSet:
     """A folder of Parquet; entries dealt by position into n_partitions, if given."""
-    frames = {p: spark.read.parquet(f"{path.rstrip('/')}/{p}") for p in PARTS}
+    root = path.rstrip("/")
+    buckets = json.loads(read_text(spark, f"{root}/{LAYOUT}"))["buckets"] if exists(spark, f"{root}/{LAYOUT}") else None
+    frames = {p: _bucketed(spark, f"{root}/{p}", buckets) if buckets and p != "samples" else spark.read.parquet(f"{root}/{p}") for p in PARTS}
     if n_partitions:
         frames["entries"] = frames["entries"].repartitionByRange(n_partitions, "contig", "position")
     if "n_alt" not in frames["entries"].columns:
@@ -53,6 +58,17 @@ def read_call_set(spark: SparkSession, path: str, n_partitions: int | None = Non
     return CallSet(**frames)
 
 
+def _bucketed(spark: SparkSession, path: str, buckets: int) -> DataFrame:
+    """Files dealt to buckets, read as such. Joins by more columns than the buckets' keep to the buckets too, for which a setting of the session is changed."""
+    spark.conf.set("spark.sql.requireAllClusterKeysForCoPartition", "false")
+    name, key = f"call_set_{uuid.uuid4().hex}", ", ".join(BUCKET_KEY)
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in spark.read.parquet(path).schema)
+    spark.sql(f"CREATE TABLE {name} ({fields}) USING parquet CLUSTERED BY ({key}) SORTED BY ({key}) INTO {buckets} BUCKETS LOCATION '{path}'")
+    df = spark.table(name)
+    spark.sql(f"DROP TABLE {name}")  # the frame has its files already
+    return df
+
+
 def read_split_rows(spark: SparkSession, path: str) -> CallSet:
     """All call sets in the folder of the path, one after the other; samples are those of the first."""
     folder = posixpath.dirname(path.rstrip("/"))

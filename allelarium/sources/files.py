@@ -63,6 +63,11 @@ def list_folder(spark: SparkSession, where: str) -> list[str]:
     return sorted(f.getPath().toString() for f in fs.listStatus(path))
 
 
+def exists(spark: SparkSession, where: str) -> bool:
+    fs, path = _at(spark, where)
+    return fs.exists(path)
+
+
 def delete(spark: SparkSession, where: str) -> None:
     fs, path = _at(spark, where)
     fs.delete(path, True)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+import uuid
 from itertools import chain
 
 import numpy as np
@@ -10,16 +12,29 @@ from pyspark.sql import functions as F
 
 from allelarium.functions.genome import contig_index
 from allelarium.model import VARIANT, CallSet
-from allelarium.sources.call_sets import PARTS
+from allelarium.sources.call_sets import BUCKET_KEY, LAYOUT, PARTS
 from allelarium.sources.files import list_folder, read_bytes, write_pieces, write_text
 
 
-def write_call_set(cs: CallSet, path: str, *, overwrite: bool = False) -> None:
-    """A folder of Parquet; variants and entries in order of position, so that a scan prunes by it."""
+def write_call_set(cs: CallSet, path: str, *, overwrite: bool = False, buckets: int | None = None) -> None:
+    """A folder of Parquet; variants and entries in order of position, so that a scan prunes by it.
+
+    With `buckets` both are dealt by contig and position to as many files, and
+    call sets with one number of buckets are joined without a shuffle of their
+    entries. A bucket is what one task reads, so that number grows with the
+    data: some 128 MB each.
+    """
+    root, mode = path.rstrip("/"), "overwrite" if overwrite else "error"
     for part in PARTS:
         df = getattr(cs, part)
-        df = df if part == "samples" else df.sortWithinPartitions("contig", "position")
-        df.write.mode("overwrite" if overwrite else "error").parquet(f"{path.rstrip('/')}/{part}")
+        if buckets and part != "samples":
+            name = f"call_set_{uuid.uuid4().hex}"
+            dealt = df.repartition(buckets, *BUCKET_KEY)  # the hash of a bucket: a task writes one file
+            dealt.write.mode(mode).bucketBy(buckets, *BUCKET_KEY).sortBy(*BUCKET_KEY).option("path", f"{root}/{part}").saveAsTable(name)
+            df.sparkSession.sql(f"DROP TABLE {name}")  # the name alone: the files are not the catalogue's
+        else:
+            (df if part == "samples" else df.sortWithinPartitions("contig", "position")).write.mode(mode).parquet(f"{root}/{part}")
+    write_text(cs.variants.sparkSession, f"{root}/{LAYOUT}", json.dumps({"buckets": buckets}))
 
 
 def _sample_names(cs: CallSet) -> list[str]:
@@ -43,7 +58,7 @@ def vcf_lines(cs: CallSet):
     packed = cells.groupBy(*VARIANT).agg(F.map_from_entries(F.collect_list(F.struct("s", "cell"))).alias("cells"))
     rows = cs.variants.join(packed, [*VARIANT], "left")
     empty = ":".join(["./.", *["."] * len(fields)])
-    values = F.transform(F.array(*(F.lit(n) for n in names)), lambda s: F.coalesce(F.try_element_at("cells", s), F.lit(empty))) if names else F.array().cast("array<string>")
+    values = F.transform(F.split(F.lit("\t".join(names)), "\t"), lambda s: F.coalesce(F.try_element_at("cells", s), F.lit(empty))) if names else F.array().cast("array<string>")
     filters = F.when(F.col("filters").isNull(), ".").when(F.size("filters") == 0, "PASS").otherwise(F.array_join("filters", ";")) if "filters" in cs.variants.columns else F.lit(".")
     alt = F.coalesce(F.nullif(F.array_join(F.slice("alleles", 2, 1 << 20), ","), F.lit("")), F.lit("."))
     line = F.concat_ws("\t", "contig", F.col("position").cast("string"), F.lit("."), F.get("alleles", F.lit(0)), alt, F.lit("."), filters, F.lit("."), F.lit(":".join(["GT", *(f.upper() for f in fields)])), F.array_join(values, "\t"))

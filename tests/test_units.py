@@ -11,7 +11,7 @@ from allelarium.functions import bins, calls
 from allelarium.functions.genome import in_autosome, in_x_nonpar
 from allelarium.model import VARIANT, CallSet, variables
 from allelarium.operators import filters, joint, linear, packed, sample_stats, variant_stats
-from allelarium.operators.concordance import global_concordance, sample_concordance, variant_concordance
+from allelarium.operators.concordance import _Joined, global_concordance, sample_concordance, variant_concordance
 from allelarium.operators.confusion import STATES
 from allelarium.operators.joint_call_set import JointCallSet
 from allelarium.operators.views import ConcordanceTable
@@ -321,6 +321,33 @@ def test_components_of_missing_calls_and_many_tasks(spark, monkeypatch):
     assert all(r["pcs"]["scores"] == [0.0] * 2 for r in linear.compute_pcs(none, k=2).collect())
 
 
+def test_bucketed_call_sets_are_joined_in_place(spark, tmp_path):
+    """No entry is shuffled for the join, nor for its variants, and the counts are those of the same call sets unbucketed."""
+    rng = np.random.default_rng(11)
+    exo, imp = (genotypes(spark, rng.integers(-2, 3, (60, 9))) for _ in range(2))
+    stored = []
+    for name, cs in (("e", exo), ("i", imp)):
+        sinks.write_call_set(cs, f"file://{tmp_path}/{name}.cs", buckets=6)
+        stored.append(call_sets.load(spark, f"file://{tmp_path}/{name}.cs"))
+        assert len([f for f in (tmp_path / f"{name}.cs" / "entries").iterdir() if f.name.endswith(".parquet")]) == 6
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+        assert "Exchange" not in plan(joint.joined_entries(*stored)) and "Exchange" in plan(joint.joined_entries(exo, imp))
+        cells = _Joined(*stored, [], [], joint.JoinType.inner).cells
+        # of what is shuffled, nothing is read from the entries
+        shuffled = [part.split("FileScan")[1].split("\n")[0] for part in plan(cells).split("Exchange hashpartitioning")[1:]]
+        assert shuffled and not any("n_alt" in scan for scan in shuffled) and "n_alt" in plan(cells).split("ReadSchema", 1)[1]
+        rows = lambda a, b: sorted(map(str, global_concordance(a, b).df.collect()))
+        assert rows(*stored) == rows(exo, imp)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+        spark.conf.unset("spark.sql.requireAllClusterKeysForCoPartition")
+    sinks.write_call_set(imp, f"file://{tmp_path}/e.cs", overwrite=True)
+    assert call_sets.load(spark, f"file://{tmp_path}/e.cs").entries.count() == imp.entries.count()
+
+
 VCF = """##fileformat=VCFv4.2
 #CHROM\tPOS\tID\tREF\tALT\tQUAL\tFILTER\tINFO\tFORMAT\ta\tb
 chr1\t10\t.\tA\tG\t50\tPASS\tQUALapprox=70\tGT:AD:DP:GQ\t0/1:5,6:11:40\t./.:.:.:.
