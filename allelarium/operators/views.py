@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import json
 from collections.abc import Iterator
-from itertools import islice
 from pathlib import Path
 
 import pandas as pd
@@ -12,7 +11,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from allelarium.operators.confusion import FIELDS
-from allelarium.sources.files import read_text, write_pieces, write_text
+from allelarium.sources.files import make_folder, read_text, write_text
+from allelarium.sources.one_file import write_one_file
 
 KEY = ("group_var_name", "group_var", "agg_var_name", "agg_var")
 STATISTICS = ("nonref_concordance_rate", "concordance_rate", "f1_score")
@@ -114,28 +114,29 @@ class ConcordanceView:
             raise ValueError(f"no such field: {', '.join(unknown)}")
         return self.df.select(*self.key, *KEY, "n_variants", "n_samples", *(F.col(old).alias(new) for old, new in chosen.items()))
 
-    def _pieces(self, rows: DataFrame, rows_at_once: int = 10_000, **to_csv) -> Iterator[bytes]:
-        """The rows as delimited text with a header; the driver holds a partition and `rows_at_once` rows of text at a time."""
+    def _write(self, rows: DataFrame, path: str, **to_csv) -> None:
+        """The rows as one delimited file with a header, each partition made into text by its own task."""
         whole = {name: "Int64" for name, kind in rows.dtypes if kind in ("int", "bigint")}
-        found, first = iter(rows.toLocalIterator()), True
-        while first or part:
-            part = [tuple(r) for r in islice(found, rows_at_once)]
-            if first or part:
-                frame = pd.DataFrame(part, columns=rows.columns).astype(whole)
-                yield frame.to_csv(index=False, **({"header": first} | to_csv if first else to_csv | {"header": False})).encode()
-            first = False
+        options = {"index": False} | to_csv
+        head = pd.DataFrame(columns=rows.columns).to_csv(**options).encode() if options.get("header", True) is not False else b""
+
+        def encode(batch) -> Iterator[bytes]:
+            yield batch.to_pandas(integer_object_nulls=True).astype(whole).to_csv(**(options | {"header": False})).encode()
+
+        write_one_file(rows, path, header=head, encode=encode)
 
     def export(self, path: str, fields: dict[str, str] | None = None, **to_csv) -> None:
         """One delimited file, by default with commas."""
-        write_pieces(self.df.sparkSession, path, self._pieces(self._selected(fields), **to_csv))
+        self._write(self._selected(fields), path, **to_csv)
 
     def export_all(self, folder: str, fields: dict[str, str] | None = None, **to_csv) -> list[str]:
         """A tab-delimited file GROUP_AGG.tsv for each pair of variables; the paths."""
         rows, paths = self._selected(fields), []
+        make_folder(self.df.sparkSession, folder)
         for group, agg in sorted(tuple(r) for r in self.df.select("group_var_name", "agg_var_name").distinct().collect()):  # pairs of variables
             paths.append(f"{folder.rstrip('/')}/{group}_{agg}.tsv")
             mine = rows.where((F.col("group_var_name") == group) & (F.col("agg_var_name") == agg))
-            write_pieces(self.df.sparkSession, paths[-1], self._pieces(mine, **(to_csv | {"sep": "\t"})))
+            self._write(mine, paths[-1], **(to_csv | {"sep": "\t"}))
         return paths
 
     def plot_data(self, statistic: str = "nonref_concordance_rate") -> DataFrame:

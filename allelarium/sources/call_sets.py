@@ -19,6 +19,7 @@ from allelarium.functions.genome import CONTIGS, contig_index
 from allelarium.model import VARIANT, CallSet
 from allelarium.operators.variant_stats import calls_from_local, union_rows
 from allelarium.sources.files import exists, list_folder, read_text
+from allelarium.sources.one_file import chunks_of
 from allelarium.sources.ranges import RANGE_BYTES, read_gzip_lines, read_plink_cells, sample_fields
 
 PARTS = ("variants", "samples", "entries")
@@ -87,9 +88,12 @@ def _call(text: Column) -> Column:
     return F.when(text.isNotNull() & ~F.exists(alleles, lambda a: a.isNull()), alleles)
 
 
-def read_vcf(spark: SparkSession, path: str, *, range_bytes: int = RANGE_BYTES) -> CallSet:
+def read_vcf(spark: SparkSession, path: str, *, range_bytes: int = RANGE_BYTES, region: tuple[str, int, int] | None = None) -> CallSet:
     """A VCF, plain or compressed; one of gzip blocks is read in tasks of about `range_bytes` each.
 
+    region: (contig, start, end), zero-based and half open: only variants whose
+    reference overlaps it, of which an index `path`.tbi names the blocks to read.
+
     Entries have gt (from GT, or LGT and LA), ad, dp, gq, gp and n_alt; a cell
     whose value is `.` throughout is an entry without a call. Variants have
     filters (PASS: none; `.`: unknown), qual, qual_approx and info.
@@ -101,8 +105,14 @@ def read_vcf(spark: SparkSession, path: str, *, range_bytes: int = RANGE_BYTES)
     names = head["value"].rstrip("\r\n").split("\t")[9:]
     samples = spark.createDataFrame([(s, i) for i, s in enumerate(names)], "s string, col_idx int")
     f = F.split(F.regexp_replace("value", "\r$", ""), "\t")
-    rows = lines.where(~F.col("value").startswith("#") & (F.col("value") != "")).select(f.alias("f"))
     at = lambda i: F.get("f", F.lit(i))
+    if region:
+        contig, start, end = region
+        if exists(spark, f"{path}.tbi"):
+            lines = read_gzip_lines(spark, path, chunks=chunks_of(f"{path}.tbi", contig, start, end))
+    rows = lines.where(~F.col("value").startswith("#") & (F.col("value") != "")).select(f.alias("f"))
+    if region:
+        rows = rows.where((at(0) == contig) & (at(1).cast("int") <= end) & (at(1).cast("int") - 1 + F.length(at(3)) > start))
     info = F.str_to_map(at(7), F.lit(";"), F.lit("="))
     alleles = F.when(at(4) == ".", F.array(at(3))).otherwise(F.concat(F.array(at(3)), F.split(at(4), ",")))
     key = [at(0).alias("contig"), at(1).cast("int").alias("position"), alleles.alias("alleles")]

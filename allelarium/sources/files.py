@@ -6,7 +6,6 @@ import atexit
 import contextlib
 import tempfile
 import uuid
-from collections.abc import Iterable
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -38,22 +37,6 @@ def write_bytes(spark: SparkSession, where: str, data: bytes) -> None:
         stream.close()
 
 
-def write_pieces(spark: SparkSession, where: str, pieces: Iterable[bytes], buffer: int = 1 << 20) -> None:
-    """One file of many pieces, of which the driver holds about `buffer` bytes at a time."""
-    fs, path = _at(spark, where)
-    stream = fs.create(path, True)
-    try:
-        held = bytearray()
-        for piece in pieces:
-            held += piece
-            if len(held) >= buffer:
-                stream.write(held)
-                held = bytearray()
-        stream.write(held)
-    finally:
-        stream.close()
-
-
 def write_text(spark: SparkSession, where: str, text: str) -> None:
     write_bytes(spark, where, text.encode())
 
@@ -63,6 +46,11 @@ def list_folder(spark: SparkSession, where: str) -> list[str]:
     return sorted(f.getPath().toString() for f in fs.listStatus(path))
 
 
+def make_folder(spark: SparkSession, where: str) -> None:
+    fs, path = _at(spark, where)
+    fs.mkdirs(path)
+
+
 def exists(spark: SparkSession, where: str) -> bool:
     fs, path = _at(spark, where)
     return fs.exists(path)

@@ -46,7 +46,7 @@ def open_file(path: str) -> pa.NativeFile:
 
 @dataclass
 class Range(InputPartition):
-    """Bytes start:end of the file; `first` numbers the first row that begins there, and there are `rows` of them."""
+    """Bytes start:end of the file; `first` numbers the first row that begins there, and there are `rows` of them. With `first` -1 virtual offsets."""
 
     start: int
     end: int
@@ -163,6 +163,24 @@ def block_lines(f: pa.NativeFile, start: int, end: int) -> Iterator[bytes]:
         yield b"".join(held)
 
 
+def chunk_lines(f: pa.NativeFile, chunk: tuple[int, int]) -> Iterator[bytes]:
+    """The lines that begin in a stretch of virtual offsets, at the start of which one begins."""
+    (start, end), tail = chunk, []
+    for place, content in blocks_from(f, start >> 16):
+        here = (start & 0xFFFF) if place == start >> 16 else 0
+        for line in content[here:].split(b"\n"):
+            if not tail and place << 16 | here >= end:
+                return
+            tail.append(line)
+            here += len(line) + 1
+            if here <= len(content):
+                yield b"".join(tail)
+                tail = []
+        tail = tail if any(tail) else []
+    if tail:
+        yield b"".join(tail)
+
+
 def stream_lines(f: pa.NativeFile) -> Iterator[bytes]:
     """The lines of gzip of one or more members, inflated as it is read."""
     z, tail, fresh = zlib.decompressobj(31), [], True
@@ -193,21 +211,27 @@ class BlockGzipLines(DataSource):
         return "value string"
 
     def reader(self, schema) -> DataSourceReader:
-        return _BlockGzipReader(self.options["path"], int(self.options.get("rangebytes", RANGE_BYTES)))
+        chunks = self.options.get("chunks")
+        return _BlockGzipReader(self.options["path"], int(self.options.get("rangebytes", RANGE_BYTES)), None if chunks is None else json.loads(chunks))
 
 
 class _BlockGzipReader(DataSourceReader):
-    def __init__(self, path: str, each: int):
-        self.path, self.each = path, each
+    def __init__(self, path: str, each: int, chunks: list[tuple[int, int]] | None):
+        self.path, self.each, self.chunks = path, each, chunks
 
     def partitions(self) -> list[Range]:
+        if self.chunks is not None:
+            return [Range(*c, first=-1) for c in self.chunks] or [Range(0, 0, first=-1)]
         with open_file(self.path) as f:
             size = f.size()
             return ranges_of(size, self.each) if block_size(f.read_at(_HEAD, 0)) else [Range(0, -1)]
 
     def read(self, partition: Range) -> Iterator[pa.RecordBatch]:
         with open_file(self.path) as f:
-            lines = stream_lines(f) if partition.end < 0 else block_lines(f, partition.start, partition.end)
+            if partition.first < 0:
+                lines = chunk_lines(f, (partition.start, partition.end)) if partition.end else iter(())
+            else:
+                lines = stream_lines(f) if partition.end < 0 else block_lines(f, partition.start, partition.end)
             held, size = [], 0
             for line in lines:
                 held.append(line.decode())
@@ -218,10 +242,11 @@ class _BlockGzipReader(DataSourceReader):
             yield pa.RecordBatch.from_arrays([pa.array(held, pa.string())], ["value"])
 
 
-def read_gzip_lines(spark: SparkSession, path: str, *, range_bytes: int = RANGE_BYTES) -> DataFrame:
-    """(value): the lines of a gzip file, of blocks in many tasks."""
+def read_gzip_lines(spark: SparkSession, path: str, *, range_bytes: int = RANGE_BYTES, chunks: list[tuple[int, int]] | None = None) -> DataFrame:
+    """(value): the lines of a gzip file, of blocks in many tasks; chunks: those that begin in these stretches of virtual offsets."""
     spark.dataSource.register(BlockGzipLines)
-    return spark.read.format("block_gzip_lines").option("rangeBytes", range_bytes).load(path)
+    reader = spark.read.format("block_gzip_lines").option("rangeBytes", range_bytes)
+    return (reader if chunks is None else reader.option("chunks", json.dumps(chunks))).load(path)
 
 
 # PLINK

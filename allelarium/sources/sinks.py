@@ -4,16 +4,19 @@ from __future__ import annotations
 
 import json
 import uuid
-from itertools import chain
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import functions as F
 
 from allelarium.functions.genome import contig_index
 from allelarium.model import VARIANT, CallSet
+from allelarium.operators.packed import MISSING, pack, packed_rows, rows_of, sample_names
 from allelarium.sources.call_sets import BUCKET_KEY, LAYOUT, PARTS
-from allelarium.sources.files import list_folder, read_bytes, write_pieces, write_text
+from allelarium.sources.files import round_folder, write_bytes, write_text, written
+from allelarium.sources.one_file import index_bytes, write_one_file
 
 
 def write_call_set(cs: CallSet, path: str, *, overwrite: bool = False, buckets: int | None = None) -> None:
@@ -69,48 +72,45 @@ def vcf_lines(cs: CallSet):
 
 
 def write_vcf(cs: CallSet, path: str) -> str:
-    """A folder of VCF parts in order, gzip compressed, each with the header; the folder's path."""
+    """One VCF in genome order, in gzip blocks written by many tasks, with an index by position beside it (`.tbi`); the path."""
     header, rows = vcf_lines(cs)
-    index = contig_index(F.col("contig"))
-    ordered = rows.withColumn("_at", index).repartitionByRange("_at", "position").sortWithinPartitions("_at", "contig", "position", "alleles")
+    ordered = rows.withColumn("_at", contig_index(F.col("contig"))).repartitionByRange("_at", "contig", "position").sortWithinPartitions("_at", "contig", "position", "alleles")
 
-    def with_header(batches):
-        first = True
-        for batch in batches:
-            lines = batch.column(0).to_pylist()
-            yield pa.RecordBatch.from_arrays([pa.array(header + lines if first else lines, pa.string())], ["value"])
-            first = False
+    def place(line: bytes) -> tuple[str, int, int]:
+        contig, position, _, ref = line.split(b"\t", 4)[:4]
+        return contig.decode(), int(position) - 1, int(position) - 1 + len(ref)
 
-    ordered.select("line").mapInArrow(with_header, "value string").write.mode("overwrite").option("compression", "gzip").text(path)
+    places = write_one_file(ordered.select(F.concat("line", F.lit("\n")).cast("binary").alias("line")), path, header=("\n".join(header) + "\n").encode(), blocks=True, place=place)
+    first: dict[str, int] = {}
+    for (contig, _), at in places.windows.items():
+        first[contig] = min(at, first.get(contig, at))
+    write_bytes(cs.variants.sparkSession, f"{path}.tbi", index_bytes(places, sorted(first, key=first.get)))
     return path
 
 
+#: The .bed byte of a byte of packed codes: no alternate allele 11, one 10, two 00, not called 01.
+_BED = np.array([sum((3, 2, 0, 1)[b >> s & 3] << s for s in (0, 2, 4, 6)) for b in range(256)], np.uint8)
+
+
 def write_plink(cs: CallSet, root: str) -> None:
-    """PLINK .bed, .bim and .fam of biallelic variants. Rows are encoded on the executors; the driver joins their bytes in order, a partition at a time."""
-    spark, names = cs.variants.sparkSession, _sample_names(cs)
-    at, width = {s: i for i, s in enumerate(names)}, -(-len(names) // 4)
-    calls = cs.entries.where("n_alt is not null").groupBy(*VARIANT).agg(F.collect_list(F.struct("s", "n_alt")).alias("calls"))
-    index = contig_index(F.col("contig"))
-    rows = cs.variants.where(F.size("alleles") == 2).select(*VARIANT).join(calls, [*VARIANT], "left").withColumn("_at", index)
-    rows = rows.repartitionByRange("_at", "position").sortWithinPartitions("_at", "contig", "position", "alleles")
-    code = {0: 3, 1: 2, 2: 0}
-
-    def encode(batches):
-        for batch in batches:
-            out = []
-            for found in batch.column(3).to_pylist():
-                two = np.full(width * 4, 1, np.uint8)
-                two[len(names) :] = 0
-                for c in found or []:
-                    two[at[c["s"]]] = code.get(c["n_alt"], 1)
-                q = two.reshape(-1, 4)
-                out.append((q[:, 0] | q[:, 1] << 2 | q[:, 2] << 4 | q[:, 3] << 6).astype(np.uint8).tobytes())
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(out, pa.binary())], ["contig", "position", "alleles", "row"])
-
-    coded = rows.select(*VARIANT, "calls").mapInArrow(encode, "contig string, position int, alleles array<string>, row binary").persist()
-    bim = coded.select(F.concat_ws("\t", "contig", F.concat_ws(":", "contig", F.col("position").cast("string"), F.array_join("alleles", ":")), F.lit("0"), F.col("position").cast("string"), F.get("alleles", F.lit(1)), F.get("alleles", F.lit(0))).alias("value"))
-    bim.write.mode("overwrite").text(f"{root}.bim.parts")
-    write_pieces(spark, f"{root}.bed", chain([b"\x6c\x1b\x01"], (bytes(r["row"]) for r in coded.select("row").toLocalIterator())))
-    write_pieces(spark, f"{root}.bim", (read_bytes(spark, p) for p in list_folder(spark, f"{root}.bim.parts") if "/part-" in p))
-    write_text(spark, f"{root}.fam", "".join(f"{s}\t{s}\t0\t0\t0\t-9\n" for s in names))
-    coded.unpersist()
+    """PLINK .bed, .bim and .fam of biallelic variants; the first two are written by many tasks."""
+    names = sample_names(cs) if "col_idx" not in cs.samples.columns else _sample_names(cs)
+    n, width = len(names), -(-len(names) // 4)
+    rows = cs.variants.where(F.size("alleles") == 2).select(*VARIANT).join(packed_rows(cs, names, polymorphic=False).select(*VARIANT, "codes"), [*VARIANT], "left")
+    rows = written(rows.withColumn("_at", contig_index(F.col("contig"))), f"{round_folder(cs.variants.sparkSession, 'plink')}/rows")
+    # both files are in this one order, wherever the ranges are cut
+    rows = rows.repartitionByRange("_at", "contig", "position").sortWithinPartitions("_at", "contig", "position", "alleles")
+    missing = bytes(pack(np.full((1, n), MISSING, np.uint8))[0])
+    tail = np.uint8((1 << 2 * (n - 4 * (width - 1))) - 1) if n else np.uint8(0)
+
+    def encode(batch: pa.RecordBatch) -> Iterator[bytes]:
+        codes = rows_of(pc.fill_null(batch.column(0).cast(pa.large_binary()), missing))
+        if len(codes) and width:
+            data = _BED[codes]
+            data[:, -1] &= tail
+            yield data.tobytes()
+
+    write_one_file(rows.select("codes"), f"{root}.bed", header=b"\x6c\x1b\x01", encode=encode)
+    bim = F.concat_ws("\t", "contig", F.concat_ws(":", "contig", F.col("position").cast("string"), F.array_join("alleles", ":")), F.lit("0"), F.col("position").cast("string"), F.get("alleles", F.lit(1)), F.get("alleles", F.lit(0)))
+    write_one_file(rows.select(F.concat(bim, F.lit("\n")).cast("binary").alias("line")), f"{root}.bim")
+    write_text(cs.variants.sparkSession, f"{root}.fam", "".join(f"{s}\t{s}\t0\t0\t0\t-9\n" for s in names))
