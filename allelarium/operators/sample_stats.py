@@ -39,6 +39,19 @@ def contamination(cs: CallSet, *, charr_thresh: float = 0.05, min_af: float = 0.
     return cs.samples.select("s").join(charr, "s", "left").select("s", F.struct("charr", (F.col("charr") <= charr_thresh).alias("is_passing")).alias("contamination"))
 
 
+#: Samples from which on a cohort's own frequencies are taken.
+OWN_FREQUENCIES = 10_000
+
+
+def reference_frequencies(cs: CallSet, given: DataFrame | None = None, public: DataFrame | None = None) -> DataFrame | None:
+    """(variant, ref_af) for `contamination`: the given table; else, for fewer than OWN_FREQUENCIES samples, 1 - AF of public sites (variant, AF) if there are any; else None, the cohort's own."""
+    if given is not None or public is None:
+        return given
+    if cs.samples.select("s").limit(OWN_FREQUENCIES).count() >= OWN_FREQUENCIES:
+        return None
+    return public.select(*VARIANT, (1 - F.col("AF")).alias("ref_af"))
+
+
 def chimera(rates: DataFrame, *, threshold: float = 0.05) -> DataFrame:
     """(s, chimera_reads {chimera_rate, is_passing: rate < threshold})."""
     return rates.select("s", F.struct(F.col("chimera_rate").cast("double").alias("chimera_rate"), (F.col("chimera_rate") < threshold).alias("is_passing")).alias("chimera_reads"))

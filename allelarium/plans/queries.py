@@ -52,16 +52,16 @@ _DERIVED_SQL = f"""*, round({_CONC} / nullif({_TOTAL}, 0), 9) AS concordance_rat
 def _dense(outer: bool = False) -> str:
     """Every cell of the grid, with what variables need."""
     both = f"({EXO_V}) OR ({IMP_V})" if outer else f"({EXO_V}) AND ({IMP_V})"
-    return f"""{BASE}, ac AS (SELECT vid, sum(n_alt) AS ac FROM exo GROUP BY vid),
+    return f"""{BASE}, ac AS (SELECT vid, sum(n_alt) AS ac, sum(n_alt) / (2.0 * count(n_alt)) AS af FROM exo GROUP BY vid), iac AS (SELECT vid, sum(n_alt) AS ac, sum(n_alt) / (2.0 * count(n_alt)) AS af FROM imp GROUP BY vid),
 grid AS (SELECT v.*, smp.* FROM v CROSS JOIN smp WHERE ({both}) AND ({EXO_S}) AND ({IMP_S})),
-dense AS (SELECT g.contig, g.position, g.ref, g.alt, g.s, g.{EXO_V} AS has_left, g.ancestry_pop AS pop, coalesce(ac.ac, 0) AS ac, g.qual_approx, e.gq, i.max_gp,
+dense AS (SELECT g.contig, g.position, g.ref, g.alt, g.s, g.{EXO_V} AS has_left, g.ancestry_pop AS pop, coalesce(ac.ac, 0) AS ac, coalesce(ac.af, 'nan'::DOUBLE) AS af, coalesce(iac.ac, 0) AS imp_ac, coalesce(iac.af, 'nan'::DOUBLE) AS imp_af, g.info, g.qual_approx, e.gq, e.dp, i.max_gp,
   CASE WHEN e.vid IS NULL THEN 0 WHEN e.n_alt IS NULL THEN 1 ELSE 2 + e.n_alt END AS l,
   CASE WHEN i.vid IS NULL THEN 0 WHEN i.n_alt IS NULL THEN 1 ELSE 2 + i.n_alt END AS r
-  FROM grid g LEFT JOIN exo e ON e.vid = g.vid AND e.sid = g.sid LEFT JOIN imp i ON i.vid = g.vid AND i.sid = g.sid LEFT JOIN ac ON ac.vid = g.vid)"""
+  FROM grid g LEFT JOIN exo e ON e.vid = g.vid AND e.sid = g.sid LEFT JOIN imp i ON i.vid = g.vid AND i.sid = g.sid LEFT JOIN ac ON ac.vid = g.vid LEFT JOIN iac ON iac.vid = g.vid)"""
 
 
-_GROUPS = {"exo_mac": _bin_sql("ac", bins.MAC_EDGES, bins.MAC_REST), "pop": "pop"}
-_AGGS = {"qual_approx": _bin_sql("qual_approx", bins.GQ_EDGES, bins.GQ_REST), "GQ": _bin_sql("gq", bins.GQ_EDGES, bins.GQ_REST), "MAX_GP": _bin_sql("max_gp", bins.GP_EDGES, bins.GP_REST)}
+_GROUPS = {"exo_mac": _bin_sql("ac", bins.MAC_EDGES, bins.MAC_REST), "imp_mac": _bin_sql("imp_ac", bins.MAC_EDGES, bins.MAC_REST), "exo_maf": _bin_sql("af", bins.MAF_EDGES, bins.MAF_REST), "imp_maf": _bin_sql("imp_af", bins.MAF_EDGES, bins.MAF_REST), "pop": "pop"}
+_AGGS = {"qual_approx": _bin_sql("qual_approx", bins.GQ_EDGES, bins.GQ_REST), "GQ": _bin_sql("gq", bins.GQ_EDGES, bins.GQ_REST), "MAX_GP": _bin_sql("max_gp", bins.GP_EDGES, bins.GP_REST), "DP": _bin_sql("dp", bins.DP_EDGES, bins.DP_REST), "info_score": _bin_sql("info", bins.GP_EDGES, bins.GP_REST)}
 
 
 def _long_sql(groups: list[str], aggs: list[str], *, outer: bool = False, key: str = "") -> str:
@@ -110,6 +110,21 @@ def concordance_gsets_long(spark, sf_dir):
     return _tidy(_known(global_concordance(_with_ac(e), i, groups, aggs).df))
 
 
+def concordance_catalogue(spark, sf_dir):
+    """The group and aggregation variables of the command line that the queries above leave out."""
+    e, i = map(_with_ac, _sets(spark, sf_dir))
+    groups = [*variables("exome", "row", {"exo_maf": bins.maf_bin}), *variables("imputation", "row", {"imp_maf": bins.maf_bin, "imp_mac": bins.mac_bin})]
+    aggs = [*variables("imputation", "row", {"info_score": bins.info_score_bin}), *variables("exome", "entry", {"DP": bins.dp_bin})]
+    return _tidy(_known(global_concordance(e, i, groups, aggs).df))
+
+
+def concordance_percentages(spark, sf_dir):
+    """Rates as the texts of a result."""
+    e, i = _sets(spark, sf_dir)
+    out = global_concordance(e, i, variables("exome", "col", _POP), variables("exome", "row", {"qual_approx": bins.qual_approx_bin}))
+    return _known(out.df).select("group_var_name", "group_var", "agg_var_name", "agg_var", *RATES)
+
+
 def concordance_outer(spark, sf_dir):
     return _tidy(global_concordance(*_sets(spark, sf_dir), join_type=joint.JoinType.outer).df)
 
@@ -257,6 +272,13 @@ def contamination_charr(spark, sf_dir):
     return _tidy(sample_stats.contamination(exome(spark, sf_dir)).select("s", "contamination.charr", "contamination.is_passing"))
 
 
+def contamination_public_af(spark, sf_dir):
+    """With frequencies of another source, as small cohorts take them."""
+    e = exome(spark, sf_dir)
+    public = variant_stats.allele_counts(imputation(spark, sf_dir)).select(*VARIANT, "AF")
+    return _tidy(sample_stats.contamination(e, ref_af=sample_stats.reference_frequencies(e, None, public)).select("s", "contamination.charr", "contamination.is_passing"))
+
+
 def sex_check(spark, sf_dir):
     e = exome(spark, sf_dir)
     return _tidy(sample_stats.sex_check(e, reported=e.samples).select("s", "sex_info.*"))
@@ -267,11 +289,11 @@ def qc_outliers_mad(spark, sf_dir):
     return _tidy(sample_stats.outliers(sample_stats.sample_qc(e), e.samples.select("s", "ancestry_pop"), deviations=1.5).select("s", *(f"qc_metrics.fail_{c}" for c in sample_stats.OUTLIER_METRICS), "qc_metrics.is_passing"))
 
 
-def _result(spark, sf_dir):
+def _result(spark, sf_dir, **options):
     e = exome(spark, sf_dir)
     labels = e.samples.select("s", F.struct("ancestry_pop").alias("ancestry"))
     sites = variant_stats.high_quality_sites(e, _low_complexity(spark, sf_dir), _exome_regions(spark, sf_dir), is_gatk=True, **_HQ)
-    return calculate_sample_qc_stats(e, sites, ancestry_pop_labels=labels, chimera_rate=e.samples.select("s", "chimera_rate"), reported_sex=e.samples, compute_components=False)
+    return calculate_sample_qc_stats(e, sites, ancestry_pop_labels=labels, chimera_rate=e.samples.select("s", "chimera_rate"), reported_sex=e.samples, **({"compute_components": False} | options))
 
 
 def qc_result_outer_join(spark, sf_dir):
@@ -284,6 +306,20 @@ def passing_samples(spark, sf_dir):
     return r.passing_samples(lenient).table.select("s")
 
 
+_DEFAULT = {"charr_thresh": 0.6, "gq": 0.6, "female": 0.9, "male": 0.95}
+
+
+def passing_samples_default(spark, sf_dir):
+    """The default predicate, with thresholds that some of these samples pass."""
+    options = {"contamination_options": {"charr_thresh": _DEFAULT["charr_thresh"]}, "coverage_fraction_thresh": _DEFAULT["gq"], "sex_female_fhet_thresh": _DEFAULT["female"], "sex_male_fhet_thresh": _DEFAULT["male"]}
+    return _result(spark, sf_dir, **options).passing_samples().table.select("s")
+
+
+def qc_whole_analysis(spark, sf_dir):
+    """All statistics with pruning and components."""
+    return _result(spark, sf_dir, compute_components=True, pcs_k=3).flat()
+
+
 def split_multi(spark, sf_dir):
     """Variants of a locus as one multi-allelic site, split again: long insertions and deletions are trimmed."""
     rows = variants(spark, sf_dir)
@@ -377,6 +413,8 @@ SQL = {
     "concordance_global_all": _long_sql(["ALL"], ["ALL"]),
     "concordance_global_grouped": _long_sql(["exo_mac"], ["GQ"]),
     "concordance_gsets_long": _long_sql(["ALL", "exo_mac", "pop"], ["ALL", "qual_approx", "GQ", "MAX_GP"]),
+    "concordance_catalogue": _long_sql(["ALL", "exo_maf", "imp_maf", "imp_mac"], ["ALL", "info_score", "DP"]),
+    "concordance_percentages": "SELECT group_var_name, group_var, agg_var_name, agg_var, " + ", ".join(f"printf('%.2f', {r}_raw * 100) AS {r}" for r in RATES) + f" FROM ({_long_sql(['ALL', 'pop'], ['ALL', 'qual_approx'])}) c",
     "concordance_outer": _long_sql(["ALL"], ["ALL"], outer=True),
     "concordance_by_variant": _long_sql(["ALL"], ["ALL"], key=f"{KEYS},"),
     "concordance_by_variant_gq": _long_sql(["ALL"], ["GQ"], key=f"{KEYS},"),
@@ -406,6 +444,9 @@ SELECT {KEYS}, 2 * n_called - ac_alt AS ac_ref, ac_alt, round((2 * n_called - ac
     "gq_fraction": f"WITH {_EXO}, g AS ({_GQF('e')}) SELECT es.s, round(gq_fraction, 9) AS gq_fraction, gq_fraction >= 0.9 AS is_passing FROM es LEFT JOIN g ON g.s = es.s",
     "chimera_flag": f"WITH {_EXO} SELECT s, round(chimera_rate, 9) AS chimera_rate, chimera_rate < 0.05 AS is_passing FROM es",
     "contamination_charr": f"WITH {_EXO}, c AS ({_CHARR('e')}) SELECT es.s, round(charr, 9) AS charr, charr <= 0.05 AS is_passing FROM es LEFT JOIN c ON c.s = es.s",
+    "contamination_public_af": f"""WITH {_EXO}, p AS (SELECT imp.vid, 1 - sum(n_alt) / (2.0 * count(n_alt)) AS raf FROM imp JOIN smp ON smp.sid = imp.sid WHERE {IMP_S.replace('sid', 'smp.sid')} GROUP BY imp.vid),
+c AS (SELECT s, avg(ad0 / (ad0 + ad1) / raf) AS charr FROM e JOIN p ON p.vid = e.vid WHERE n_alt = 2 AND dp BETWEEN 10 AND 100 AND gq >= 20 AND {_AUTO} AND {_SNP} AND raf > 0.05 AND raf < 0.95 GROUP BY s)
+SELECT es.s, round(charr, 9) AS charr, charr <= 0.05 AS is_passing FROM es LEFT JOIN c ON c.s = es.s""",
     "sex_check": f"""WITH {_EXO}, x AS ({_SEX('e')}), f AS (SELECT es.s, reported_is_female, n_called, expected_homs, observed_homs, {_F} AS f_stat FROM es LEFT JOIN x ON x.s = es.s),
 g AS (SELECT *, CASE WHEN f_stat < 0.2 THEN TRUE WHEN f_stat > 0.8 THEN FALSE END AS is_female FROM f)
 SELECT s, is_female, coalesce(is_female = reported_is_female, TRUE) AS is_passing, is_female = reported_is_female AS sex_check, round(f_stat, 9) AS f_stat, n_called, round(expected_homs, 9) AS expected_homs, observed_homs FROM g""",
@@ -415,6 +456,10 @@ SELECT es.s, ancestry_pop, round(charr, 9) AS charr, round(gq_fraction, 9) AS gq
 FROM es LEFT JOIN c ON c.s = es.s LEFT JOIN g ON g.s = es.s LEFT JOIN q ON q.s = es.s LEFT JOIN x ON x.s = es.s""",
     "passing_samples": f"""WITH {_EXO}, {_AT_SITES}, g AS ({_GQF('h')}), q AS ({_metrics_sql('ha')}), f AS (SELECT s, {_MAD(4.0)} {_MAD_FROM('q')})
 SELECT es.s FROM es JOIN g ON g.s = es.s JOIN f ON f.s = es.s WHERE coalesce(chimera_rate < 0.05, TRUE) AND gq_fraction >= 0.7 AND NOT fail_n_snp""",
+    "passing_samples_default": f"""WITH {_EXO}, {_AT_SITES}, c AS ({_CHARR('h')}), g AS ({_GQF('h')}), q AS ({_metrics_sql('ha')}), f AS (SELECT s, {_MAD(4.0)} {_MAD_FROM('q')}), x AS ({_SEX('h')}),
+y AS (SELECT es.s, CASE WHEN {_F} < {_DEFAULT['female']} THEN TRUE WHEN {_F} > {_DEFAULT['male']} THEN FALSE END AS is_female FROM es LEFT JOIN x ON x.s = es.s)
+SELECT es.s FROM es JOIN c ON c.s = es.s JOIN g ON g.s = es.s JOIN f ON f.s = es.s JOIN y ON y.s = es.s
+WHERE charr <= {_DEFAULT['charr_thresh']} AND coalesce(chimera_rate < 0.05, TRUE) AND coalesce(is_female = reported_is_female, TRUE) AND gq_fraction >= {_DEFAULT['gq']} AND NOT ({' OR '.join(f'fail_{c}' for c in _M if c != 'n_singleton')})""",
     "lgt_to_gt": f"""WITH {_EXO} SELECT CASE WHEN n_alt IS NULL THEN './.' WHEN n_alt = 0 THEN '0/0' WHEN n_alt = 1 THEN '0/' || a ELSE a || '/' || a END AS gt, n_alt, count(*) AS n
 FROM (SELECT n_alt, CASE WHEN vid % 2 = 1 THEN '2' ELSE '1' END AS a FROM exo) x GROUP BY ALL""",
     "union_rows": f"WITH {_EXO} SELECT s, count(*) AS n_entries, sum(n_alt)::BIGINT AS ac FROM e GROUP BY s",
@@ -442,5 +487,5 @@ walk(k, kept) AS (SELECT 0::BIGINT, []::BIGINT[] UNION ALL
   SELECT w.k + 1, CASE WHEN list_has_any(w.kept, coalesce(near.before, [])) THEN w.kept ELSE list_append(w.kept, w.k + 1) END FROM walk w JOIN ranked ON ranked.k = w.k + 1 LEFT JOIN near ON near.k = w.k + 1),
 last AS (SELECT kept FROM walk ORDER BY k DESC LIMIT 1)
 SELECT {KEYS} FROM ranked JOIN (SELECT unnest(kept) AS k FROM last) l ON l.k = ranked.k"""
-_NAMES = (*SQL, "hash_sample_variants", "pca_scores", "relatedness")
+_NAMES = (*SQL, "hash_sample_variants", "pca_scores", "relatedness", "qc_whole_analysis")
 QUERIES = {name: globals()[name] for name in _NAMES}

@@ -11,7 +11,8 @@ from pyspark.sql.types import StructType
 from allelarium.functions.genome import in_autosome, in_x_nonpar
 from allelarium.model import CallSet
 from allelarium.operators.linear import compute_pcs, ld_prune
-from allelarium.operators.sample_stats import OUTLIER_METRICS, chimera, contamination, gq_fraction, outliers, sample_qc, sex_check
+from allelarium.operators.sample_stats import OUTLIER_METRICS, chimera, contamination, gq_fraction, outliers, reference_frequencies, sample_qc, sex_check
+from allelarium.sources.files import round_folder, written
 
 
 class SampleQCResult:
@@ -100,6 +101,19 @@ def prune_variants(cs: CallSet, pre_pruned: DataFrame | None = None, *, r2_thres
     return ld_prune(cs, r2_thresh=r2_thresh, bp_window_size=bp_window_size)
 
 
+#: Fields of entries that the statistics read.
+FIELDS = ("contig", "position", "alleles", "s", "n_alt", "gq", "dp", "ad", "gt")
+
+
+def at_sites(cs: CallSet, sites: DataFrame) -> CallSet:
+    """The call set at the sites, its entries in the checkpoint folder."""
+    root = round_folder(cs.variants.sparkSession, "sample-qc")
+    sites = written(sites.select("contig", "position", "alleles").distinct(), f"{root}/sites")
+    kept = cs.only_variants(sites)
+    entries = kept.entries.select(*(c for c in FIELDS if c in kept.entries.columns))
+    return kept.with_(entries=written(entries, f"{root}/entries"), variants=written(kept.variants, f"{root}/variants"))
+
+
 def calculate_sample_qc_stats(
     cs: CallSet,
     high_quality_sites: DataFrame,
@@ -110,6 +124,7 @@ def calculate_sample_qc_stats(
     chimera_rate: DataFrame | None = None,
     chimera_threshold: float = 0.05,
     contamination_options: dict | None = None,
+    public_frequencies: DataFrame | None = None,
     pcs_k: int = 10,
     ancestry_pop_labels: DataFrame | None = None,
     coverage_gq_thresh: int = 20,
@@ -119,16 +134,19 @@ def calculate_sample_qc_stats(
     sex_female_fhet_thresh: float = 0.2,
     compute_components: bool = True,
 ) -> SampleQCResult:
-    """All statistics over the raw entries at the sites of high quality: autosomes for contamination, genotype quality and outliers, pruned autosomes for components, X for sex."""
-    sites = high_quality_sites.persist()
-    hq = cs.only_variants(sites)
+    """All statistics over the raw entries at the sites of high quality: autosomes for contamination, genotype quality and outliers, pruned autosomes for components, X for sex.
+
+    Those entries are written once, with the fields that any statistic reads.
+    public_frequencies: (variant, AF), for contamination in small cohorts.
+    """
+    hq = at_sites(cs, high_quality_sites)
     auto = hq.where_variants(in_autosome(F.col("contig")))
     x = hq.where_variants(in_x_nonpar(F.col("contig"), F.col("position")))
-    samples = cs.samples.select("s")
+    samples, options = cs.samples.select("s"), contamination_options or {}
     labels = ancestry_pop_labels if ancestry_pop_labels is not None else samples.select("s", F.struct(F.lit("unknown").alias("ancestry_pop")).alias("ancestry"))
     strata = labels.select("s", F.col("ancestry.ancestry_pop").alias("ancestry_pop")) if ancestry_pop_labels is not None else None
     tables = [
-        contamination(auto, **(contamination_options or {})),
+        contamination(auto, **(options | {"ref_af": reference_frequencies(cs, options.get("ref_af"), public_frequencies)})),
         gq_fraction(auto, gq_thresh=coverage_gq_thresh, fraction_thresh=coverage_fraction_thresh),
         outliers(sample_qc(auto), strata),
         sex_check(x, male_fhet_thresh=sex_male_fhet_thresh, female_fhet_thresh=sex_female_fhet_thresh, reported=reported_sex),
