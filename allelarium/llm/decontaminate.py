@@ -1,17 +1,24 @@
-"""Benchmark decontamination: n-gram seeds, then Smith-Waterman alignment.
-
-Texts are sequences of words (runs of letters and digits, A-Z lower-cased). One
-pass over the corpus finds every n-gram that occurs in a test item (the whole
-item, if it is shorter), a seed, and aligns the words around the diagonals of a
-document's seeds with the item: +2 for a match, -1 for a mismatch or a gap. A
-pair is a leak where the best local alignment reaches `threshold` of the item's
-own score, however frequent its seeds are in the corpus. Only stretches that
+"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
+
+Texts are sequences of words (runs of letters and digits, A-Z lower-cased). A
+first pass over the corpus counts, for every n-gram of the test items, the
+documents that have it. Of each `window` n-grams in a row of an item the one in
+the fewest documents is a seed, so any `n` + `window` - 1 words of an item that
+occur in a row hold one, however frequent all of them are; an item with fewer
+words has all of its n-grams, or itself if it is shorter still, as seeds. A
+second pass joins documents to items by their seeds, and aligns the words around
+the diagonals of all n-grams that such a pair shares with the item: +2 for a
+match, -1 for a mismatch or a gap. A pair is a leak where the best local
+alignment reaches `threshold` of the item's own score. Only stretches that
 cannot reach it are not aligned: a word that the other side lacks costs 1
-whichever way it is passed, which bounds the score at little cost.
+whichever way it is passed, which bounds the score at little cost. With a window
+of 1 every n-gram is a seed and nothing is counted: that is the exact form, the
+default of the functions, which the recall of rare seeds is measured against.
+The query and the pipeline take `WINDOW`.
 
 Test items go to the executors in blocks of at most `BLOCK_CHARS` characters,
-one pass over the corpus for each block, so what is broadcast has a fixed size
-whatever the size of the test set.
+two passes over the corpus for each block; `find_leaks` holds a block at a time
+in a task, `drop_leaks` all of them, one after another.
 
 Edge cases: null and empty texts, and items without a word, match nothing;
 repeated documents or items each give their own rows, whatever their ids; a null
@@ -32,6 +39,7 @@ from pyspark.sql import functions as F
 from allelarium.llm.common import MARKS, Words, read_table, shingle_hashes, text_slices
 
 SEED_WORDS = 3
+WINDOW = 4
 THRESHOLD = 0.5
 BLOCK_CHARS = 16 << 20
 _LEAKS = "doc_id long, item_id long, score double, n_seeds long, start_word long, end_word long"
@@ -70,7 +78,7 @@ def most(item: np.ndarray, words: np.ndarray) -> int:
 
 
 class Items:
-    """Word hashes of a block of test items, and their seeds sorted by hash."""
+    """Word hashes of a block of test items, their n-grams sorted by hash, and which of those are seeds."""
 
     def __init__(self, ids: list[int | None], texts: list[str | None], n: int = SEED_WORDS):
         words = Words(pa.array(texts, pa.string()), blank=MARKS)
@@ -83,9 +91,47 @@ class Items:
         order = np.argsort(every, kind="stable")
         self.seeds, self.owner, self.place = every[order], owner[order], place[order]
         self.short = sorted({len(w) for w in self.words if 0 < len(w) < n})
+        self.rare = np.ones(len(self.seeds), bool)
+        self.distinct = np.unique(self.seeds)
+        self.first = self.distinct
+
+    def choose(self, counts: np.ndarray, window: int) -> None:
+        """Keep as seeds, of each `window` in a row, the one in the fewest documents (of equal ones the first); counts: by distinct n-gram."""
+        count = counts[np.searchsorted(self.distinct, self.seeds)]
+        at = np.lexsort((self.place, self.owner))
+        starts = np.searchsorted(self.owner[at], np.arange(len(self.ids) + 1))
+        self.rare = np.zeros(len(self.seeds), bool)
+        for lo, hi in zip(starts[:-1], starts[1:], strict=True):
+            here = at[lo:hi]
+            if len(here) <= window:
+                self.rare[here] = True
+            else:
+                near = np.lib.stride_tricks.sliding_window_view(count[here], window)
+                self.rare[here[np.unique(near.argmin(1) + np.arange(len(near)))]] = True
+        self.first = np.unique(self.seeds[self.rare])
+
+    def grams(self, words: np.ndarray) -> np.ndarray:
+        """The n-grams of the words, and all of the lengths of shorter items."""
+        return np.concatenate([shingle_hashes(words, k) for k in (*self.short, self.n) if len(words) >= k] or [np.zeros(0, np.uint64)])
+
+    def among(self, known: np.ndarray, words: np.ndarray) -> np.ndarray:
+        """The places in `known`, in order, of those that occur in the words."""
+        grams = self.grams(words)
+        at = np.minimum(np.searchsorted(known, grams), len(known) - 1)
+        return np.unique(at[known[at] == grams])
 
     def hits(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(place in the words, index of a seed) for every seed of every item that occurs."""
+        """(place in the words, index of an n-gram) for every n-gram of every item that has a seed in them."""
+        empty = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        if not len(self.among(self.first, words)):
+            return empty
+        at, seed = self._all(words)
+        joined = np.zeros(len(self.ids), bool)
+        joined[self.owner[seed[self.rare[seed]]]] = True
+        keep = joined[self.owner[seed]]
+        return at[keep], seed[keep]
+
+    def _all(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         found = []
         for k in (*self.short, self.n):
             if len(words) < k:
@@ -156,8 +202,28 @@ def _clean(items: Items, threshold: float, text: int):
     return run
 
 
-def _blocks(benchmark: DataFrame, n: int, block_chars: int) -> Iterator[Items]:
-    """The test items in blocks of a bounded size, those without seeds left out."""
+def document_counts(texts: DataFrame, items: Items) -> np.ndarray:
+    """For each distinct n-gram of a block the rows of `texts` (text) that have it; as many numbers as the block has n-grams come to the driver."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros(len(items.distinct), np.int64)
+        for batch in batches:
+            for part in text_slices(batch, 0):
+                words = Words(part.column(0), blank=MARKS)
+                for i in range(len(words)):
+                    counts[items.among(items.distinct, words.of(i))] += 1
+        at = np.flatnonzero(counts)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(counts[at])], ["at", "n"])
+
+    found = texts.mapInArrow(run, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).toPandas()
+    counts = np.zeros(len(items.distinct), np.int64)
+    counts[found["at"]] = found["n"]
+    return counts
+
+
+def _blocks(docs: DataFrame, benchmark: DataFrame, n: int, window: int, block_chars: int) -> Iterator[Items]:
+    """The test items in blocks of a bounded size, those without seeds left out, with their seeds chosen."""
+    texts = docs.select(F.col("text").cast("string").alias("text"))
     wanted = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))
     size = wanted.agg(F.sum(F.length("text"))).first()[0] or 0
     blocks = max(1, -(-size // (block_chars // 2)))  # half full on average
@@ -165,27 +231,29 @@ def _blocks(benchmark: DataFrame, n: int, block_chars: int) -> Iterator[Items]:
         mine = wanted.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k).orderBy("item_id", "text").collect()
         items = Items([r[0] for r in mine], [r[1] for r in mine], n)
         if len(items.seeds):
+            if window > 1:
+                items.choose(document_counts(texts, items), window)
             yield items
 
 
-def find_leaks(docs: DataFrame, benchmark: DataFrame, *, n: int = SEED_WORDS, threshold: float = THRESHOLD, block_chars: int = BLOCK_CHARS) -> DataFrame:
+def find_leaks(docs: DataFrame, benchmark: DataFrame, *, n: int = SEED_WORDS, window: int = 1, threshold: float = THRESHOLD, block_chars: int = BLOCK_CHARS) -> DataFrame:
     """(doc_id, item_id, score, n_seeds, start_word, end_word): the best stretch of each document that leaks an item."""
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    parts = [texts.mapInArrow(_leaks(items, threshold), _LEAKS) for items in _blocks(benchmark, n, block_chars)]
+    parts = [texts.mapInArrow(_leaks(items, threshold), _LEAKS) for items in _blocks(docs, benchmark, n, window, block_chars)]
     return reduce(DataFrame.unionByName, parts) if parts else docs.sparkSession.createDataFrame([], _LEAKS)
 
 
-def drop_leaks(docs: DataFrame, benchmark: DataFrame, *, n: int = SEED_WORDS, threshold: float = THRESHOLD, block_chars: int = BLOCK_CHARS) -> DataFrame:
+def drop_leaks(docs: DataFrame, benchmark: DataFrame, *, n: int = SEED_WORDS, window: int = 1, threshold: float = THRESHOLD, block_chars: int = BLOCK_CHARS) -> DataFrame:
     """The rows of docs whose text leaks no test item, with their columns; judged row by row, so ids don't matter."""
     left = docs.withColumn("text", F.col("text").cast("string"))
-    for items in _blocks(benchmark, n, block_chars):
+    for items in _blocks(docs, benchmark, n, window, block_chars):
         left = left.mapInArrow(_clean(items, threshold, left.columns.index("text")), left.schema)
     return left
 
 
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every pair of a document and a test item that it leaks, with the alignment's score and place."""
-    return find_leaks(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+    return find_leaks(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"), window=WINDOW)
 
 
 QUERIES = {"op5_decontamination": op5_decontamination}

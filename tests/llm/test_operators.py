@@ -531,6 +531,37 @@ def test_leaks_agree_with_aligning_every_pair(spark):
     assert left == set(range(len(texts))) - {i for i, _ in want}
 
 
+def test_rare_seeds(spark):
+    """Counts by brute force; of each window the n-gram in the fewest documents; and any words in a row that hold a window are found."""
+    rng = random.Random(31)
+    vocabulary = [f"w{k}" for k in range(40)]
+    items = [[rng.choice(vocabulary) for _ in range(n)] for n in (1, 2, 3, 5, 6, 7, 20, 40)]
+    texts = [[rng.choice(vocabulary) for _ in range(rng.randint(0, 300))] for _ in range(60)] + [items[6]] * 3
+    block = decontaminate.Items(list(range(len(items))), [" ".join(x) for x in items])
+    docs = docs_frame(spark, [" ".join(t) for t in texts])
+    counts = decontaminate.document_counts(docs.select("text"), block)
+    gram = {int(h): tuple(x[k : k + min(3, len(x))]) for x, w in zip(items, block.words, strict=True) for k, h in enumerate(shingle_hashes(w, 3))}
+    for h, n in zip(block.distinct, counts, strict=True):
+        g = gram[int(h)]
+        assert n == sum(any(tuple(t[k : k + len(g)]) == g for k in range(len(t))) for t in texts)
+    block.choose(counts, 4)
+    count = dict(zip(block.distinct.tolist(), counts.tolist(), strict=True))
+    for i, w in enumerate(block.words):
+        hashes = shingle_hashes(w, 3).tolist()
+        mine = sorted(block.place[block.rare & (block.owner == i)].tolist())
+        want = range(len(hashes)) if len(hashes) <= 4 else sorted({min(range(k, k + 4), key=lambda p: (count[hashes[p]], p)) for k in range(len(hashes) - 3)})
+        assert mine == list(want)
+    benchmark = spark.createDataFrame([(7, " ".join(items[7]))], "item_id long, text string")
+    pieces = docs_frame(spark, [" ".join(items[7][k : k + 6]) for k in range(35)])
+    assert decontaminate.find_leaks(pieces, benchmark, window=4, threshold=0.15).count() == 35
+
+
+def test_rare_seeds_lose_no_leak_of_the_given_tables(spark):
+    docs, benchmark = (spark.read.parquet(f"/root/testdata/sf0.01/{name}.parquet") for name in ("documents", "benchmark"))
+    exact = {tuple(r) for r in decontaminate.find_leaks(docs, benchmark).collect()}
+    assert {tuple(r) for r in decontaminate.op5_decontamination(spark, "/root/testdata/sf0.01").collect()} == exact and exact
+
+
 def test_one_row_of_equal_ones_stays(spark):
     text = " ".join(f"w{k}" for k in range(50))
     rows = [(1, text), (1, text), (2, text), (3, "other words"), (3, "quite another text"), (None, "alone"), (None, "alone"), (None, "apart"), (4, None), (4, None)]
