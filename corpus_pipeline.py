@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from allelarium.llm.common import Scratch, read_table
-from allelarium.llm.decontaminate import drop_leaks
+from allelarium.llm.decontaminate import WINDOW, drop_leaks
 from allelarium.llm.line_dedup import drop_repeated_lines
 from allelarium.llm.ngram_jaccard import keep_representatives
 from allelarium.llm.quality_rules import fit_forest, keep_good_documents
@@ -46,7 +46,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that leak a benchmark item go."""
-    return drop_leaks(docs.select(*COLUMNS), read_table(spark, sf_dir, "benchmark"))
+    return drop_leaks(docs.select(*COLUMNS), read_table(spark, sf_dir, "benchmark"), window=WINDOW)
 
 
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
