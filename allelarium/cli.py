@@ -7,10 +7,13 @@ import json
 import logging
 import sys
 
+from pyspark import SparkConf
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
-from allelarium.operators.filters import apply_filters
+from allelarium.functions.genome import X_PAR
+from allelarium.operators import packed
+from allelarium.operators.filters import SEED, apply_filters
 from allelarium.operators.joint import JoinType
 from allelarium.operators.linear import ancestry, project, with_ancestry
 from allelarium.operators.variant_stats import common_sites, high_quality_sites
@@ -28,7 +31,17 @@ def parser() -> argparse.ArgumentParser:
     p = argparse.ArgumentParser(prog="allelarium")
     p.add_argument("--master", help="Spark master")
     p.add_argument("--app-name", default="allelarium")
+    p.add_argument("--local", default="local[*]", help="master where neither --master nor a setting names one")
     p.add_argument("--spark-conf", default="{}", help="Spark settings as JSON")
+    p.add_argument("--tmp-dir", help="folder that driver and executors share, for the tables of rounds (spark.checkpoint.dir)")
+    p.add_argument("--local-tmpdir", help="folder of each machine (spark.local.dir)")
+    p.add_argument("--min-block-size", type=int, default=0, help="MB of a file that one task reads at least")
+    p.add_argument("--branching-factor", type=int, default=packed.FAN_IN, help="partial sums of matrices that are added up at once")
+    p.add_argument("--default-reference", choices=sorted(X_PAR), default="GRCh38", help="genome build")
+    p.add_argument("--global-seed", type=int, default=SEED, help="seed of samples of rows")
+    p.add_argument("--log", help="file for log messages")
+    p.add_argument("--append", action="store_true", help="add to that file")
+    p.add_argument("--quiet", action="store_true", help="warnings only")
     sub = p.add_subparsers(dest="command", required=True)
 
     c = sub.add_parser("concordance", help="compare two call sets of the same samples")
@@ -58,17 +71,19 @@ def parser() -> argparse.ArgumentParser:
     s.add_argument("--dragen", action="store_true")
     for name, kind, default in (("dp-thresh", int, 10), ("gq-thresh", int, 20), ("ab-thresh", float, 0.2), ("maf-thresh", float, 0.01), ("mac-thresh", int, 10), ("call-rate-thresh", float, 0.95), ("ld-prune-r2-thresh", float, 0.2), ("ld-prune-bp-window-size", int, 1_000_000), ("chimera-threshold", float, 0.05), ("contamination-charr-thresh", float, 0.05), ("contamination-min-af", float, 0.05), ("contamination-max-af", float, 0.95), ("contamination-min-dp", int, 10), ("contamination-max-dp", int, 100), ("contamination-min-gq", int, 20), ("pcs-k", int, 10), ("coverage-gq-thresh", int, 20), ("coverage-fraction-thresh", float, 0.9), ("sex-male-fhet-thresh", float, 0.8), ("sex-female-fhet-thresh", float, 0.2), ("num-pcs", int, 20), ("min-prob", float, 0.75), ("n-partitions", int, None)):
         s.add_argument(f"--{name}", type=kind, default=default)
-    for name in ("pre-pruned-variants", "pca-loadings", "onnx-rf", "ref-af", "ref-af-col", "reported-sex", "reported-sex-col", "chimera-rate", "chimera-rate-col"):
+    for name in ("pre-pruned-variants", "pca-loadings", "onnx-rf", "ref-af", "ref-af-col", "public-af", "reported-sex", "reported-sex-col", "chimera-rate", "chimera-rate-col"):
         s.add_argument(f"--{name}")
     return p
 
 
 def _session(a: argparse.Namespace) -> SparkSession:
-    b = SparkSession.builder.appName(a.app_name)
-    b = b.master(a.master) if a.master else b
-    for k, v in json.loads(a.spark_conf).items():
-        b = b.config(k, v)
-    return b.getOrCreate()
+    conf = {"spark.app.name": a.app_name} | json.loads(a.spark_conf)
+    if a.master or "spark.master" not in {**conf, **dict(SparkConf().getAll())}:
+        conf["spark.master"] = a.master or a.local
+    for name, value in (("spark.checkpoint.dir", a.tmp_dir), ("spark.local.dir", a.local_tmpdir), ("spark.sql.files.maxPartitionBytes", a.min_block_size > 128 and f"{a.min_block_size}m")):
+        conf |= {name: value} if value else {}
+    packed.FAN_IN = max(2, a.branching_factor)
+    return SparkSession.builder.config(map=conf).getOrCreate()
 
 
 def _column(spark: SparkSession, path: str | None, column: str | None, what: str, name: str):
@@ -84,7 +99,7 @@ def run_sample_qc(spark: SparkSession, a: argparse.Namespace):
     if a.gatk == a.dragen:
         raise SystemExit("give exactly one of --gatk and --dragen")
     cs = load_data(spark, a.dataset, "dataset", LOG, a.n_partitions)
-    cs, _ = apply_filters(cs, sample_list=read_list(spark, a.sample_list, True) if a.sample_list else None, variant_list=read_list(spark, a.variant_list, False) if a.variant_list else None, contigs=a.contigs, n_samples=a.n_samples, n_variants=a.n_variants, downsample_samples=a.downsample_samples, downsample_variants=a.downsample_variants)
+    cs, _ = apply_filters(cs, sample_list=read_list(spark, a.sample_list, True) if a.sample_list else None, variant_list=read_list(spark, a.variant_list, False) if a.variant_list else None, contigs=a.contigs, n_samples=a.n_samples, n_variants=a.n_variants, downsample_samples=a.downsample_samples, downsample_variants=a.downsample_variants, seed=a.global_seed)
     genotype = {"is_gatk": a.gatk, "dp_thresh": a.dp_thresh, "gq_thresh": a.gq_thresh, "ab_thresh": a.ab_thresh}
     sites = high_quality_sites(cs, read_bed(spark, a.low_complexity_regions), read_bed(spark, a.exome_regions), **genotype, maf_thresh=a.maf_thresh, mac_thresh=a.mac_thresh, call_rate_thresh=a.call_rate_thresh)
     labels = None
@@ -104,7 +119,8 @@ def run_sample_qc(spark: SparkSession, a: argparse.Namespace):
         chimera_rate=_column(spark, a.chimera_rate, a.chimera_rate_col, "chimera-rate", "chimera_rate"), chimera_threshold=a.chimera_threshold,
         contamination_options={"charr_thresh": a.contamination_charr_thresh, "min_af": a.contamination_min_af, "max_af": a.contamination_max_af, "min_dp": a.contamination_min_dp, "max_dp": a.contamination_max_dp, "min_gq": a.contamination_min_gq, "ref_af": ref_af},
         pcs_k=a.pcs_k, ancestry_pop_labels=labels, coverage_gq_thresh=a.coverage_gq_thresh, coverage_fraction_thresh=a.coverage_fraction_thresh,
-        reported_sex=_column(spark, a.reported_sex, a.reported_sex_col, "reported-sex", "reported_is_female"), sex_male_fhet_thresh=a.sex_male_fhet_thresh, sex_female_fhet_thresh=a.sex_female_fhet_thresh,
+        reported_sex=_column(spark, a.reported_sex, a.reported_sex_col, "reported-sex", "reported_is_female"), sex_male_fhet_thresh=a.sex_male_fhet_thresh, sex_female_fhet_thresh=a.sex_female_fhet_thresh, build=a.default_reference,
+        public_frequencies=spark.read.parquet(a.public_af) if a.public_af else None,
     )
     out = a.output_dir.rstrip("/")
     result = result.write(f"{out}/sample_qc_stats")
@@ -115,12 +131,12 @@ def run_sample_qc(spark: SparkSession, a: argparse.Namespace):
 
 def main(argv: list[str] | None = None):
     a = parser().parse_args(argv)
-    logging.basicConfig(level=logging.INFO, filename=a.log_path, format="%(asctime)s %(message)s")
+    logging.basicConfig(level=logging.WARNING if a.quiet else logging.INFO, filename=a.log_path or a.log, filemode="a" if a.append else "w", format="%(asctime)s %(message)s")
     spark = _session(a)
     if a.command == "sample-qc":
         return run_sample_qc(spark, a)
     shared = ("contigs", "n_samples", "n_variants", "downsample_samples", "downsample_variants", "join_type", "variant_conc", "sample_conc", "global_conc", "sample_list", "variant_list", "n_exome_partitions", "n_imp_partitions")
-    return concordance(spark, exome_path=a.exome, imputation_path=a.imputation, out_dir=a.output_dir, options=set(a.options or ()) & {*GROUPS, *AGGS}, **{k: getattr(a, k) for k in shared})
+    return concordance(spark, exome_path=a.exome, imputation_path=a.imputation, out_dir=a.output_dir, options=set(a.options or ()) & {*GROUPS, *AGGS}, seed=a.global_seed, **{k: getattr(a, k) for k in shared})
 
 
 if __name__ == "__main__":

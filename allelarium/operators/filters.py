@@ -47,6 +47,7 @@ def apply_filters(
     downsample_samples: float | None = None,
     n_variants: int | None = None,
     n_samples: int | None = None,
+    seed: int = SEED,
 ) -> tuple[CallSet, bool]:
     """The filters in this order; and whether variants or samples other than by the sample list were left out."""
     down = False
@@ -58,9 +59,9 @@ def apply_filters(
         on = F.col("contig").isin(list(contigs))
         cs, down = cs.with_(variants=cs.variants.where(on), entries=cs.entries.where(on)), True
     if downsample_variants is not None:
-        cs, down = cs.only_variants(hash_sample(cs.variants, downsample_variants, *VARIANT)), True
+        cs, down = cs.only_variants(hash_sample(cs.variants, downsample_variants, *VARIANT, seed=seed)), True
     if downsample_samples is not None:
-        cs, down = cs.only_samples(hash_sample(cs.samples, downsample_samples, "s")), True
+        cs, down = cs.only_samples(hash_sample(cs.samples, downsample_samples, "s", seed=seed)), True
     if n_variants is not None:
         cs, down = cs.only_variants(head_variants(cs.variants, n_variants)), True
     if n_samples is not None:

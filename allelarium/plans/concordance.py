@@ -42,7 +42,7 @@ def _prepared(exo: CallSet, imp: CallSet) -> tuple[CallSet, CallSet]:
 
 def compare(
     exo: CallSet, imp: CallSet, out_dir: str, *, options: set[str] = frozenset(), sample_list: DataFrame | None = None, variant_list: DataFrame | None = None, contigs: list[str] | None = None,
-    n_samples: int | None = None, n_variants: int | None = None, downsample_samples: float | None = None, downsample_variants: float | None = None,
+    n_samples: int | None = None, n_variants: int | None = None, downsample_samples: float | None = None, downsample_variants: float | None = None, seed: int = filters.SEED,
     join_type: joint.JoinType = joint.JoinType.inner, variant_conc: bool = False, sample_conc: bool = False, global_conc: bool = False,
 ) -> dict:
     """Write the tables and files of the asked-for analyses below out_dir; the concordance tables by name.
@@ -63,7 +63,7 @@ def compare(
     exo, imp = (cs.with_(variants=allele_counts(cs)) if options & {o for o, g in GROUPS.items() if g[0] == side} else cs for cs, side in ((exo, "exome"), (imp, "imputation")))
     kept, down = [], []
     for cs in (exo, imp):
-        cs, d = filters.apply_filters(cs, sample_list=sample_list, variant_list=variant_list, contigs=contigs, n_variants=n_variants, downsample_variants=downsample_variants)
+        cs, d = filters.apply_filters(cs, sample_list=sample_list, variant_list=variant_list, contigs=contigs, n_variants=n_variants, downsample_variants=downsample_variants, seed=seed)
         kept.append(split_multi(cs))
         down.append(d)
     if not all(down):
@@ -71,7 +71,7 @@ def compare(
     exo, imp = kept
     if n_samples is not None or downsample_samples is not None:
         both = joint.sample_overlaps(exo, imp).where("EXOME and IMPUTATION").select("s")
-        both = filters.hash_sample(both, downsample_samples, "s") if downsample_samples is not None else both
+        both = filters.hash_sample(both, downsample_samples, "s", seed=seed) if downsample_samples is not None else both
         both = filters.head_samples(both, n_samples) if n_samples is not None else both
         exo, imp = exo.only_samples(both), imp.only_samples(both)
 

@@ -133,6 +133,7 @@ def calculate_sample_qc_stats(
     sex_male_fhet_thresh: float = 0.8,
     sex_female_fhet_thresh: float = 0.2,
     compute_components: bool = True,
+    build: str = "GRCh38",
 ) -> SampleQCResult:
     """All statistics over the raw entries at the sites of high quality: autosomes for contamination, genotype quality and outliers, pruned autosomes for components, X for sex.
 
@@ -141,7 +142,7 @@ def calculate_sample_qc_stats(
     """
     hq = at_sites(cs, high_quality_sites)
     auto = hq.where_variants(in_autosome(F.col("contig")))
-    x = hq.where_variants(in_x_nonpar(F.col("contig"), F.col("position")))
+    x = hq.where_variants(in_x_nonpar(F.col("contig"), F.col("position"), build))
     samples, options = cs.samples.select("s"), contamination_options or {}
     labels = ancestry_pop_labels if ancestry_pop_labels is not None else samples.select("s", F.struct(F.lit("unknown").alias("ancestry_pop")).alias("ancestry"))
     strata = labels.select("s", F.col("ancestry.ancestry_pop").alias("ancestry_pop")) if ancestry_pop_labels is not None else None
@@ -149,7 +150,7 @@ def calculate_sample_qc_stats(
         contamination(auto, **(options | {"ref_af": reference_frequencies(cs, options.get("ref_af"), public_frequencies)})),
         gq_fraction(auto, gq_thresh=coverage_gq_thresh, fraction_thresh=coverage_fraction_thresh),
         outliers(sample_qc(auto), strata),
-        sex_check(x, male_fhet_thresh=sex_male_fhet_thresh, female_fhet_thresh=sex_female_fhet_thresh, reported=reported_sex),
+        sex_check(x, male_fhet_thresh=sex_male_fhet_thresh, female_fhet_thresh=sex_female_fhet_thresh, reported=reported_sex, build=build),
         labels.join(samples, "s", "left_semi"),
     ]
     if compute_components:
