@@ -708,3 +708,76 @@ def test_prefixes_of_further_orders_keep_every_link():
     unlike = [ngram_jaccard.further_prefixes(np.unique(rng.integers(0, 1 << 63, 50).astype(np.uint64)), 85) for _ in "ab"]
     batch = pa.RecordBatch.from_arrays([pa.array([1]), pa.array([2]), *(pa.array([u], pa.list_(pa.binary())) for u in unlike)], ["a", "b", "pa", "pb"])
     assert sum(len(b) for b in ngram_jaccard._pass_orders(iter([batch]))) == 0
+
+
+def plain_trees(x, y, trees, depth, bins, rate, ridge, least_rows):
+    """Margins after boosting by a search over every cut of every node, row by row."""
+    n, m = len(x), len(x[0])
+    edges = [sorted({sorted(r[j] for r in x)[math.floor(q * (n - 1) + 1e-9)] for q in (k / bins for k in range(1, bins))}) for j in range(m)]
+    share = (sum(y) + 0.5) / (n + 1)
+    margin = [math.log(share / (1 - share))] * n
+    for _ in range(trees):
+        p = [1 / (1 + math.exp(-v)) for v in margin]
+        g, h = [a - b for a, b in zip(p, y, strict=True)], [a * (1 - a) for a in p]
+        groups = [list(range(n))]
+        for _ in range(depth):
+            after = []
+            for rows in groups:
+                best, cut = 1e-9, None
+                for j in range(m):
+                    for e in edges[j]:
+                        left, right = [i for i in rows if x[i][j] <= e], [i for i in rows if x[i][j] > e]
+                        if len(left) < least_rows or len(right) < least_rows:
+                            continue
+                        part = lambda r: sum(g[i] for i in r) ** 2 / (sum(h[i] for i in r) + ridge)
+                        gain = part(left) + part(right) - part(rows)
+                        if gain > best + 1e-12:
+                            best, cut = gain, (left, right)
+                after += cut if cut else (rows, [])
+            groups = after
+        for rows in groups:
+            step = -rate * sum(g[i] for i in rows) / (sum(h[i] for i in rows) + ridge)
+            for i in rows:
+                margin[i] += step
+    return margin
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_trees_are_those_of_a_plain_search(seed):
+    rng = np.random.default_rng(seed)
+    x = np.round(rng.normal(size=(61, 3)), 2)
+    # labels between 0 and 1, so that no two cuts have the same gain
+    y = 1 / (1 + np.exp(-4 * (x[:, 0] + x[:, 1] * x[:, 2]) + rng.normal(size=61)))
+    parameters = {"trees": 4, "depth": 3, "bins": 8, "rate": 0.3, "ridge": 1.0, "least_rows": 4}
+    got = quality_classifier.BoostedTrees.fit(x, y, **parameters).score(x)
+    want = [1 / (1 + math.exp(-v)) for v in plain_trees(x.tolist(), y.tolist(), **parameters)]
+    assert np.allclose(got, want, atol=1e-9) and got.std() > 0.1
+
+
+def test_toxicity_scores_by_compressing_every_window(spark):
+    """The scores of a fitted model against compressing each word of each text anew."""
+    import zstandard
+
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{name}.parquet") for name in ("documents", "labels"))
+    model = toxicity.fit_toxicity(docs, labels)
+    some = docs.where("length(text) < 3000").limit(60).unionByName(docs_frame(spark, ODD, docs.schema))
+    lengths = []
+    for dictionary in (model.ordinary, model.toxic):
+        data = zstandard.ZstdCompressionDict(dictionary)
+        data.precompute_compress(level=toxicity.LEVEL)
+        plain = zstandard.ZstdCompressor(level=toxicity.LEVEL, dict_data=data, write_content_size=False, write_checksum=False, write_dict_id=False)
+        lengths.append(lambda w, z=plain: len(z.compress(toxicity._window(w))))
+    known = {}
+
+    def far(word):
+        if word not in known:
+            known[word] = lengths[0](word) - lengths[1](word) >= model.far
+        return known[word]
+
+    got = {(r["doc_id"], r["score"]) for r in toxicity.score_toxicity(some, model).collect()}
+    want = set()
+    for r in some.collect():
+        found = re.findall(rb"[^\x00-\x2f\x3a-\x40\x5b-\x60\x7b-\x7f]+", (r["text"] or "").encode())
+        n = sum(far(w.lower()) for w in found)
+        want.add((r["doc_id"], 1 / (1 + math.exp(-min(30, max(-30, model.slope * n / math.sqrt(max(1, len(found))) + model.constant))))))
+    assert {(i, round(s, 9)) for i, s in got} == {(i, round(s, 9)) for i, s in want} and len({s for _, s in want}) > 3
