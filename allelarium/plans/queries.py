@@ -119,7 +119,7 @@ def concordance_catalogue(spark, sf_dir):
 
 
 def concordance_percentages(spark, sf_dir):
-    """Rates as the texts of a result."""
+    """Rates as the texts of a result: percentages with two digits, halves rounded up."""
     e, i = _sets(spark, sf_dir)
     out = global_concordance(e, i, variables("exome", "col", _POP), variables("exome", "row", {"qual_approx": bins.qual_approx_bin}))
     return _known(out.df).select("group_var_name", "group_var", "agg_var_name", "agg_var", *RATES)
@@ -414,7 +414,7 @@ SQL = {
     "concordance_global_grouped": _long_sql(["exo_mac"], ["GQ"]),
     "concordance_gsets_long": _long_sql(["ALL", "exo_mac", "pop"], ["ALL", "qual_approx", "GQ", "MAX_GP"]),
     "concordance_catalogue": _long_sql(["ALL", "exo_maf", "imp_maf", "imp_mac"], ["ALL", "info_score", "DP"]),
-    "concordance_percentages": "SELECT group_var_name, group_var, agg_var_name, agg_var, " + ", ".join(f"printf('%.2f', {r}_raw * 100) AS {r}" for r in RATES) + f" FROM ({_long_sql(['ALL', 'pop'], ['ALL', 'qual_approx'])}) c",
+    "concordance_percentages": "SELECT group_var_name, group_var, agg_var_name, agg_var, " + ", ".join(f"printf('%.2f', round({r}_raw * 100, 2)) AS {r}" for r in RATES) + f" FROM ({_long_sql(['ALL', 'pop'], ['ALL', 'qual_approx'])}) c",
     "concordance_outer": _long_sql(["ALL"], ["ALL"], outer=True),
     "concordance_by_variant": _long_sql(["ALL"], ["ALL"], key=f"{KEYS},"),
     "concordance_by_variant_gq": _long_sql(["ALL"], ["GQ"], key=f"{KEYS},"),
