@@ -1,14 +1,14 @@
 """Quality rules: base rules, then an isolation forest over the rules' statistics.
 
-The forest is fitted on the driver from a bounded sample of labelled rows. It
-reads by how much each rule's statistic exceeds what is usual among the rows
-labelled good (nothing, for most documents), in standard deviations. Every
+The forest is fitted on the driver from a bounded sample of labelled rows that
+pass the base rules. It reads the rules' statistics themselves (`RULES`). Every
 tree splits a subsample at random features and random values, and the expected
 path length of a document says how soon random splits set it apart. Anomalous
-documents have short paths. The threshold on the anomaly score is calibrated on
-the labelled rows of the sample that pass the base rules: a good row lost
-weighs `weight` times a bad row caught. Trees are flattened into arrays, so a
-slice of documents is scored by vectorised numpy traversal.
+documents have short paths. So that many copies of junk don't pass for usual,
+rows labelled bad are at most `BAD_SHARE` of a subsample; splits don't see the
+labels. The threshold on the anomaly score is calibrated on the sample: a good
+row lost weighs `weight` times a bad row caught. Trees are flattened into arrays, so a slice of
+documents is scored by vectorised numpy traversal.
 
 Edge cases: a null or empty text has no words, so it fails the base rules;
 repeated rows are judged alike; without any labelled row the forest is not
@@ -26,17 +26,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from allelarium.llm.common import read_table, text_slices
+from allelarium.llm.common import Words, read_table, text_slices
 from allelarium.llm.labelled import SAMPLE_ROWS, labelled_sample
-from allelarium.llm.text_stats import COUNTS, RATIOS, slice_stats
+from allelarium.llm.text_stats import COUNTS, RATIOS, SHARES, slice_stats, symbol_shares
 
 MIN_WORDS = 10
 MAX_REPEAT_PERCENT = 20
-#: What the forest reads: the rules' statistics as ratios, none of which grows with a text.
-RULES = ("symbols", "repeats", "dup_lines", "upper", "exclamations")
-#: Share of the good rows whose statistics count as usual, on either side.
-USUAL = 0.999
-_AT = [RATIOS.index(r) for r in RULES]
+#: What the forest reads: symbols by four measures, and how uneven words and bytes are. Repeats have a base rule of their own.
+RULES = ("symbols", *SHARES, "top_word", "distinct_words", "entropy")
+#: Rows of a tree, and the share of them that rows labelled bad have at most.
+TREE_ROWS, BAD_SHARE = 128, 0.05
 
 
 def _harmonic_path(n: np.ndarray) -> np.ndarray:
@@ -53,23 +52,22 @@ class IsolationForest:
     value: np.ndarray
     path: np.ndarray  # trees x nodes of the last level
     norm: float
-    low: np.ndarray  # of what is usual, by statistic
-    high: np.ndarray
-    scale: np.ndarray
     threshold: float = 1.0
 
     @classmethod
-    def fit(cls, x: np.ndarray, good: np.ndarray, *, trees: int = 128, rows: int = 256, seed: int = 7) -> IsolationForest:
-        usual = x[good] if good.any() else x
-        bounds = np.quantile(usual, 1 - USUAL, axis=0, method="lower"), np.quantile(usual, USUAL, axis=0, method="higher"), np.maximum(x.std(0), 1e-6)
-        x = cls._excess(x, *bounds)
+    def fit(cls, x: np.ndarray, bad: np.ndarray | None = None, *, trees: int = 256, rows: int = TREE_ROWS, seed: int = 7) -> IsolationForest:
+        """Trees over subsamples, of which rows marked bad are at most BAD_SHARE: what is anomalous has to be rare there."""
+        bad = np.zeros(len(x), bool) if bad is None or bad.all() else bad
         rng = np.random.default_rng(seed)
+        rest, odd = np.flatnonzero(~bad), np.flatnonzero(bad)
         rows = min(rows, len(x))
+        few = min(len(odd), max(1, int(BAD_SHARE * rows)))
+        rows = min(rows, len(rest) + few)
         depth = max(1, int(np.ceil(np.log2(max(2, rows)))))
         inner, last = 2**depth - 1, 2**depth
         feature, value, path = np.zeros((trees, inner), np.int64), np.full((trees, inner), np.inf), np.zeros((trees, last))
         for t in range(trees):
-            members = {0: rng.choice(len(x), rows, replace=False)}
+            members = {0: np.concatenate((rng.choice(rest, rows - few, replace=False), rng.choice(odd, few, replace=False)))}
             for node in range(inner):
                 at = members.get(node)
                 if at is None or len(at) < 2:
@@ -88,15 +86,10 @@ class IsolationForest:
                     node, level = (node - 1) // 2, level - 1
                 at = len(members[node])
                 path[t, leaf] = level + (_harmonic_path(np.array([at]))[0] if at > 1 else 0.0)
-        return cls(feature, value, path, float(_harmonic_path(np.array([rows]))[0]), *bounds)
-
-    @staticmethod
-    def _excess(x: np.ndarray, low: np.ndarray, high: np.ndarray, scale: np.ndarray) -> np.ndarray:
-        return (np.maximum(0, x - high) - np.maximum(0, low - x)) / scale
+        return cls(feature, value, path, float(_harmonic_path(np.array([rows]))[0]))
 
     def score(self, x: np.ndarray) -> np.ndarray:
         """Anomaly score in (0, 1): 2 to the minus mean path length over the expected one."""
-        x = self._excess(x, self.low, self.high, self.scale)
         total, inner = np.zeros(len(x)), self.feature.shape[1]
         rows = np.arange(len(x))
         for feature, value, path in zip(self.feature, self.value, self.path, strict=True):
@@ -124,21 +117,29 @@ def base_failed(counts: np.ndarray) -> np.ndarray:
     return (n < MIN_WORDS) | (100 * counts[:, COUNTS.index("n_repeat_words")] > MAX_REPEAT_PERCENT * n)
 
 
-def fit_forest(docs: DataFrame, labels: DataFrame, *, rows: int = SAMPLE_ROWS, weight: float = 10.0, trees: int = 128, seed: int = 7) -> IsolationForest | None:
+def _statistics(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """For each text the counts named in COUNTS and the statistics named in RULES."""
+    found = Words(column, lower=False)
+    counts, ratios = slice_stats(column, found)
+    known = dict(zip(RATIOS, ratios.T, strict=True)) | dict(zip(SHARES, symbol_shares(found, counts[:, COUNTS.index("word_chars")]).T, strict=True))
+    return counts, np.stack([known[r] for r in RULES], axis=1)
+
+
+def fit_forest(docs: DataFrame, labels: DataFrame, *, rows: int = SAMPLE_ROWS, weight: float = 10.0, trees: int = 256, seed: int = 7) -> IsolationForest | None:
     """Forest and threshold from a bounded sample of labelled documents that pass the base rules."""
     schema = ", ".join(["doc_id long", "label int", "failed boolean", *(f"f{i} double" for i in range(len(RULES)))])
 
     def stats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in text_slices(batch, 1):
-                counts, ratios = slice_stats(part.column(1))
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(base_failed(counts)), *(pa.array(ratios[:, j]) for j in _AT)], ["doc_id", "label", "failed", *(f"f{i}" for i in range(len(RULES)))])
+                counts, x = _statistics(part.column(1))
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(base_failed(counts)), *(pa.array(x[:, j]) for j in range(len(RULES)))], ["doc_id", "label", "failed", *(f"f{i}" for i in range(len(RULES)))])
 
     got = labelled_sample(docs, labels, "quality", rows).mapInArrow(stats, schema).where("not failed").toPandas().sort_values(["doc_id", "label", *(f"f{i}" for i in range(len(RULES)))])
     if not len(got):
         return None
     x, good = got[[f"f{i}" for i in range(len(RULES))]].to_numpy(float), got["label"].to_numpy() == 1
-    forest = IsolationForest.fit(x, good, trees=trees, seed=seed)
+    forest = IsolationForest.fit(x, ~good, trees=trees, seed=seed)
     forest.calibrate(x, good, weight)
     return forest
 
@@ -147,9 +148,9 @@ def _judge(forest: IsolationForest | None, id_first: bool = True) -> Callable[[I
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in text_slices(batch, 1):
-                counts, ratios = slice_stats(part.column(1))
+                counts, x = _statistics(part.column(1))
                 failed = base_failed(counts)
-                score = forest.score(ratios[:, _AT]) if forest else np.zeros(len(counts))
+                score = forest.score(x) if forest else np.zeros(len(counts))
                 kept = ~failed & (score <= (forest.threshold if forest else 1.0))
                 yield pa.RecordBatch.from_arrays([*part.columns, *(pa.array(counts[:, j]) for j in range(len(COUNTS))), pa.array(failed), pa.array(kept), pa.array(score)], [*part.schema.names, *COUNTS, "base_failed", "kept", "anomaly_score"])
 

@@ -20,6 +20,9 @@ RATIOS = (
     "distinct_words", "top_word", "same_as_before", "entropy", "wide_bytes", "words_in_line", "word_length_spread", "short_text",
 )
 
+#: How far a text's symbols spread: per character of a word, and over its words and its lines with a word.
+SHARES = ("symbol_chars", "symbol_words", "symbol_lines")
+
 _BLANKS = [*BLANKS.encode()]
 _SYMBOLS = [*SYMBOLS.encode()]
 _CLASS = np.zeros(256, np.int64)
@@ -55,15 +58,31 @@ def repeated_words(ids: np.ndarray) -> int:
     return int((np.cumsum(edges[:-1]) > 0).sum())
 
 
-def slice_stats(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+def slice_stats(column: pa.Array, found: Words | None = None) -> tuple[np.ndarray, np.ndarray]:
     """For each text of the column the counts named in COUNTS (long) and the ratios named in RATIOS (double)."""
-    found = Words(column, lower=False)
+    found = found or Words(column, lower=False)
     counts, ratios = np.zeros((len(found), len(COUNTS)), np.int64), np.zeros((len(found), len(RATIOS)))
     for i, text in enumerate(column.to_pylist()):
         counts[i], ratios[i] = _text_stats(text or "", found.data[found.offsets[i] : found.offsets[i + 1]], found.of(i), found.lengths[found.bounds[i] : found.bounds[i + 1]])
     return counts, ratios
 
 
+def symbol_shares(found: Words, word_chars: np.ndarray) -> np.ndarray:
+    """For each text the ratios named in SHARES (double)."""
+    n = np.diff(found.bounds)
+    before = np.concatenate(([0], np.cumsum(np.isin(found.data, _SYMBOLS))))
+    marked = np.concatenate(([0], np.cumsum(before[found.ends] > before[found.starts])))
+    lines = np.unique(np.concatenate((found.offsets, np.flatnonzero(found.data == 10) + 1)))
+    words = np.searchsorted(found.starts, lines)
+    of_lines = np.searchsorted(lines, found.offsets)
+    count = lambda has: np.diff(np.concatenate(([0], np.cumsum(has)))[of_lines])
+    return np.stack((
+        np.diff(before[found.offsets]) / np.maximum(1, word_chars),
+        np.diff(marked[found.bounds]) / np.maximum(1, n),
+        count(np.diff(marked[words]) > 0) / np.maximum(1, count(np.diff(words) > 0)),
+    ), axis=1)
+
+
 def _text_stats(text: str, raw: np.ndarray, ids: np.ndarray, lengths: np.ndarray) -> tuple[tuple[int, ...], tuple[float, ...]]:
     n = len(ids)
     if not n:

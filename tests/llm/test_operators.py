@@ -138,6 +138,17 @@ def labelled(spark):
     return docs, labels
 
 
+def test_symbol_shares_like_plain_python():
+    texts = ["a# b\n\n c\td% e", None, "", " \n ", "#\n#\n", "\nx&&", "é<ü\n\nz", "plain words"]
+    column = pa.array(texts)
+    words = text_stats.Words(column, lower=False)
+    got = text_stats.symbol_shares(words, text_stats.slice_stats(column, words)[0][:, 1])
+    for i, t in enumerate(texts):
+        w, symbols = re.findall(r"[^\x20\x09-\x0D]+", t or ""), re.compile(r"[#*$%&|<>]")
+        lines = [x for x in (t or "").split("\n") if x.strip(" \t\n\v\f\r")]
+        assert got[i].tolist() == [len(symbols.findall(t or "")) / max(1, sum(map(len, w))), sum(bool(symbols.search(x)) for x in w) / max(1, len(w)), sum(bool(symbols.search(x)) for x in lines) / max(1, len(lines))]
+
+
 def test_quality_rules(spark):
     docs, labels = labelled(spark)
     got = {r["doc_id"]: r for r in quality_rules.apply_rules(docs.withColumn("kept", F.lit("clash")), quality_rules.fit_forest(docs, labels)).collect()}
@@ -155,20 +166,19 @@ def test_quality_rules(spark):
 def test_forest_walks_like_plain_python():
     rng = np.random.default_rng(9)
     x = np.concatenate([rng.normal(size=(120, 3)), rng.normal(6, 1, size=(8, 3))])
-    forest = quality_rules.IsolationForest.fit(x, np.arange(len(x)) < 120, trees=12, rows=len(x))  # each tree has every row
+    forest = quality_rules.IsolationForest.fit(x, trees=12, rows=len(x))  # each tree has every row
 
     def expected(n: int) -> float:
         """Mean path of an unsuccessful search, by its harmonic sum."""
         return 0.0 if n < 2 else 2 * (math.log(n - 1) + 0.5772156649) - 2 * (n - 1) / n
 
-    beyond = np.maximum(0, x - forest.high) / forest.scale - np.maximum(0, forest.low - x) / forest.scale
     lengths = np.zeros(len(x))
     for feature, value in zip(forest.feature, forest.value, strict=True):
         for i in range(len(x)):
             members, node, level = list(range(len(x))), 0, 0
             while node < len(feature) and len(members) > 1 and np.isfinite(value[node]):
-                right = beyond[i, feature[node]] > value[node]
-                members = [k for k in members if (beyond[k, feature[node]] > value[node]) == right]
+                right = x[i, feature[node]] > value[node]
+                members = [k for k in members if (x[k, feature[node]] > value[node]) == right]
                 node, level = 2 * node + 1 + int(right), level + 1
             assert i in members
             lengths[i] += level + expected(len(members))
