@@ -60,7 +60,7 @@ class Scratch:
 FREQUENT_KEYS = 100_000
 
 
-def left_join_groups(rows: DataFrame, groups: DataFrame, key: str, total: int) -> DataFrame:
+def left_join_groups(rows: DataFrame, groups: DataFrame, key: str | list[str], total: int) -> DataFrame:
     """Left join to groups (key, n: rows of the key, more), one for a key, without gathering a frequent key's rows in a task.
 
     Of `total` rows at most FREQUENT_KEYS keys have more than total / FREQUENT_KEYS
