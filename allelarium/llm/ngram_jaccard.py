@@ -9,13 +9,15 @@ class, and one class takes part once.
    first order is the index: tokens that are frequent come last, the others in
    the order of a hash, so a passage that many documents share is in no prefix
    unless a document has little else. The further orders are other hashes.
-2. In each index list every set is paired with one pivot. Pairs pass the
+2. An index list gives the pairs whose sizes and places in the two sets allow a
+   link if its token is the first that they share. A list that has more of them
+   than members has every set paired with one pivot instead. Pairs pass the
    filters of length and parity (a bitmap with a bit flipped by each token: the
    bits in which two differ are at most the tokens in which they differ), then
    must share a prefix token under each further order, for which the prefixes
    alone are read; whole sets are joined only for the pairs that are left, which
    are verified on them. Links make components.
-3. Only lists that still hold several components are looked at again, for pairs
+3. Only lists with pivots that still hold several components are looked at again, for pairs
    across components that pass the filters: at first a few for each pair of
    components, then, with what is left apart, all. So a group of near copies of
    size m costs about m pairs and no link between components is missed.
@@ -57,10 +59,13 @@ PIECE, PIECE_LEAST = 2 << 20, 4
 BUCKET_ROWS, BLOCK_ROWS, BROADCAST_IDS = 500_000, 20_000, 1_000_000
 #: Bits of a parity bitmap at least: small sets that just miss the threshold then rarely pass.
 MIN_BITS = 1024
+#: Sets of a list at most for its pairs to be looked at where it is made.
+LIST_ROWS = 1024
 #: Pairs that the first look across components takes for each pair of components in a list.
 FEW = 4
 _ORDERS = [np.uint64(x) for x in (0x243F6A8885A308D3, 0x13198A2E03707344, 0xA4093822299F31D0)]
-_POST = np.dtype([("token", "<u8"), ("node", "<i8"), ("n", "<i4"), ("heavy", "u1")])
+#: `pos`: how many tokens of the set come before this one, at most 65,535.
+_POST = np.dtype([("token", "<u8"), ("node", "<i8"), ("n", "<i4"), ("pos", "<u2"), ("heavy", "u1")])
 
 
 def prefix_length(n: int, percent: int) -> int:
@@ -81,7 +86,8 @@ def _sets(column: pa.Array, n: int) -> Iterator[tuple[int | None, np.ndarray]]:
 
 
 def parity_bitmap(tokens: np.ndarray) -> bytes:
-    bits = min(1 << 16, max(MIN_BITS, 1 << (len(tokens) - 1).bit_length()))
+    """From half a bit to one bit a token: sets without a common token differ in half of the bits, a quarter of n at least; those that link at 80 percent in 0.23 n at most."""
+    bits = min(1 << 16, max(MIN_BITS, 1 << (len(tokens) - 1).bit_length() >> 1))
     return np.packbits((np.bincount((mix64(tokens ^ np.uint64(1)) & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1).astype(np.uint8)).tobytes()
 
 
@@ -155,6 +161,7 @@ def _postings(n: int, percent: int, frequent: np.ndarray, buckets: int):
                     first = np.lexsort((key, heavy))[: prefix_length(len(tokens), percent)]
                     post = np.empty(len(first), _POST)
                     post["token"], post["node"], post["n"], post["heavy"] = key[first], node, len(tokens), heavy[first]
+                    post["pos"] = np.minimum(np.arange(len(first)), 65_535)
                     held.append(post)
                     count += len(post)
             if count >= 1 << 20:
@@ -166,21 +173,61 @@ def _postings(n: int, percent: int, frequent: np.ndarray, buckets: int):
     return run
 
 
-def _lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of one bucket the lists with two sets and more: token, node, n, heavy, members, pivot, pivot_n."""
-    post = np.frombuffer(b"".join(x.as_py() for batch in batches for x in batch.column("post")), _POST)
-    post = post[np.lexsort((post["node"], post["token"]))]
-    same = np.zeros(len(post), bool)
-    same[1:] = (post["token"][1:] == post["token"][:-1]) & (post["node"][1:] == post["node"][:-1])
-    post = post[~same]
-    starts = np.flatnonzero(np.concatenate(([True], post["token"][1:] != post["token"][:-1])))
-    members = np.diff(np.append(starts, len(post)))
-    keep = (members > 1) | (post["heavy"][starts] == 1)
-    rows = np.repeat(keep, members)
-    pivot, many = np.repeat(starts, members)[rows], np.repeat(members, members)[rows]
-    out = post[rows]
-    columns = out["token"].view(np.int64), out["node"], out["n"].astype(np.int64), out["heavy"].astype(np.int32), many, post["node"][pivot], post["n"][pivot].astype(np.int64)
-    yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c)) for c in columns], ["token", "node", "n", "heavy", "members", "pivot", "pivot_n"])
+def _first_shared(post: np.ndarray, members: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Pairs of rows (two arrays) that may link if the token of their list is the first they share; and for each list whether it has more of them than members, so that they are not all here.
+
+    `post` is sorted by token, then n. From its first shared token on a set has n - pos tokens, and no pair shares more. A pair
+    dropped in one list is met again in the list of its first token, so none that links is lost.
+    """
+    ends, members_of = np.repeat(np.cumsum(members), members), np.repeat(np.arange(len(members)), members)
+    n = post["n"].astype(np.int64)
+    most = (100 + percent) * (n - post["pos"])
+    full = (members > LIST_ROWS) | (np.maximum.reduceat(post["heavy"], np.cumsum(members) - members) == 1 if len(post) else np.zeros(0, bool))
+    found, a, b, lag = np.zeros(len(members), np.int64), [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], 0
+    at = np.arange(len(post))
+    while len(at):
+        lag += 1
+        at = at[~full[members_of[at]] & (at + lag < ends[at])]
+        at = at[most[at] >= percent * (n[at] + n[at + lag])]  # sizes grow with the lag: what fails here fails from here on
+        near = at[most[at + lag] >= percent * (n[at] + n[at + lag])]
+        a.append(near)
+        b.append(near + lag)
+        np.add.at(found, members_of[near], 1)
+        full |= found > members
+    a, b = np.concatenate(a), np.concatenate(b)
+    kept = ~full[members_of[a]]
+    return a[kept], b[kept], full
+
+
+def _lists(percent: int):
+    """Of one bucket the lists with many pairs that may link: token, node, n, heavy, members, pivot, pivot_n; of other lists these pairs alone, as node and pivot without a token."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        post = np.frombuffer(b"".join(x.as_py() for batch in batches for x in batch.column("post")), _POST)
+        post = post[np.lexsort((post["node"], post["token"]))]
+        same = np.zeros(len(post), bool)
+        same[1:] = (post["token"][1:] == post["token"][:-1]) & (post["node"][1:] == post["node"][:-1])
+        post = post[~same]
+        starts = np.flatnonzero(np.concatenate(([True], post["token"][1:] != post["token"][:-1])))
+        members = np.diff(np.append(starts, len(post)))
+        keep = (members > 1) | (post["heavy"][starts] == 1)
+        pivot = post[starts[keep]]
+        post, members = post[np.repeat(keep, members)], members[keep]
+        by_size = np.lexsort((post["n"], post["token"]))
+        a, b, full = _first_shared(post[by_size], members, percent)
+        nodes = np.stack([post["node"][by_size[a]], post["node"][by_size[b]], post["n"][by_size[a]], post["n"][by_size[b]]])
+        nodes = np.where(nodes[0] < nodes[1], nodes, nodes[[1, 0, 3, 2]])
+        nodes = nodes[:, np.lexsort(nodes[:2])]
+        x, y, nx, ny = nodes[:, np.append(True, (nodes[:2, 1:] != nodes[:2, :-1]).any(0))[: nodes.shape[1]]]
+        rows = np.repeat(full, members)
+        out, pivot, many = post[rows], np.repeat(pivot, members)[rows], np.repeat(members, members)[rows]
+        token = pa.concat_arrays([pa.array(np.ascontiguousarray(out["token"]).view(np.int64)), pa.nulls(len(x), pa.int64())])
+        both = lambda of_lists, of_pairs: pa.array(np.concatenate([of_lists.astype(np.int64), of_pairs]))
+        two = np.full(len(x), 2)
+        columns = [token, both(out["node"], x), both(out["n"], nx), both(out["heavy"], 0 * two), both(many, two), both(pivot["node"], y), both(pivot["n"], ny)]
+        yield pa.RecordBatch.from_arrays(columns, ["token", "node", "n", "heavy", "members", "pivot", "pivot_n"])
+
+    return run
 
 
 def _pass_parity(percent: int):
@@ -325,7 +372,7 @@ def jaccard_components(docs: DataFrame, *, n: int = N, percent: int = PERCENT) -
 
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-int(tokens) // BUCKET_ROWS))
     post = texts.mapInArrow(_postings(n, percent, frequent, buckets), "bucket int, post binary")
-    lists = post.groupBy("bucket").applyInArrow(_grouped(_lists), "token long, node long, n long, heavy int, members long, pivot long, pivot_n long")
+    lists = post.groupBy("bucket").applyInArrow(_grouped(_lists(percent)), "token long, node long, n long, heavy long, members long, pivot long, pivot_n long")
     lists = scratch.write(lists, "lists")
 
     may = lambda x, y: 100 * F.least(x, y) >= percent * F.greatest(x, y)
@@ -341,7 +388,7 @@ def jaccard_components(docs: DataFrame, *, n: int = N, percent: int = PERCENT) -
     comps = components(links, scratch, "star")
 
     for name, few in (("few", FEW), ("all", None)):
-        at = lists.where("members > 2 or heavy = 1").join(comps, "node", "left").select("token", "node", "n", F.coalesce("comp", "node").alias("comp"))
+        at = lists.where("token is not null").join(comps, "node", "left").select("token", "node", "n", F.coalesce("comp", "node").alias("comp"))
         mixed = at.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("size")).where("lo < hi")
         mixed = scratch.write(mixed.select(F.col("token").alias("_token"), F.ceil(F.col("size") / BLOCK_ROWS).cast("int").alias("blocks")), f"mixed-{name}")
         long = mixed.where("blocks > 1")
@@ -360,6 +407,7 @@ def jaccard_components(docs: DataFrame, *, n: int = N, percent: int = PERCENT) -
     of = member.groupBy("comp").agg(F.min("doc_id").alias("component_id"), F.count("*").alias("sets"), F.sum("copies").alias("docs")).where("docs > 1")
     named = member.join(of, "comp").select("node", "component_id", F.col("copies").alias("n"))
     named = scratch.write(named, "named")
+    scratch.drop("lists")
     out = left_join_groups(rows.withColumnRenamed("n", "n_shingles"), named, "node", total)
     return out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
 
@@ -412,25 +460,32 @@ def _verified(pairs: DataFrame, texts: DataFrame, classes: DataFrame, n: int, pe
     """The pairs (a, b) of classes that link. Sets are made again from the texts of one document of each class."""
     needed = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
     needed = scratch.write(needed.join(classes, "node").select("node", "doc_id"), f"needed-{name}")
-    ids = needed.select(F.col("doc_id").alias("_id")).distinct()
-    ids = F.broadcast(ids) if needed.count() <= BROADCAST_IDS else ids
+    ids, nodes = needed.select(F.col("doc_id").alias("_id")).distinct(), needed.select(F.col("node").alias("_node"))
+    bounded = F.broadcast if needed.count() <= BROADCAST_IDS else lambda keys: keys
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
         for batch in batches:
             for part in text_slices(batch, 1):
-                nodes, tokens = zip(*_sets(part.column(1), n), strict=True)
-                prefixes = pa.array([further_prefixes(t, percent) for t in tokens], pa.list_(pa.binary()))
-                yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), prefixes, pa.array([t.tobytes() for t in tokens], pa.binary())], ["node", "prefixes", "tokens"])
-
-    made = texts.join(ids, texts["doc_id"].eqNullSafe(ids["_id"]), "left_semi").mapInArrow(sets, "node long, prefixes array<binary>, tokens binary")
-    made = scratch.write(made.join(needed.select("node"), "node", "left_semi").dropDuplicates(["node"]), f"sets-{name}")
+                new = {node: t for node, t in _sets(part.column(1), n) if node is not None and node not in seen}
+                seen.update(new)
+                prefixes = pa.array([further_prefixes(t, percent) for t in new.values()], pa.list_(pa.binary()))
+                yield pa.RecordBatch.from_arrays([pa.array(list(new), pa.int64()), prefixes, pa.array([t.tobytes() for t in new.values()], pa.binary())], ["node", "prefixes", "tokens"])
+
+    made = texts.join(bounded(ids), texts["doc_id"].eqNullSafe(ids["_id"]), "left_semi").mapInArrow(sets, "node long, prefixes array<binary>, tokens binary").withColumn("part", F.spark_partition_id())
+    made = scratch.write(made.join(bounded(nodes), made["node"] == nodes["_node"], "left_semi"), f"sets-{name}")
+    # rows of one id and text may lie in several tasks: the sets of one are kept, chosen without moving any
+    again = made.groupBy("node").agg(F.min("part").alias("_part"), F.count("*").alias("times")).where("times > 1").select(F.col("node").alias("_node"), "_part")
+    again = scratch.write(again, f"again-{name}")
+    if again.take(1):
+        made = made.join(again, (made["node"] == again["_node"]) & (made["part"] != again["_part"]), "left_anti")
     side = lambda s, c: made.select(F.col("node").alias(s), F.col(c).alias(f"{c}_{s}"))
     with_both = lambda pairs, c: pairs.join(side("a", c), "a").join(side("b", c), "b").select("a", "b", f"{c}_a", f"{c}_b")
     left = scratch.write(with_both(pairs, "prefixes").mapInArrow(_pass_orders, "a long, b long"), f"filtered-{name}")
     both = with_both(left, "tokens")
     links = scratch.write(both.mapInArrow(_verify(percent), "a long, b long"), f"links-{name}")
     links.count()
-    scratch.drop(f"sets-{name}", f"needed-{name}", f"filtered-{name}")
+    scratch.drop(f"sets-{name}", f"again-{name}", f"needed-{name}", f"filtered-{name}")
     return links
 
 

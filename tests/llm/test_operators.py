@@ -338,6 +338,90 @@ def test_filters_lose_no_link():
                 assert first(a) & first(b)
 
 
+def index_lists(texts, buckets=3, heavy=()):
+    """The prefix postings of the texts and what the buckets make of them, without Spark."""
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts)), pa.int64()), pa.array(texts)], ["doc_id", "text"])
+    packed = pa.Table.from_batches(ngram_jaccard._postings(4, 85, np.array(sorted(heavy), np.uint64), buckets)(iter([batch])))
+    dealt = [packed.filter(pa.compute.equal(packed["bucket"], b)) for b in range(buckets)]
+    return [row for table in dealt if len(table) for made in ngram_jaccard._lists(85)(iter(table.to_batches())) for row in made.to_pylist()]
+
+
+def test_jaccard_lists_of_unlike_sets_are_few_pairs():
+    """Many texts that share short passages by chance, of like sizes and unlike ones, leave few pairs and hardly a list."""
+    rng = random.Random(11)
+    passages = [[f"p{i}_{k}" for k in range(5)] for i in range(400)]
+    texts = []
+    for d in range(600):
+        w = [f"d{d}_{k}" for k in range(rng.choice((40, 60, 90, 130)))]
+        for _ in range(3):
+            at = rng.randrange(len(w))
+            w[at:at] = rng.choice(passages)
+        texts.append(" ".join(w))
+    rows = index_lists(texts)
+    shared = sum(len(x) for x in rare_lists(texts).values() if len(x) > 1)
+    assert shared > 400 and len(rows) < shared / 3
+    assert sum(r["token"] is not None for r in rows) < shared / 20
+
+
+def rare_lists(texts):
+    lists = {}
+    for d, (_, tokens) in enumerate(ngram_jaccard._sets(pa.array(texts), 4)):
+        for key in np.sort(ngram_jaccard.mix64(tokens ^ ngram_jaccard._ORDERS[0]))[: ngram_jaccard.prefix_length(len(tokens), 85)].tolist():
+            lists.setdefault(key, set()).add(d)
+    return lists
+
+
+@pytest.mark.parametrize("list_rows", [1024, 3])
+def test_jaccard_lists_lose_no_link(monkeypatch, list_rows):
+    """Every pair that links is a pair of the lists or together in a list that is kept whole; a group of near copies is kept as a list."""
+    monkeypatch.setattr(ngram_jaccard, "LIST_ROWS", list_rows)
+    rng = random.Random(12)
+    base = [[rng.choice("abcdefghij") + str(rng.randrange(30)) for _ in range(rng.randint(5, 90))] for _ in range(60)]
+    texts = []
+    for b in base:
+        for _ in range(rng.choice((1, 2, 3, 3, 9))):
+            c = list(b)
+            for _ in range(rng.randint(0, 2)):
+                c[rng.randrange(len(c))] = "x%d" % rng.randrange(1000)
+            texts.append(" ".join(c[: len(c) - rng.randint(0, len(c) // 9)]))
+    sets = dict(ngram_jaccard._sets(pa.array(texts), 4))
+    for heavy in ((), [t for s in list(sets.values())[:9] for t in s.tolist()]):
+        rows = index_lists(texts, heavy=heavy)
+        pairs = {(r["node"], r["pivot"]) for r in rows if r["token"] is None}
+        whole = {}
+        for r in rows:
+            if r["token"] is not None:
+                whole.setdefault(r["node"], set()).add(r["token"])
+        assert pairs and whole
+        for a, x in sets.items():
+            for b, y in sets.items():
+                common = len(np.intersect1d(x, y))
+                if a < b and 100 * common >= 85 * (len(x) + len(y) - common):
+                    assert (a, b) in pairs or whole.get(a, set()) & whole.get(b, set())
+
+
+@pytest.mark.parametrize("ids", [1_000_000, 0])
+def test_jaccard_rows_repeated_in_many_tasks(spark, monkeypatch, ids):
+    """One id and text in many tasks gives its set once to the pairs, whether ids are broadcast or not."""
+    monkeypatch.setattr(ngram_jaccard, "BROADCAST_IDS", ids)
+    texts, made = near_copies(), []
+    docs = docs_frame(spark, texts)
+    docs = docs.unionByName(docs).unionByName(docs).repartition(5)
+    drop = ngram_jaccard.Scratch.drop
+
+    def counted(self, *names):
+        for name in names:
+            if name.startswith("filtered-"):
+                pairs = spark.read.parquet(f"{self.root}/{name}")
+                made.append((pairs.count(), pairs.distinct().count()))
+        drop(self, *names)
+
+    monkeypatch.setattr(ngram_jaccard.Scratch, "drop", counted)
+    got = sorted({(r["doc_id"], r["n_shingles"], r["component_id"]) for r in ngram_jaccard.jaccard_components(docs).collect()})
+    assert got == brute_components(texts)
+    assert made and made[0][0] > 0 and all(rows == once for rows, once in made)
+
+
 # op7
 
 
