@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from allelarium.functions.genome import contig_index
 from allelarium.model import VARIANT, CallSet
-from allelarium.operators.packed import MISSING, pack, packed_rows, rows_of, sample_names
+from allelarium.operators.packed import MISSING, full_rows, pack, packed_rows, sample_names
 from allelarium.sources.call_sets import BUCKET_KEY, LAYOUT, PARTS
 from allelarium.sources.files import round_folder, write_bytes, write_text, written
 from allelarium.sources.one_file import index_bytes, write_one_file
@@ -104,8 +104,7 @@ def write_plink(cs: CallSet, root: str) -> None:
     tail = np.uint8((1 << 2 * (n - 4 * (width - 1))) - 1) if n else np.uint8(0)
 
     def encode(batch: pa.RecordBatch) -> Iterator[bytes]:
-        codes = rows_of(pc.fill_null(batch.column(0).cast(pa.large_binary()), missing))
-        if len(codes) and width:
+        for codes in full_rows(pc.fill_null(batch.column(0).cast(pa.large_binary()), missing), n) if width else ():
             data = _BED[codes]
             data[:, -1] &= tail
             yield data.tobytes()

@@ -284,6 +284,34 @@ def test_ld_pairs_by_brute_force(spark, monkeypatch, size):
     assert got.keys() == want.keys() and len(want) > 10 and all(got[k] == pytest.approx(v, abs=1e-9) for k, v in want.items())
 
 
+def thin(rng, m, n, *shares):
+    """m rows of n samples, called in the given shares by turns, at least twice; -2: no entry."""
+    x = rng.integers(0, 3, (m, n))
+    for k in range(m):
+        wanted = max(2, int(n * shares[k % len(shares)]))
+        x[k, rng.permutation(n)[wanted:]] = -2
+    return x
+
+
+def test_rows_take_no_more_bytes_than_their_calls(spark):
+    x = thin(np.random.default_rng(21), 12, 400, 0.01, 0.9)
+    cs = genotypes(spark, x)
+    sizes = {(r["position"] // 100 - 1): (r["n_called"], len(r["codes"])) for r in packed.packed_rows(cs, packed.sample_names(cs), polymorphic=False).collect()}
+    assert all(sizes[k] == ((4, 16) if k % 2 == 0 else (360, 100)) for k in range(12))
+
+
+@pytest.mark.parametrize("shares", [(0.04,), (0.04, 0.7)])
+def test_ld_pairs_of_thin_rows_by_brute_force(spark, monkeypatch, shares):
+    monkeypatch.setattr(linear, "LD_VARIANTS", 4)
+    x = thin(np.random.default_rng(22), 30, 90, *shares)
+    value = np.array([np.where(r >= 0, r - r[r >= 0].mean(), 0) for r in x])
+    norm = np.outer((value**2).sum(1), (value**2).sum(1))
+    r2 = np.divide((value @ value.T) ** 2, norm, out=np.zeros_like(norm), where=norm > 1e-9)
+    want = {((a + 1) * 100, (b + 1) * 100): r2[a, b] for a in range(30) for b in range(a + 1, min(30, a + 9)) if r2[a, b] > 0.01}
+    got = {(r["position"], r["position_2"]): r["r2"] for r in linear.ld_pairs(genotypes(spark, x), r2_thresh=0.01, bp_window_size=800).collect()}
+    assert got.keys() == want.keys() and len(want) > 5 and all(got[k] == pytest.approx(v, abs=1e-9) for k, v in want.items())
+
+
 def test_kinship_by_brute_force(spark, monkeypatch):
     """Strips of four samples and small blocks, against whole matrices."""
     monkeypatch.setattr(linear, "STRIP_SAMPLES", 4)
