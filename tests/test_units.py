@@ -352,6 +352,38 @@ def test_components_of_missing_calls_and_many_tasks(spark, monkeypatch):
     assert all(r["pcs"]["scores"] == [0.0] * 2 for r in linear.compute_pcs(none, k=2).collect())
 
 
+@pytest.mark.parametrize("shares", [(1.0,), (0.05,), (0.05, 0.6)])
+def test_components_of_blocks_that_are_parts_of_a_batch(spark, monkeypatch, shares):
+    """Full and thin rows, cut into blocks of a few rows."""
+    monkeypatch.setattr(packed, "CELLS", 3 * 90)
+    monkeypatch.setattr(packed, "CALLS", 11)
+    x = thin(np.random.default_rng(23), 50, 90, *shares)
+    af = np.array([r[r >= 0].mean() / 2 for r in x])
+    x, af = x[(af > 0) & (af < 1)], af[(af > 0) & (af < 1)]
+    z = np.where(x >= 0, (x - 2 * af[:, None]) / np.sqrt(2 * af * (1 - af))[:, None], 0) / np.sqrt(len(x))
+    _, sigma, vt = np.linalg.svd(z, full_matrices=False)
+    got = np.array([r["pcs"]["scores"] for r in linear.compute_pcs(genotypes(spark, x), k=3).orderBy("s").collect()])
+    assert np.allclose(np.abs(got), np.abs(vt[:3].T * sigma[:3]), atol=1e-7)
+
+
+def test_the_basis_of_components_is_bounded(monkeypatch):
+    """A spectrum of many equal values, searched within few columns: as few vectors are held, and none is multiplied anew."""
+    rng, seen = np.random.default_rng(24), []
+    values = np.repeat(np.linspace(1, 0.5, 100), 9)
+    vectors = np.linalg.qr(rng.standard_normal((900, 900)))[0]
+    monkeypatch.setattr(linear, "BASIS_COLUMNS", 150, raising=False)
+    monkeypatch.setattr(linear, "BASIS_BYTES", 150 * 900 * 8)
+
+    def product(block):
+        seen.append(block)
+        return vectors @ (values[:, None] * (vectors.T @ block))
+
+    found, at = linear.leading_eigenvectors(product, 900, 4)
+    assert np.allclose(found, 1) and np.linalg.norm(product(at) - at * found) < 1e-8
+    met = np.hstack(seen[:5])
+    assert np.allclose(met.T @ met, np.eye(met.shape[1]), atol=1e-8) and len(seen) < 90
+
+
 def test_bucketed_call_sets_are_joined_in_place(spark, tmp_path):
     """No entry is shuffled for the join, nor for its variants, and the counts are those of the same call sets unbucketed."""
     rng = np.random.default_rng(11)
