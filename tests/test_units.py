@@ -336,6 +336,33 @@ def test_kinship_by_brute_force(spark, monkeypatch):
     assert all(got[f"s{i:04}", f"s{j:04}"] == pytest.approx(want[i, j], abs=1e-9) for i in range(11) for j in range(i + 1, 11))
 
 
+@pytest.mark.parametrize("shares", [(1.0,), (0.05,), (0.05, 0.6)])
+def test_kinship_of_blocks_that_are_parts_of_a_batch(spark, monkeypatch, shares):
+    """Full and thin rows in small blocks and strips, a strip without a call among them; all pairs, and those from a threshold on."""
+    for module, name, value in ((packed, "CELLS", 3 * 90), (packed, "CALLS", 11), (linear, "STRIP_SAMPLES", 16), (linear, "PRODUCTS", 5)):
+        monkeypatch.setattr(module, name, value, raising=False)
+    rng = np.random.default_rng(25)
+    x = thin(rng, 40, 90, *shares)
+    if shares == (0.05,):
+        x[:, 32:48] = -2
+        x = x[(x >= 0).any(1)]
+    cs, score = genotypes(spark, x), rng.standard_normal((90, 2)) / 10
+    af = np.array([r[r >= 0].mean() / 2 for r in x])
+    x, af = x[(af > 0) & (af < 1)], af[(af > 0) & (af < 1)]
+    design = np.column_stack([np.ones(90), score])
+    mu = np.where(x >= 0, x, 2 * af[:, None]) @ np.linalg.pinv(design).T @ design.T / 2
+    good = (x >= 0) & (mu > 0.01) & (mu < 0.99)
+    r, spread = np.where(good, x - 2 * mu, 0), np.where(good, np.sqrt(np.clip(mu * (1 - mu), 0, None)), 0)
+    bottom = 4 * spread.T @ spread
+    want = np.divide(r.T @ r, bottom, out=np.zeros_like(bottom), where=bottom > 0)
+    scores = spark.createDataFrame([(f"s{j:04}", [float(v) for v in score[j]]) for j in range(90)], "s string, scores array<double>")
+    got = {(p["s_1"], p["s_2"]): p["kinship"] for p in linear.kinship(cs, scores).collect()}
+    assert got.keys() == {(f"s{i:04}", f"s{j:04}") for i in range(90) for j in range(i + 1, 90)}
+    assert all(got[f"s{i:04}", f"s{j:04}"] == pytest.approx(want[i, j], abs=1e-9) for i in range(90) for j in range(i + 1, 90))
+    near = {(p["s_1"], p["s_2"]) for p in linear.kinship(cs, scores, min_kinship=0.1).collect()}
+    assert near == {k for k, v in got.items() if v >= 0.1} and near
+
+
 def test_components_of_missing_calls_and_many_tasks(spark, monkeypatch):
     monkeypatch.setattr(packed, "FAN_IN", 2)
     monkeypatch.setattr(packed, "SUM_NUMBERS", 7)
