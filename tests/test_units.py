@@ -336,6 +336,30 @@ def test_kinship_by_brute_force(spark, monkeypatch):
     assert all(got[f"s{i:04}", f"s{j:04}"] == pytest.approx(want[i, j], abs=1e-9) for i in range(11) for j in range(i + 1, 11))
 
 
+def test_ld_prune_of_thin_rows_writes_no_more_bytes_than_their_calls(spark, monkeypatch):
+    x = thin(np.random.default_rng(26), 60, 400, 0.01)
+    sizes, written = {}, linear.written
+
+    def weighed(df, where, **options):
+        out = written(df, where, **options)
+        name = where.rsplit("/", 1)[1]
+        if name in ("rows", "blocks"):
+            codes = out.select("codes") if name == "rows" else out.select(F.explode("rows.codes").alias("codes"))
+            sizes[name] = codes.agg(F.sum(F.octet_length("codes"))).first()[0]
+        return out
+
+    monkeypatch.setattr(linear, "written", weighed)
+    cs = genotypes(spark, x)
+    kept = {r["position"] // 100 - 1 for r in linear.ld_prune(cs, r2_thresh=0.01, bp_window_size=2000).collect()}
+    value = np.array([np.where(r >= 0, r - r[r >= 0].mean(), 0) for r in x])
+    norm = (value**2).sum(1)
+    near = (value @ value.T) ** 2 > 0.01 * np.outer(norm, norm) + 1e-12
+    near &= np.abs(np.subtract.outer(np.arange(60), np.arange(60))) <= 20
+    np.fill_diagonal(near, False)
+    assert near.any() and not near[np.ix_(sorted(kept), sorted(kept))].any() and all(k in kept or near[k, sorted(kept)].any() for k in range(60))
+    assert sizes.keys() == {"rows", "blocks"} and max(sizes.values()) <= 4 * 4 * 60
+
+
 @pytest.mark.parametrize("shares", [(1.0,), (0.05,), (0.05, 0.6)])
 def test_kinship_of_blocks_that_are_parts_of_a_batch(spark, monkeypatch, shares):
     """Full and thin rows in small blocks and strips, a strip without a call among them; all pairs, and those from a threshold on."""
