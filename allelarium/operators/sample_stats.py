@@ -64,11 +64,11 @@ def gq_fraction(cs: CallSet, *, gq_thresh: int = 20, fraction_thresh: float = 0.
     return cs.samples.select("s").join(per, "s", "left").select("s", F.struct(F.col("f").alias("gq_fraction"), (F.col("f") >= fraction_thresh).alias("is_passing")).alias("gq_fraction"))
 
 
-def sex_check(cs: CallSet, *, maf_threshold: float = 0.0, male_fhet_thresh: float = 0.8, female_fhet_thresh: float = 0.2, maf: DataFrame | None = None, reported: DataFrame | None = None, build: str = "GRCh38") -> DataFrame:
+def sex_check(cs: CallSet, *, maf_threshold: float = 0.0, male_fhet_thresh: float = 0.8, female_fhet_thresh: float = 0.2, maf: DataFrame | None = None, reported: DataFrame | None = None, build: str | None = "GRCh38") -> DataFrame:
     """(s, sex_info {is_female, is_passing, sex_check, f_stat, n_called, expected_homs, observed_homs}).
 
     F = (observed - expected) / (called - expected) homozygous calls at biallelic
-    X sites outside the pseudo-autosomal regions, expected = sum of 1 - 2 p (1 - p)
+    X sites outside the pseudo-autosomal regions of `build` (None: there are none), expected = sum of 1 - 2 p (1 - p)
     with p the alternate frequency (`maf`: (variant, AF), else of the cohort),
     for p over maf_threshold and under 1 - maf_threshold. Haploid calls count as
     homozygous. Female below the one threshold, male above the other, else

@@ -133,7 +133,7 @@ def calculate_sample_qc_stats(
     sex_male_fhet_thresh: float = 0.8,
     sex_female_fhet_thresh: float = 0.2,
     compute_components: bool = True,
-    build: str = "GRCh38",
+    build: str | None = "GRCh38",
 ) -> SampleQCResult:
     """All statistics over the raw entries at the sites of high quality: autosomes for contamination, genotype quality and outliers, pruned autosomes for components, X for sex.
 
